@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.operators.change_feed import replay
+from kelpline.operators.small_files import consolidate_entries, left_out, listing_report
 from kelpline.session import job_dir
 from kelpline.sources.tables import table
 
@@ -27,6 +28,24 @@ def p1_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.live().select(F.hex("user_key").alias("user_key"), "physical", "logical", "record_id", F.hex("value").alias("value"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = table(spark, sf_dir, "sst_entry")
+    return left_out(entries, consolidate_entries(entries))
+
+
+def p2_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consolidated files by shard: how many, of how many parts, records and bytes."""
+    m = consolidate_entries(table(spark, sf_dir, "sst_entry"))
+    return m.groupBy("shard").agg(
+        F.count("*").alias("n_files"), F.sum("n_parts").alias("n_parts"), F.sum("n_records").alias("n_records"),
+        F.max("n_bytes").alias("largest_bytes"), F.min("n_bytes").alias("smallest_bytes"),
+    )
+
+
+def p2_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing_report(table(spark, sf_dir, "sst_file"), table(spark, sf_dir, "sst_entry"))
+
+
 _P1 = """
 SELECT min(record_id) AS record_id, user_key, ts, arg_min(value, record_id) AS value, arg_min(coalesce(is_delete, false), record_id) AS del
 FROM (SELECT *, max(ts) OVER (PARTITION BY user_key) AS newest FROM wal_log
@@ -34,8 +53,16 @@ FROM (SELECT *, max(ts) OVER (PARTITION BY user_key) AS newest FROM wal_log
 WHERE ts = newest GROUP BY user_key, ts
 """
 
-QUERIES = {"p1_found": p1_found, "p1_state": p1_state}
+QUERIES = {"p1_found": p1_found, "p1_state": p1_state, "p2_found": p2_found, "p2_files": p2_files, "p2_listing": p2_listing}
 ORACLE = {
     "p1_found": f"SELECT record_id FROM ({_P1}) WHERE NOT del",
     "p1_state": f"SELECT hex(user_key) AS user_key, ts.physical AS physical, ts.logical AS logical, record_id, hex(value) AS value FROM ({_P1}) WHERE NOT del",
+    "p2_found": "SELECT entry_id FROM sst_entry QUALIFY row_number() OVER (PARTITION BY shard, user_key, ts, is_delete, value ORDER BY entry_id) > 1",
+    "p2_listing": """
+SELECT file_id, coalesce(n_listings, 0) AS n_listings, n_listed, coalesce(n_there, 0) AS n_there,
+  CASE WHEN n_listings IS NULL THEN 'unlisted' WHEN coalesce(n_there, 0) = 0 THEN 'empty' WHEN n_listed IS NULL THEN 'count_missing'
+       WHEN n_listed <> n_there THEN 'count_wrong' ELSE 'ok' END AS status
+FROM (SELECT file_id, count(*) AS n_listings, max(n_entries)::BIGINT AS n_listed FROM sst_file GROUP BY file_id)
+FULL JOIN (SELECT file_id, count(*) AS n_there FROM sst_entry GROUP BY file_id) USING (file_id)
+""",
 }
