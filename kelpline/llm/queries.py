@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from kelpline.llm import multi_index
 from kelpline.llm.seen_keys import error_rate, seen_probes
 from kelpline.sources.tables import table
 
@@ -16,11 +18,58 @@ def p4_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return error_rate(table(spark, sf_dir, "key_probe"), table(spark, sf_dir, "sst_entry"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_error_rate": p4_error_rate}
+DIM = 64
+
+
+def _collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    disk = table(spark, sf_dir, "vamana_vector").select("vec_id", F.col("embedding").alias("vector"))
+    nodes = table(spark, sf_dir, "hnsw_node").select("vec_id", "vector", "is_tombstone")
+    return multi_index.collection([disk, nodes], DIM, nodes.where("is_tombstone"))
+
+
+def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries = multi_index.valid_queries(table(spark, sf_dir, "vector_query"), DIM)
+    index = multi_index.build(_collection(spark, sf_dir), DIM)
+    return multi_index.within_radius(multi_index.search(index, queries), queries)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nearest(spark, sf_dir).select("query_id", "vec_id")
+
+
+def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the queries whose id 20 divides: how much of the exact answer over all rows is found."""
+    vectors = _collection(spark, sf_dir)
+    queries = multi_index.valid_queries(table(spark, sf_dir, "vector_query"), DIM).where("query_id % 20 = 0")
+    got = multi_index.search(multi_index.build(vectors, DIM), queries).select("query_id", "vec_id").withColumn("got", F.lit(1))
+    true = multi_index.brute_force(vectors, queries, DIM).select("query_id", "vec_id")
+    return true.join(got, ["query_id", "vec_id"], "left").agg(
+        F.countDistinct("query_id").alias("n_queries"), F.count("*").alias("n_true"), F.count("got").alias("n_found"),
+        (F.count("got") / F.greatest(F.count("*"), F.lit(1))).alias("recall"),
+    )
+
+
+QUERIES = {"p4_found": p4_found, "p4_error_rate": p4_error_rate, "p5_found": p5_found, "p5_recall": p5_recall}
 ORACLE = {
     "p4_found": """
 SELECT probe_id FROM key_probe WHERE user_key IS NOT NULL AND
   (user_key IN (SELECT user_key FROM sst_entry WHERE user_key IS NOT NULL)
    OR probe_id NOT IN (SELECT min(probe_id) FROM key_probe WHERE user_key IS NOT NULL GROUP BY user_key))
+""",
+    "p5_found": """
+WITH valid AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM vamana_vector UNION ALL SELECT vec_id, vector::DOUBLE[] FROM hnsw_node),
+collection AS (
+  SELECT vec_id, first(v) AS v FROM valid
+  WHERE len(v) = 64 AND len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+    AND vec_id NOT IN (SELECT vec_id FROM hnsw_node WHERE is_tombstone AND vec_id IS NOT NULL)
+  GROUP BY vec_id),
+q AS (
+  SELECT query_id, vector::DOUBLE[] AS v, k, radius::DOUBLE AS radius FROM vector_query
+  WHERE k > 0 AND len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NOT NULL AND isfinite(x))) = 64)
+SELECT query_id, vec_id FROM (
+  SELECT query_id, vec_id, k, radius, list_distance(q.v, c.v) AS d FROM q, collection c
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) <= k)
+WHERE radius IS NULL OR d <= radius
 """,
 }
