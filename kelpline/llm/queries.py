@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.llm import multi_index
+from kelpline.llm.mixing import mix
+from kelpline.llm.packing import pack_documents, packing_report
 from kelpline.llm.seen_keys import error_rate, seen_probes
 from kelpline.sources.tables import table
 
@@ -49,7 +51,23 @@ def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p4_found": p4_found, "p4_error_rate": p4_error_rate, "p5_found": p5_found, "p5_recall": p5_recall}
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_spec"))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_report(p6_packed(spark, sf_dir))
+
+
+def p7_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[1]
+
+
+QUERIES = {"p4_found": p4_found, "p4_error_rate": p4_error_rate, "p5_found": p5_found, "p5_recall": p5_recall, "p6_packed": p6_packed, "p6_report": p6_report, "p7_mixed": p7_mixed, "p7_shares": p7_shares}
 ORACLE = {
     "p4_found": """
 SELECT probe_id FROM key_probe WHERE user_key IS NOT NULL AND
