@@ -5,13 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.llm import multi_index
+from kelpline.llm import clusters, multi_index
 from kelpline.llm.mixing import mix
 from kelpline.llm.packing import pack_documents, packing_report
 from kelpline.llm.seen_keys import error_rate, seen_probes
 from kelpline.sources.tables import table
 
 
+DIM = 64
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, _ = clusters.groups(clusters.valid_vectors(table(spark, sf_dir, "vamana_vector"), DIM), DIM)
+    return members.where("size >= 3").select("lead_id", "vec_id")
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each group of three or more: size, leaves, and the most typical members of its largest leaf."""
+    _, leaf_rows = clusters.groups(clusters.valid_vectors(table(spark, sf_dir, "vamana_vector"), DIM), DIM)
+    return leaf_rows.where("group_size >= 3").groupBy("lead_id").agg(
+        F.first("group_size").alias("size"), F.count("*").alias("n_leaves"), F.max("radius").alias("widest_leaf"),
+        F.max_by("typical_ids", F.struct("size", F.negative("leaf"))).alias("typical_ids"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen_probes(table(spark, sf_dir, "key_probe"), table(spark, sf_dir, "sst_entry"))
 
@@ -20,9 +36,6 @@ def p4_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return error_rate(table(spark, sf_dir, "key_probe"), table(spark, sf_dir, "sst_entry"))
 
 
-DIM = 64
-
-
 def _collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     disk = table(spark, sf_dir, "vamana_vector").select("vec_id", F.col("embedding").alias("vector"))
     nodes = table(spark, sf_dir, "hnsw_node").select("vec_id", "vector", "is_tombstone")
@@ -67,7 +80,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[1]
 
 
-QUERIES = {"p4_found": p4_found, "p4_error_rate": p4_error_rate, "p5_found": p5_found, "p5_recall": p5_recall, "p6_packed": p6_packed, "p6_report": p6_report, "p7_mixed": p7_mixed, "p7_shares": p7_shares}
+QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_error_rate": p4_error_rate, "p5_found": p5_found, "p5_recall": p5_recall, "p6_packed": p6_packed, "p6_report": p6_report, "p7_mixed": p7_mixed, "p7_shares": p7_shares}
 ORACLE = {
     "p4_found": """
 SELECT probe_id FROM key_probe WHERE user_key IS NOT NULL AND
@@ -89,5 +102,15 @@ SELECT query_id, vec_id FROM (
   SELECT query_id, vec_id, k, radius, list_distance(q.v, c.v) AS d FROM q, collection c
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) <= k)
 WHERE radius IS NULL OR d <= radius
+""",
+    "p3_found": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, first(embedding::DOUBLE[]) AS e FROM vamana_vector
+  WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+  GROUP BY vec_id),
+near AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM v a, v b WHERE list_distance(a.e, b.e) <= 0.9),
+reach AS (SELECT vec_id AS lead, vec_id FROM v UNION SELECT least(r.lead, n.x), n.y FROM reach r JOIN near n ON r.vec_id = n.x),
+led AS (SELECT vec_id, min(lead) AS lead_id FROM reach GROUP BY vec_id)
+SELECT lead_id, vec_id FROM led QUALIFY count(*) OVER (PARTITION BY lead_id) >= 3
 """,
 }
