@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kelpline.llm import clusters, multi_index
 from kelpline.llm.mixing import mix
 from kelpline.llm.packing import pack_documents, packing_report
+from kelpline.llm.sentences import split_documents
 from kelpline.llm.seen_keys import error_rate, seen_probes
 from kelpline.sources.tables import table
 
@@ -80,7 +81,11 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[1]
 
 
-QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_error_rate": p4_error_rate, "p5_found": p5_found, "p5_recall": p5_recall, "p6_packed": p6_packed, "p6_report": p6_report, "p7_mixed": p7_mixed, "p7_shares": p7_shares}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_error_rate": p4_error_rate, "p5_found": p5_found, "p5_recall": p5_recall, "p6_packed": p6_packed, "p6_report": p6_report, "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p8_found": p8_found}
 ORACLE = {
     "p4_found": """
 SELECT probe_id FROM key_probe WHERE user_key IS NOT NULL AND
