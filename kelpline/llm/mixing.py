@@ -120,8 +120,9 @@ def laid_out(docs: DataFrame, targets: DataFrame, vocabulary: str, chunk_docs: i
 
 
 def read_targets(targets: DataFrame) -> DataFrame:
-    """One row per cleaned source; null sources, shares or repeats are left out. Must be a small table."""
-    t = targets.where("source IS NOT NULL AND target_share IS NOT NULL AND max_repeats IS NOT NULL").groupBy(clean(F.col("source")).alias("source")).agg(
+    """One row per cleaned source (of several the shares add up, the fewest repeats hold); rows with a null
+    source or repeats, or a share that isn't positive, are left out. Must be a small table."""
+    t = targets.where("source IS NOT NULL AND target_share > 0 AND NOT isnan(target_share) AND max_repeats IS NOT NULL").groupBy(clean(F.col("source")).alias("source")).agg(
         F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
     if t.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources have a target")
@@ -143,7 +144,7 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, vo
     blocks = {s: -(-t // block) for s, t in have.items()}
     n_slots = -(-(sum(have.values()) if total_tokens is None else total_tokens) // block)
     names = sorted(spec)
-    caps = {s: blocks.get(s, 0) * spec[s][1] for s in names}
+    caps = {s: blocks.get(s, 0) * max(0, spec[s][1]) for s in names}
     plan = slot_plan(blocks, spec, n_slots)
     drawn = draw_counts(plan, caps, SLOTS_PER_SHARD, seed)
     starts = np.vstack([np.zeros((1, len(names)), np.int64), drawn.cumsum(0)])[:-1] if len(drawn) else drawn

@@ -293,8 +293,10 @@ def brute_force(vectors: DataFrame, queries: DataFrame, dim: int) -> DataFrame:
 
 
 def valid_queries(queries: DataFrame, dim: int) -> DataFrame:
-    """``query_id, k, radius, v`` of the queries with a valid vector and k > 0."""
-    return packed(queries.where("k > 0"), "query_id", "vector", dim, ["k", "radius"])
+    """``query_id, k, radius, v`` of the queries with a valid vector and k > 0. A query_id counts once; of
+    several valid rows of one id the least (by vector bytes, k, radius) is taken."""
+    rows = packed(queries.where("k > 0"), "query_id", "vector", dim, ["k", "radius"])
+    return rows.groupBy("query_id").agg(F.min(F.struct("v", "k", "radius")).alias("q")).select("query_id", "q.k", "q.radius", "q.v")
 
 
 def within_radius(result: DataFrame, queries: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ leave one group: so no task ever holds more than FAN_IN * WINDOWS windows.
 
 A document larger than the capacity fills whole containers of its own and its rest is an item; no
 other document is divided. A document without tokens (null or empty text) is an item of size 0, so
-every document is in some container. Repeated rows are items each. Specs with a null or non-positive
+every document is in some container, as is one without a doc_id. Repeated rows are items each. Specs with a null or non-positive
 capacity are left out; of equal names each distinct capacity counts.
 """
 
@@ -26,6 +26,7 @@ from kelpline.session import materialize
 
 WINDOWS = 32
 FAN_IN = 16
+NO_ID = -(2**63)
 DOCS_PER_PARTITION = 25_000
 SCHEMA = "spec_name STRING, capacity_tokens INT, grp INT, open BOOLEAN, container_id STRING, place INT, doc_id BIGINT, tok_start BIGINT, tok_end BIGINT"
 
@@ -105,7 +106,8 @@ def pack_documents(docs: DataFrame, specs: DataFrame, vocabulary: str = VOCABULA
     wanted = [(r.spec_name, r.capacity_tokens) for r in specs.where("capacity_tokens > 0").distinct().orderBy("spec_name", "capacity_tokens").limit(1000).collect()]
     if len(wanted) == 1000:
         raise ValueError("1000 specs or more in one run")
-    sizes = materialize(token_counts(docs, vocabulary), "tokens")
+    named = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")  # no nulls, so ids stay integers in pandas
+    sizes = materialize(token_counts(named, vocabulary), "tokens")
     groups = max(1, -(-sizes.count() // docs_per_partition))
 
     def first(df: pd.DataFrame) -> pd.DataFrame:
@@ -127,6 +129,7 @@ def pack_documents(docs: DataFrame, specs: DataFrame, vocabulary: str = VOCABULA
     for d in done[1:]:
         rows = rows.unionByName(d)
     fill = rows.groupBy("spec_name", "capacity_tokens", "container_id").agg(F.sum(F.col("tok_end") - F.col("tok_start")).alias("fill"))
+    rows = rows.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
     return rows.drop("grp", "open").join(fill, ["spec_name", "capacity_tokens", "container_id"]).withColumn("unused", F.col("capacity_tokens") - F.col("fill"))
 
 

@@ -148,7 +148,7 @@ def partitions_for(n_rows: int, keys_per_partition: int = KEYS_PER_PARTITION) ->
 
 def first_probes(probes: DataFrame) -> DataFrame:
     """The distinct non-null keys of the batch, each with its smallest probe_id."""
-    return probes.where("user_key IS NOT NULL").groupBy("user_key").agg(F.min("probe_id").alias("first_id"))
+    return probes.where("user_key IS NOT NULL AND probe_id IS NOT NULL").groupBy("user_key").agg(F.min("probe_id").alias("first_id"))
 
 
 def answered(probes: DataFrame, stored: DataFrame, n_parts: int | None = None) -> DataFrame:
@@ -167,12 +167,12 @@ def answered(probes: DataFrame, stored: DataFrame, n_parts: int | None = None) -
 def seen_probes(probes: DataFrame, stored: DataFrame, n_parts: int | None = None) -> DataFrame:
     """The probe_ids whose key was stored or came in a probe of a smaller probe_id.
 
-    A probe with a null key is never seen. A probe is new only if it is the first of its key and the
+    A probe with a null key is never seen; one without a probe_id has no place in the order and isn't asked. A probe is new only if it is the first of its key and the
     key is not stored, so the answer is an anti join on the unique probe_id: no key is hot in it.
     Empty tables give empty results.
     """
     new = answered(probes, stored, n_parts).where(~F.col("in_store")).select(F.col("first_id").alias("new_id"))
-    return probes.where("user_key IS NOT NULL").select("probe_id").join(new, F.col("probe_id") == F.col("new_id"), "left_anti")
+    return probes.where("user_key IS NOT NULL AND probe_id IS NOT NULL").select("probe_id").join(new, F.col("probe_id") == F.col("new_id"), "left_anti")
 
 
 def error_rate(probes: DataFrame, stored: DataFrame, n_parts: int | None = None) -> DataFrame:

@@ -518,4 +518,5 @@ def split_documents(docs: DataFrame) -> DataFrame:
                             stops.append(at + e)
             yield pd.DataFrame({"doc_id": ids, "start_pos": starts, "end_pos": stops})
 
-    return docs.select("doc_id", "text", "cells").mapInPandas(run, "doc_id BIGINT, start_pos INT, end_pos INT")
+    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "cells")  # text, so that null ids don't make them floats
+    return named.mapInPandas(run, "doc_id STRING, start_pos INT, end_pos INT").withColumn("doc_id", F.col("doc_id").cast("bigint"))
