@@ -28,7 +28,7 @@ WINDOWS = 32
 FAN_IN = 16
 NO_ID = -(2**63)
 DOCS_PER_PARTITION = 25_000
-SCHEMA = "spec_name STRING, capacity_tokens INT, grp INT, open BOOLEAN, container_id STRING, place INT, doc_id BIGINT, tok_start BIGINT, tok_end BIGINT"
+SCHEMA = "spec_name STRING, capacity_tokens INT, grp INT, open BOOLEAN, container_id STRING, place INT, doc_id BIGINT, tok_start BIGINT, tok_end BIGINT, fill BIGINT"
 
 Piece = tuple[int, int, int]  # doc_id, tok_start, tok_end
 
@@ -87,8 +87,11 @@ def merge(leftovers: list[list[Piece]], capacity: int, keep: int) -> tuple[list[
 
 
 def _rows(spec: str, capacity: int, grp: int, tag: str, done: list, still_open: list) -> pd.DataFrame:
-    rows = [(spec, capacity, grp, o, f"{tag}.{grp}.{n}", p, *piece) for n, (o, c) in enumerate([*((False, c) for c in done), *((True, c) for c in still_open)]) for p, piece in enumerate(c)]
-    return pd.DataFrame(rows, columns=["spec_name", "capacity_tokens", "grp", "open", "container_id", "place", "doc_id", "tok_start", "tok_end"])
+    rows = []
+    for n, (o, c) in enumerate([*((False, c) for c in done), *((True, c) for c in still_open)]):
+        fill = sum(e - s for _, s, e in c)
+        rows += [(spec, capacity, grp, o, f"{tag}.{grp}.{n}", p, *piece, fill) for p, piece in enumerate(c)]
+    return pd.DataFrame(rows, columns=["spec_name", "capacity_tokens", "grp", "open", "container_id", "place", "doc_id", "tok_start", "tok_end", "fill"])
 
 
 def _joiner(level: int, last: bool):
@@ -128,9 +131,8 @@ def pack_documents(docs: DataFrame, specs: DataFrame, vocabulary: str = VOCABULA
     rows = done[0]
     for d in done[1:]:
         rows = rows.unionByName(d)
-    fill = rows.groupBy("spec_name", "capacity_tokens", "container_id").agg(F.sum(F.col("tok_end") - F.col("tok_start")).alias("fill"))
     rows = rows.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
-    return rows.drop("grp", "open").join(fill, ["spec_name", "capacity_tokens", "container_id"]).withColumn("unused", F.col("capacity_tokens") - F.col("fill"))
+    return rows.drop("grp", "open").withColumn("unused", F.col("capacity_tokens") - F.col("fill"))
 
 
 def packing_report(packed: DataFrame) -> DataFrame:

@@ -34,6 +34,7 @@ from kelpline.llm.prose import blocks, text_cells
 from kelpline.session import materialize
 
 SAMPLE_DOCS = 4096
+NO_ID = -(2**63)
 #: Types rarer than this share of a language's words are left out of the model, which bounds it to a million rows a language.
 LEAST_SHARE = 1e-6
 ABBREVIATION_SCORE = 0.3
@@ -144,11 +145,19 @@ class Model:
     starts: dict[str, float] = field(default_factory=dict)
     pairs: dict[tuple[str, str], int] = field(default_factory=dict)
     totals: dict[str, int] = field(default_factory=dict)
+    opened: int = 0  # sentence openings that the shares in ``starts`` come from
+
+    def too_often(self, before: str, word: str) -> bool:
+        """Whether ``word`` follows ``before`` more often than as a sentence opening, by its share and the
+        error of a share learned from that many openings."""
+        share = self.starts.get(word, 0.0)
+        if share:
+            share += 0.5 / math.sqrt(max(1, self.opened))
+        return self.pairs.get((before, word), 0) > OVER * self.totals.get(before, 0) * share + OVER
 
     def fits_start(self, before: str, word: str) -> bool:
         """Whether ``word`` opens sentences, and follows ``before`` no more often than it would by that."""
-        share = self.starts.get(word, 0.0)
-        return share > 0 and self.pairs.get((before, word), 0) <= OVER * self.totals.get(before, 0) * share + OVER
+        return self.starts.get(word, 0.0) > 0 and not self.too_often(before, word)
 
 
 def next_word(text: str, at: int, script: str) -> str:
@@ -305,7 +314,7 @@ def ends(text: str, c: Candidate, script: str, model: Model) -> bool:
     bound = before in model.abbreviations or INITIAL.match(before)
     if before == NUM:
         bound = True if lower or word == NUM else model.totals.get(NUM, 0) > 0
-    if bound or len(before) <= SHORT and model.pairs.get((before, word), 0) > OVER * model.totals.get(before, 0) * model.starts.get(word, 0.0) + OVER:
+    if bound or len(before) <= SHORT and model.too_often(before, word):
         return model.fits_start(before, word)
     return not lower or model.starts.get(word, 0) > 0
 
@@ -451,6 +460,7 @@ def models(starts: list[tuple], types: list[tuple], pairs: list[tuple]) -> dict[
         out.setdefault(lang, Model()).starts[a] = n
         opened[lang] += n
     for lang, m in out.items():
+        m.opened = opened[lang]
         m.starts = {w: n / opened[lang] for w, n in m.starts.items() if n >= 2 or opened[lang] < 200}
     follow: dict[tuple[str, str], Counter] = {}
     for lang, a, b, n in pairs:
@@ -470,7 +480,7 @@ def models(starts: list[tuple], types: list[tuple], pairs: list[tuple]) -> dict[
         n_all = n + (n_word if "." not in a else 0)
         score = _likelihood(n, n_all, periods[lang], words or 1) * math.exp(-bare_length) * (a.count(".") + 1) * bare_length ** -float(min(60, n_all - n))
         on = follow.get((lang, a), Counter())
-        goes_on = sum(n for w, n in on.items() if m.starts.get(w, 0) == 0 or n > OVER * m.totals.get(a, 0) * m.starts[w] + OVER)
+        goes_on = sum(k for w, k in on.items() if not m.starts.get(w) or m.too_often(a, w))
         # a type seen to go on in most places is an abbreviation even if it is long
         share = goes_on / max(1, sum(on.values()))
         if (score >= ABBREVIATION_SCORE and share >= GOES_ON_SHARE) or (share >= 0.5 and goes_on >= 4 and n >= 0.5 * n_all):
@@ -518,5 +528,6 @@ def split_documents(docs: DataFrame) -> DataFrame:
                             stops.append(at + e)
             yield pd.DataFrame({"doc_id": ids, "start_pos": starts, "end_pos": stops})
 
-    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "cells")  # text, so that null ids don't make them floats
-    return named.mapInPandas(run, "doc_id STRING, start_pos INT, end_pos INT").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    named = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", "cells")  # no nulls, so ids stay integers in pandas
+    found = named.mapInPandas(run, "doc_id BIGINT, start_pos INT, end_pos INT")
+    return found.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
