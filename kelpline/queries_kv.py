@@ -24,6 +24,10 @@ def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mvcc.history(table(spark, sf_dir, "wal_log"), "record_id")
 
 
+def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mvcc.copies(table(spark, sf_dir, "wal_log"), "record_id")
+
+
 def _out(rows: DataFrame) -> DataFrame:
     return rows.select(F.hex("user_key").alias("user_key"), "physical", "logical", F.hex("value").alias("value"))
 
@@ -34,7 +38,7 @@ def _kept(rows: DataFrame) -> DataFrame:
 
 def mvcc_get_as_of(spark, sf_dir):
     """The hot key as of several times."""
-    v, out = _versions(spark, sf_dir), None
+    v, out = _copies(spark, sf_dir), None
     for t in GET_TIMES:
         one = _out(mvcc.get(v, HOT_KEY, (t, 0))).withColumn("as_of", F.lit(t))
         out = one if out is None else out.unionByName(one)
@@ -42,11 +46,11 @@ def mvcc_get_as_of(spark, sf_dir):
 
 
 def mvcc_scan_as_of(spark, sf_dir):
-    return _out(mvcc.scan(_versions(spark, sf_dir), as_of=AS_OF))
+    return _out(mvcc.scan(_copies(spark, sf_dir), as_of=AS_OF))
 
 
 def mvcc_range_scan(spark, sf_dir):
-    return _out(mvcc.search_range(_versions(spark, sf_dir), START, END))
+    return _out(mvcc.search_range(_copies(spark, sf_dir), START, END))
 
 
 def mvcc_compact(spark, sf_dir):
@@ -68,7 +72,7 @@ def merge_runs(spark, sf_dir):
 
 
 def snapshot(spark, sf_dir):
-    return _out(mvcc.scan(_versions(spark, sf_dir)))
+    return _out(mvcc.scan(_copies(spark, sf_dir)))
 
 
 def wal_prefix(spark, sf_dir):
@@ -78,13 +82,13 @@ def wal_prefix(spark, sf_dir):
 
 
 def kv_prefix(spark, sf_dir):
-    rows = mvcc.scan(_versions(spark, sf_dir))
+    rows = mvcc.scan(_copies(spark, sf_dir))
     return _out(rows.where(keys.starts_with(F.col("user_key"), b"run_")))
 
 
 def kv_vectors(spark, sf_dir):
     """Live keys 'vec:<id>' with their ids."""
-    rows = mvcc.scan(_versions(spark, sf_dir)).withColumn("vec_id", keys.vector_id(F.col("user_key")))
+    rows = mvcc.scan(_copies(spark, sf_dir)).withColumn("vec_id", keys.vector_id(F.col("user_key")))
     return rows.where("vec_id IS NOT NULL").select(F.hex("user_key").alias("user_key"), "vec_id")
 
 
