@@ -21,7 +21,22 @@ DELIMITER = re.compile(r"\s*\|?\s*:?-{2,}:?\s*(?:\|\s*:?-{2,}:?\s*)+\|?\s*$")
 MATH = re.compile(r"\s*(\$\$|\\\[|\\begin\{(\w+\*?)\})")
 
 
-@dataclass
+#: Characters that a line with a marker of its own may begin with.
+SPECIAL = set("`~$\\|!<#=-*_>+•:0123456789")
+
+
+def _lines(text: str) -> list[tuple[int, str]]:
+    """(offset, line without its break); CR, LF and CRLF are breaks."""
+    if text.count("\r") != text.count("\r\n"):
+        return [(m.start(), m.group().rstrip("\r\n")) for m in LINE.finditer(text) if m.group()]
+    out, at = [], 0
+    for line in text.split("\n"):
+        out.append((at, line[:-1] if line.endswith("\r") else line))
+        at += len(line) + 1
+    return out
+
+
+@dataclass(slots=True)
 class Block:
     kind: str  # 'p' paragraph, 'q' quote, 'l' list item, 'h' heading
     spans: list[tuple[int, int]]  # of each line's content within the cell
@@ -39,7 +54,7 @@ def blocks(text: str) -> list[Block]:
     """The prose blocks of one text cell. Fenced code, tables, display formulas, image lines and rules are
     passed over; a block goes on over lines without a marker of their own."""
     out: list[Block] = []
-    lines = [(m.start(), m.group().rstrip("\r\n")) for m in LINE.finditer(text) if m.group()]
+    lines = _lines(text)
     i, now = 0, None
     while i < len(lines):
         at, line = lines[i]
@@ -48,6 +63,12 @@ def blocks(text: str) -> list[Block]:
         if not bare:
             now = None
             continue
+        if bare[0] not in SPECIAL and "|" not in line:
+            if now is None:
+                now = Block("p", [])
+                out.append(now)
+            now.spans.append((at, at + len(line)))
+            continue
         if m := FENCE.match(line):
             mark = m.group(1)
             while i < len(lines):

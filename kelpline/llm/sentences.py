@@ -25,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -42,38 +43,36 @@ GOES_ON_SHARE = 0.04
 OVER = 3.0
 SHORT = 3
 
-#: Letters of each script; what is not ASCII and in none of the others counts as Latin if it is a letter.
-SCRIPTS = {
-    "thai": re.compile("[\u0e00-\u0e7f]"), "cjk": re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]"),
-    "deva": re.compile("[\u0900-\u097f]"), "arab": re.compile("[\u0600-\u06ff]"), "cyrl": re.compile("[\u0400-\u04ff]"),
-    "grek": re.compile("[\u0370-\u03ff\u1f00-\u1fff]"), "hang": re.compile("[\uac00-\ud7af]"),
-}
-LATIN = re.compile("[A-Za-z\u00c0-\u024f]")
+#: Code point ranges of the scripts' letters.
+SCRIPTS = [
+    ("latn", 0x41, 0x5A), ("latn", 0x61, 0x7A), ("latn", 0xC0, 0x24F), ("grek", 0x370, 0x3FF), ("cyrl", 0x400, 0x4FF), ("arab", 0x600, 0x6FF),
+    ("deva", 0x900, 0x97F), ("thai", 0xE00, 0xE7F), ("grek", 0x1F00, 0x1FFF), ("cjk", 0x3040, 0x30FF), ("cjk", 0x3400, 0x9FFF), ("hang", 0xAC00, 0xD7AF), ("cjk", 0xF900, 0xFAFF),
+]
 KANA = re.compile("[\u3040-\u30ff]")
-BEYOND_LATIN = re.compile("[\u0370-\uffff]")
+BEYOND_LATIN = re.compile("[\u0370-\u1dff\u1f00-\u1fff\u3040-\uffff]")
 #: Pairs of quotes and brackets.
 PAIRS = {"(": ")", "[": "]", "{": "}", "„": "“”", "“": "”", "«": "»", "‹": "›", "「": "」", "『": "』", "（": "）", "【": "】", "《": "》", "［": "］"}
 CLOSERS = set("".join(PAIRS.values()))
 ONLY_CLOSERS = CLOSERS - set(PAIRS)
 OPENING = "\"'„“‘«‹「『(（[{¿¡【《*_"
 CJK_ENDS = "。！？．"
-HARD = set(CJK_ENDS + "!?")
 FINAL = set(".!?…।؟۔" + CJK_ENDS)
+ENDS = ".!?;\u037e؟।॥۔。！？．‼⁇⁈⁉…"
+MARKS = "\"()[]{}" + "„“”«»‹›「」『』（）【】《》"
+#: Begins with one character class, which the regex engine can skip to; what it is, the lookbehinds tell.
 EVENT = re.compile(
-    r"(?P<code>`+)|(?P<url>https?://(?:(?![.!?][^\W\d_a-z])[^\s<>\"”。，（）()])+(?<![.,;:!?'’*_…]))|(?P<math>\$[^\s$](?:[^$\n]*[^\s$])?\$)"
-    r"|(?P<dots>\.{2,}|…+)|(?P<end>[.!?;;؟।॥۔。！？．‼⁇⁈⁉]+)"
-    r"|(?P<pair>[\"()\[\]{}„“”«»‹›「」『』（）【】《》])"
+    rf"[{re.escape(ENDS + MARKS)}`$h](?:(?<=[{ENDS}])(?P<end>[{ENDS}]*)|(?<=[{re.escape(MARKS)}])(?P<pair>)|(?<=`)(?P<code>`*)"
+    r"|(?<=h)(?P<url>ttps?://(?:(?![.!?][^\W\d_a-z])[^\s<>\"”。，（）()])+(?<![.,;:!?'’*_…]))|(?<=\$)(?P<math>[^\s$](?:[^$\n]*[^\s$])?\$))"
 )
 WORD = re.compile(r"[^\W\d_][\w'’-]*", re.UNICODE)
 BARE = re.compile(r"[^\W\d_][\w'’-]*+(?!\.)", re.UNICODE)
-TOKEN_BEFORE = re.compile(r"[^\s\"„“”«»()\[\]{}¿¡`]*$")
+AROUND = re.compile(r"[\"„“”«»()\[\]{}¿¡`]")
 JOINED = re.compile(r"[^\W\d_]{3}[.!?]((?=[^\W\d_])[^a-z]\S*)$")
 NUMERIC = re.compile(r"[-+]?\d[\d.,:/]*$")
 INITIAL = re.compile(r"[^\W\d_]$")
 SPACE = re.compile(r"\s*")
 SPACE_OR_OPENING = re.compile(r"[\s" + re.escape(OPENING) + r"]*")
 NEXT = re.compile(r"[\w\u0900-\u0dff\u0e31-\u0e4e'’.-]*[\w\u0900-\u0dff\u0e31-\u0e4e]")
-MORE_DOTS, MORE_MARKS = re.compile(r"[.…]+"), re.compile(r"[!?。！？.]+")
 NOT_BREAK = re.compile(r"[^\r\n]")
 DATE = re.compile(r"(?<!\d)\d{1,2}$")
 AFTER_DATE = re.compile(r"\d{1,2}\.|\d{4}\b")
@@ -85,12 +84,17 @@ def script_of(text: str) -> str:
     """The script most letters of the text belong to; ideographs and kana count double, as they are words."""
     if not BEYOND_LATIN.search(text):
         return "latn"
-    best, most = "latn", len(LATIN.findall(text))
-    for name, pattern in SCRIPTS.items():
-        n = len(pattern.findall(text)) * (2 if name == "cjk" else 1)
-        if n > most:
-            best, most = name, n
-    return best
+    n: Counter = Counter()
+    for c, k in Counter(text).items():
+        n[script_of_letter(c)] += k
+    n["cjk"] *= 2
+    del n[""]
+    return max(n, key=lambda s: (n[s], s == "latn"), default="latn")
+
+
+@lru_cache(maxsize=1 << 16)
+def script_of_letter(c: str) -> str:
+    return next((name for name, lo, hi in SCRIPTS if lo <= ord(c) <= hi), "")
 
 
 def label_of(lang: str | None) -> str:
@@ -104,15 +108,17 @@ class Languages:
     """Naive Bayes over words, fitted on a bounded sample of labelled rows; told apart only within a script."""
 
     by_script: dict[str, list[str]] = field(default_factory=dict)
-    weights: dict[str, dict[str, float]] = field(default_factory=dict)
-    unseen: dict[str, float] = field(default_factory=dict)
+    #: Per script the weights of each word, in the order of its languages, and those of an unseen word.
+    weights: dict[str, dict[str, tuple[float, ...]]] = field(default_factory=dict)
+    unseen: dict[str, tuple[float, ...]] = field(default_factory=dict)
 
     def of(self, script: str, words: list[str]) -> str:
         known = self.by_script.get(script, [])
         if len(known) < 2:
             return known[0] if known else script
-        counts = Counter(words)
-        return max(known, key=lambda k: (sum(n * self.weights[k].get(w, self.unseen[k]) for w, n in counts.items()), k))
+        table, unseen = self.weights[script], self.unseen[script]
+        sums = map(sum, zip(*[table.get(w, unseen) for w in words])) if words else unseen
+        return max(zip(sums, known))[1]
 
 
 def fit_languages(rows: list[tuple[str, str]]) -> Languages:
@@ -131,9 +137,11 @@ def fit_languages(rows: list[tuple[str, str]]) -> Languages:
         if size[k] < 0.05 * max(size[j] for j in counts if home[j] == home[k]):
             continue
         out.by_script.setdefault(home[k], []).append(k)
-        total = size[k] + 0.5 * (len(c) + 1)
-        out.weights[k] = {w: math.log((n + 0.5) / total) for w, n in c.items()}
-        out.unseen[k] = math.log(0.5 / total)
+    for script, known in out.by_script.items():
+        total = {k: size[k] + 0.5 * (len(counts[k]) + 1) for k in known}
+        weight = lambda w: tuple(math.log((counts[k][w] + 0.5) / total[k]) for k in known)  # noqa: B023, E731
+        out.weights[script] = {w: weight(w) for k in known for w in counts[k]}
+        out.unseen[script] = tuple(math.log(0.5 / total[k]) for k in known)
     return out
 
 
@@ -182,8 +190,12 @@ def next_word(text: str, at: int, script: str) -> str:
 def type_before(text: str, at: int) -> str:
     """The word type ending just before a period at ``at``: lower-cased but for single capitals' case and
     leading capitals of short words, numbers as NUM, '' if none."""
-    m = TOKEN_BEFORE.search(text, max(0, at - 40), at)
-    t = m.group().strip("*_'‘’") if m else ""
+    piece = text[max(0, at - 40) : at]
+    if not piece or piece[-1].isspace():
+        return ""
+    t = piece.rsplit(None, 1)[-1]
+    if not t.isalnum():
+        t = AROUND.split(t)[-1].strip("*_'‘’")
     if not t:
         return ""
     if NUMERIC.match(t):
@@ -196,7 +208,7 @@ def type_before(text: str, at: int) -> str:
     return t if len(t) <= 3 else t.lower()
 
 
-@dataclass
+@dataclass(slots=True)
 class Candidate:
     end: int  # after end mark and closing marks
     kind: str  # 'hard', 'period', 'dots', 'close'
@@ -212,7 +224,7 @@ def candidates(text: str, script: str, greek: bool) -> list[Candidate]:
     stack: list[tuple[str, int]] = []
     skip_to = -1
     for start, end, kind, c in events:
-        if kind == "end" or kind == "dots" or start < skip_to:
+        if kind == "end" or start < skip_to:
             continue
         if kind == "code":
             close = text.find(c, end)
@@ -248,26 +260,15 @@ def candidates(text: str, script: str, greek: bool) -> list[Candidate]:
                 if last > end and (text[last - 1] in FINAL or (greek and text[last - 1] in ";\u037e")):
                     out.append(Candidate(close, "close", QUOTED, close >= len(text) or text[close].isspace(), close))
             continue
-        if kind == "end":
-            if not greek and set(mark) <= {";", "\u037e"}:
-                continue
-            follow = MORE_DOTS.match(text, end)
-            if follow and mark[-1] != ".":
-                end = follow.end()
-        elif kind != "dots":
+        if kind != "end" or (not greek and set(mark) <= {";", "\u037e"}):
             continue
-        elif nxt := MORE_MARKS.match(text, end):
-            end = nxt.end()
-            mark += nxt.group()
         while end < len(text) and (text[end] in CLOSERS or text[end] in "*_’") and end not in partner:
             end += 1
         at = end
-        if kind == "dots" and not set(mark) & HARD:
-            kind = "dots"
-        elif mark == "." or set(mark) <= {"."}:
+        if mark == ".":
             kind = "period"
         else:
-            kind = "hard"
+            kind = "dots" if set(mark) <= {".", "…"} else "hard"
         out.append(Candidate(end, kind, type_before(text, start) if kind == "period" else "", end >= len(text) or text[end].isspace(), start))
     return out
 
@@ -380,21 +381,23 @@ def _language(script: str, prose: str, languages: Languages) -> str:
     """The language of a cell."""
     if script == "cjk":
         return "cjk-kana" if KANA.search(prose) else "cjk-han"
+    if len(known := languages.by_script.get(script, ())) < 2:
+        return known[0] if known else script
     return languages.of(script, WORD.findall(prose.lower()))
 
 
-def counted(text: str, kind: str, script: str, counts: Counter) -> None:
-    """Adds one block's statistics to ``counts``: (what, a, b)."""
+def counted(text: str, kind: str, script: str, counts: Counter, words: Counter) -> None:
+    """Adds one block's statistics to ``counts``, (what, a, b), and its words without a period to ``words``."""
     if script != "cjk":
-        for w, n in Counter(BARE.findall(text)).items():
-            counts["w", w if len(w) <= 3 else w.lower(), ""] += n
+        words.update(BARE.findall(text))
     if kind == "p" and (w := next_word(text, 0, script)):
         counts["s", w, ""] += 1
     for c in candidates(text, script, script == "grek"):
+        if c.kind == "dots" or c.kind == "period" and not (c.before and c.spaced):
+            continue
         word = next_word(text, c.end, script)
         if c.kind == "period":
-            if c.before and c.spaced:
-                counts["p", c.before, word] += 1
+            counts["p", c.before, word] += 1
         elif c.kind == "close":
             if word and SPACE.match(text, c.end).end() < len(text) and text[SPACE.match(text, c.end).end()] not in ",:，：、—–.":
                 counts["p", QUOTED, word] += 1
@@ -408,17 +411,17 @@ STATS = "lang STRING, what STRING, a STRING, b STRING, n BIGINT"
 def statistics(docs: DataFrame, languages: Languages) -> DataFrame:
     """Counts over all documents, ``lang, what, a, b, n``; each task sends sums."""
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[str, Counter] = {}
+        total: dict[str, tuple[Counter, Counter]] = {}
         for df in it:
             for text, cells in zip(df["text"], df["cells"]):
                 for _, cell in _cells(text, cells):
                     found, prose = _prose(cell)
                     script = script_of(prose)
-                    counts = total.setdefault(_language(script, prose, languages), Counter()) if found else None
+                    counts = total.setdefault(_language(script, prose, languages), (Counter(), Counter())) if found else ()
                     for b in found:
                         if b.kind != "h":
-                            counted(cell[b.start : b.end], b.kind, script, counts)
-            if sum(map(len, total.values())) > 200_000:
+                            counted(cell[b.start : b.end], b.kind, script, *counts)
+            if sum(len(c) + len(w) for c, w in total.values()) > 200_000:
                 yield _stat_rows(total)
                 total = {}
         yield _stat_rows(total)
@@ -426,8 +429,10 @@ def statistics(docs: DataFrame, languages: Languages) -> DataFrame:
     return docs.select("text", "cells").mapInPandas(run, STATS).groupBy("lang", "what", "a", "b").agg(F.sum("n").alias("n"))
 
 
-def _stat_rows(total: dict[str, Counter]) -> pd.DataFrame:
-    return pd.DataFrame([(lang, *k, n) for lang, c in total.items() for k, n in c.items()], columns=["lang", "what", "a", "b", "n"])
+def _stat_rows(total: dict[str, tuple[Counter, Counter]]) -> pd.DataFrame:
+    rows = [(lang, *k, n) for lang, (c, _) in total.items() for k, n in c.items()]
+    rows += [(lang, "w", w if len(w) <= 3 else w.lower(), "", n) for lang, (_, c) in total.items() for w, n in c.items()]
+    return pd.DataFrame(rows, columns=["lang", "what", "a", "b", "n"])
 
 
 def _likelihood(n_period: int, n_all: int, periods: int, words: int) -> float:
