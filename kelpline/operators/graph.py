@@ -98,10 +98,11 @@ class Graph:
         return self.beam(q, [at], max(ef, k if allowed is None else 2 * k), 0, allowed)[:k]
 
 
-def build_layered(x: np.ndarray, m: int = 16, ef_construction: int = 200, seed: int = 0) -> Graph:
-    """Insert the rows in order: levels are drawn from an exponential law, neighbours picked by diversity."""
-    g, rng, scale = Graph(x), np.random.default_rng(seed), 1 / math.log(max(2, m))
-    for row in range(len(x)):
+def build_layered(x: np.ndarray, m: int = 16, ef_construction: int = 200, seed: int = 0, into: Graph | None = None, first: int = 0) -> Graph:
+    """Insert the rows in order: levels are drawn from an exponential law, neighbours picked by diversity.
+    ``into``: a graph over the same rows that already links those before ``first``; the others are added."""
+    g, rng, scale = into or Graph(x), np.random.default_rng(seed + first), 1 / math.log(max(2, m))
+    for row in range(first, len(x)):
         level = int(-math.log(1 - rng.random()) * scale)
         if g.entry is None:
             g.layers = [{row: []} for _ in range(level + 1)]
@@ -165,6 +166,39 @@ def build(vectors: DataFrame, kind: str = "layered", **options) -> DataFrame:
     return vectors.select("shard", "vec_id", "embedding").groupBy("shard").applyInPandas(run, GRAPH)
 
 
+def insert(vectors: DataFrame, graph: DataFrame, added: DataFrame, **options) -> DataFrame:
+    """The layered graphs with the vectors ``added`` linked in. Ids that are already there are passed over;
+    only shards that get new vectors are touched, the others' rows come back as they are."""
+    new = added.select("shard", "vec_id", "embedding").dropDuplicates(["shard", "vec_id"]).join(vectors.select("shard", "vec_id"), ["shard", "vec_id"], "left_anti")
+    new = new.select(*[F.col(c).alias(c) for c in new.columns])  # columns of its own, as both sides may come from one table
+    touched = new.select("shard").distinct()
+    links = graph.join(touched, "shard", "left_semi").groupBy("shard", "vec_id").agg(F.collect_list(F.struct("layer", "neighbours", "entry")).alias("links"))
+    old = vectors.select("shard", "vec_id", "embedding").join(links, ["shard", "vec_id"])
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("vec_id")
+        ids, x, g = b["vec_id"].to_numpy(), np.stack(b["embedding"].to_list()).astype(np.float64), None
+        if len(a):
+            kept, g = load(a.sort_values("vec_id"))
+            ids, x = np.r_[kept, ids], np.concatenate([g.x, x])
+            g.x = x
+        g = build_layered(x, into=g, first=len(a), **options)
+        rows = [(b["shard"].iloc[0], layer, int(ids[i]), ids[np.array(n, int)].tolist(), i == g.entry) for layer, links in enumerate(g.layers) for i, n in links.items()]
+        return pd.DataFrame(rows, columns=["shard", "layer", "vec_id", "neighbours", "entry"])
+
+    grown = old.groupBy("shard").cogroup(new.groupBy("shard")).applyInPandas(run, GRAPH)
+    return graph.join(touched, "shard", "left_anti").select("shard", "layer", "vec_id", "neighbours", "entry").unionByName(grown)
+
+
+def graph_stats(vectors: DataFrame, graph: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
+    """One row: live vectors, edges, and bytes at 4 a dimension, 16 a vector and 8 an edge."""
+    v = vectors.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("embedding") * 4 + 16), F.lit(0)).alias("bytes"))
+    live = vectors if deleted is None else vectors.join(deleted.select("vec_id").distinct(), "vec_id", "left_anti")
+    n_live, n_bytes = live.count(), v.first()["bytes"]
+    return graph.agg(F.lit(n_live).cast("bigint").alias("n_live"), F.coalesce(F.sum(F.size("neighbours")), F.lit(0)).cast("bigint").alias("n_edges")).withColumn(
+        "memory_bytes", F.col("n_edges") * 8 + F.lit(int(n_bytes)))
+
+
 def load(rows: pd.DataFrame) -> tuple[np.ndarray, Graph]:
     """(ids, graph) of one shard from ``vec_id, embedding, links``, links being (layer, neighbours, entry)."""
     ids = rows["vec_id"].to_numpy()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kelpline.functions.distance import METRICS, literal_vector
 from kelpline.operators import graph, knn, pq
-from kelpline.plans import planner
+from kelpline.plans import execute, planner
 from kelpline.session import materialize
 from kelpline.sources.tables import table
 
@@ -210,6 +210,27 @@ def graph_filtered(spark, sf_dir):
     return knn.recall_at_k(graph.search(v, g, _queries(v), K, allowed=ok), knn.nearest_batched(ok, _queries(v), K)).agg(F.count("*").alias("n_queries"), F.avg("recall").alias("recall"))
 
 
+def planned_search(spark, sf_dir):
+    """Filter and radius under each exact strategy, with the strategy that the planner would choose."""
+    v = _vectors(spark, sf_dir)
+    q = execute.Query(_query(v), K, 1.25, v.where(F.col("label") == LABEL).select("vec_id"))
+    stats, out = planner.refreshed(v, 64), None
+    chosen = planner.plan(stats, q.ids.count())
+    for s in (planner.BRUTE, planner.PRE, planner.POST, planner.DISK):
+        one = _out(execute.run(s, v, q, stats)).select(F.lit(s).alias("strategy"), F.lit(s == chosen).alias("chosen"), "vec_id", "distance")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def graph_inserted(spark, sf_dir):
+    """Recall after half of the vectors were inserted into graphs of the other half; and the graph's size."""
+    v = _vectors(spark, sf_dir).withColumn("shard", (F.col("vec_id") % 4).cast("int"))
+    half = v.where("vec_id % 8 < 4")
+    g = materialize(graph.insert(half, materialize(graph.build(half, "layered"), "graph"), v), "graph")
+    recall = knn.recall_at_k(graph.search(v, g, _queries(v), K), knn.nearest_batched(v, _queries(v), K)).agg(F.avg("recall")).first()[0]
+    return graph.graph_stats(v, g).withColumn("recall", F.lit(recall))
+
+
 def robust_prune(spark, sf_dir):
     x = np.array([[0, 0, 0], [1, 0, 0], [1.1, 0, 0], [0, 1, 0], [0, 0, 1]], float)
     return spark.createDataFrame([(int(i),) for i in graph.robust_prune(x, 0, [1, 2, 3, 4], 1.2, 3)], "kept INT")
@@ -220,7 +241,7 @@ QUERIES = {
     **{f.__name__: f for f in (knn_exact, knn_radius, knn_filtered, knn_filtered_radius, knn_batched, range_search, knn_prefilter_radius_late,
                                knn_postfilter_overfetch, knn_limit_then_filter, knn_deleted, knn_scatter_gather, recall_at_k, index_stats, planner_grid,
                                cost_grid, selectivity, centroid, medoid, kmeans_step, pq_encode, pq_decode, pq_distance_table, pq_adc, pq_two_stage, pq_rmse,
-                               pq_train_rmse, graph_filtered, robust_prune)},
+                               pq_train_rmse, graph_filtered, graph_inserted, planned_search, robust_prune)},
     "graph_recall_hnsw": _graph_recall("layered"),
     "graph_recall_vamana": _graph_recall("flat"),
     "graph_recall_learned": _graph_recall("layered", learned=True),
@@ -269,6 +290,15 @@ SELECT *, 'BruteForceScan' AS strategy, row_count::DOUBLE AS cost FROM s UNION A
 UNION ALL SELECT *, 'OutofCoreVamana', depth * greatest(3 * k, 64) * 4 FROM s
 UNION ALL SELECT *, 'PrefilterGraph', depth * k * 2 * CASE WHEN sel < 0.05 THEN 8.0::DOUBLE ELSE 2 / (sel + 0.1::DOUBLE) END FROM s
 UNION ALL SELECT *, 'PostfilterGraph', depth * least(k / greatest(sel, 0.001::DOUBLE), row_count::DOUBLE) * 1.5 FROM s)""",
+    "planned_search": f"""WITH {_V}, n AS (SELECT (SELECT count(*) FROM v) AS n, (SELECT count(*) FROM v WHERE label = {LABEL}) AS m),
+r AS (SELECT *, row_number() OVER (ORDER BY dist, vec_id) AS rn, row_number() OVER (PARTITION BY label ORDER BY dist, vec_id) AS rl FROM d),
+h AS (SELECT r.*, least(greatest(floor({K} / greatest(m / n, 0.01)), {K}), n) AS many FROM r, n WHERE label = {LABEL} AND dist <= 1.25),
+c AS (SELECT CASE WHEN n <= 500 THEN 'BruteForceScan' WHEN m / n < 0.25 THEN 'PrefilterGraph' ELSE 'PostfilterGraph' END AS c FROM n),
+s AS (SELECT 'BruteForceScan' AS strategy, vec_id, dist FROM h QUALIFY row_number() OVER (ORDER BY dist, vec_id) <= {K}
+UNION ALL SELECT 'PrefilterGraph', vec_id, dist FROM h WHERE rl <= {K}
+UNION ALL SELECT 'PostfilterGraph', vec_id, dist FROM h WHERE rn <= many AND rl <= {K}
+UNION ALL SELECT 'OutofCoreVamana', vec_id, dist FROM h WHERE rn <= {K})
+SELECT strategy, strategy = c AS chosen, vec_id, round(dist, 6) AS distance FROM s, c""",
     "selectivity": "SELECT label, round(count(*) / (SELECT count(*) FROM embeddings), 6) AS selectivity FROM embeddings GROUP BY label",
     "centroid": "SELECT (i - 1)::INT AS pos, round(avg(x::DOUBLE), 9) AS mean FROM (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY i",
     "medoid": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), m AS (SELECT list(x ORDER BY i) AS me FROM (SELECT i, avg(x) AS x FROM (SELECT unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v) GROUP BY i)) SELECT vec_id, round(list_distance(e, me), 6) AS distance FROM v, m ORDER BY list_distance(e, me), vec_id LIMIT 1",

@@ -97,6 +97,19 @@ def test_graph_recall(spark, cloud, kind):
     assert knn.recall_at_k(learned, knn.nearest_batched(v, q, 10)).agg(F.avg("recall")).first()[0] >= r - 0.05
 
 
+def test_insert_links_new_rows(spark, cloud):
+    v = frame(spark, cloud)
+    old, q = v.where("vec_id < 200"), v.where("vec_id >= 290").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    g = graph.build(old, "layered").cache()
+    grown = graph.insert(old, g, v.where("shard < 2").unionByName(v.where("vec_id = 1"))).cache()
+    assert grown.where("shard = 2").count() == g.where("shard = 2").count()
+    assert grown.where("layer = 0 AND shard < 2").count() == v.where("shard < 2").count()
+    some = v.where("shard < 2 OR vec_id < 200")
+    assert knn.recall_at_k(graph.search(v, grown, q, 10), knn.nearest_batched(some, q, 10)).agg(F.avg("recall")).first()[0] >= 0.9
+    s = graph.graph_stats(v, grown, deleted=v.where("vec_id = 3")).first()
+    assert s.n_live == 299 and s.memory_bytes == 300 * (32 * 4 + 16) + 8 * s.n_edges
+
+
 def test_learned_entry_on_identical_points():
     e = graph.LearnedEntry(4).fit(np.ones((20, 4)), np.arange(20))
     assert e.predict(np.ones(4)) == 0 and e.predict(np.full(4, 1e6)) is None and graph.LearnedEntry(4).predict(np.ones(4)) is None
