@@ -36,8 +36,8 @@ MAX_CENTROIDS = 1024
 SHARD_ROWS = 16384
 PIECE_ROWS = 8192
 SHARD_QUERIES = 32768
-MIN_ENTRIES = 1024
-MIN_CELLS = 24
+MIN_ENTRIES = 2048
+MIN_CELLS = 48
 BLOCK = 1 << 21
 TIE = 1e-11
 
