@@ -26,28 +26,40 @@ def _dist(x: np.ndarray, rows, q: np.ndarray) -> np.ndarray:
     return np.sqrt(((x[rows] - q) ** 2).sum(-1))
 
 
+def _between(x: np.ndarray, rows: list[int]) -> np.ndarray:
+    """Distances between all of a few rows."""
+    y = x[rows]
+    sq = (y * y).sum(1)
+    return np.sqrt(np.maximum(sq[:, None] + sq[None] - 2 * y @ y.T, 0))
+
+
 def robust_prune(x: np.ndarray, p: int, candidates: list[int], alpha: float, r: int) -> list[int]:
     """At most r neighbours of p: the nearest candidate is kept, and every candidate at least alpha times
     nearer to it than to p falls away; and so on. Ties go to the smaller row."""
     rest = sorted({c for c in candidates if c != p})
-    to_p = dict(zip(rest, _dist(x, rest, x[p]))) if rest else {}
-    rest.sort(key=lambda c: (to_p[c], c))
-    kept: list[int] = []
-    while rest and len(kept) < r:
-        best = rest.pop(0)
-        kept.append(best)
-        if rest:
-            near = alpha * _dist(x, rest, x[best])
-            rest = [c for c, d in zip(rest, near) if d > to_p[c]]
+    if not rest:
+        return []
+    to_p = _dist(x, rest, x[p])
+    order = np.lexsort((rest, to_p))
+    rest, to_p = [rest[i] for i in order], to_p[order]
+    apart, open_, kept = alpha * _between(x, rest), np.ones(len(rest), bool), []
+    for i, c in enumerate(rest):
+        if open_[i] and len(kept) < r:
+            kept.append(c)
+            open_ &= apart[i] > to_p
     return kept
 
 
 def diverse_neighbours(x: np.ndarray, base: int, candidates: list[tuple[float, int]], m: int) -> list[int]:
     """A candidate is kept if it is nearer to the base than to every one kept; the rest fill up to m."""
+    candidates = sorted(candidates)
+    rows = [c for _, c in candidates]
+    apart, nearest = _between(x, rows), np.full(len(rows), np.inf)
     kept, spare = [], []
-    for d, c in sorted(candidates):
-        if len(kept) < m and (not kept or (_dist(x, kept, x[c]) > d).all()):
+    for i, (d, c) in enumerate(candidates):
+        if len(kept) < m and nearest[i] > d:
             kept.append(c)
+            np.minimum(nearest, apart[i], out=nearest)
         else:
             spare.append(c)
     return (kept + spare)[:m]
