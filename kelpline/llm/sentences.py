@@ -36,8 +36,6 @@ from kelpline.session import materialize
 
 SAMPLE_DOCS = 4096
 NO_ID = -(2**63)
-#: Types rarer than this share of a language's words are left out of the model, which bounds it to a million rows a language.
-LEAST_SHARE = 1e-6
 ABBREVIATION_SCORE = 0.3
 GOES_ON_SHARE = 0.04
 OVER = 3.0
@@ -443,56 +441,67 @@ def _likelihood(n_period: int, n_all: int, periods: int, words: int) -> float:
 
 
 def learn(stats: DataFrame) -> dict[str, Model]:
-    """The models of all languages. Counts below LEAST_SHARE of a language's words are left out, so a
-    language's rows are bounded; they are gathered only after that filter."""
+    """The models of all languages. What goes on, totals and what comes too often are summed in Spark over
+    all counts; only what ``ends`` can ask for is gathered: abbreviations, starters, pairs that come too
+    often, and the totals that are looked up."""
     stats = materialize(stats, "statistics")
-    words = stats.where("what = 'w'").groupBy("lang").agg(F.sum("n").alias("words"))
-    least = F.coalesce(F.col("words"), F.lit(0)) * LEAST_SHARE
-    kept = stats.join(words, "lang", "left")
-    with_period = kept.where("what = 'p'").groupBy("lang", "a").agg(F.sum("n").alias("n"), F.max("words").alias("words")).where(F.col("n") > least)
+    opened = stats.where("what = 's'").groupBy("lang").agg(F.sum("n").alias("opened"))
+    starts = stats.where("what = 's'").join(F.broadcast(opened), "lang").where("n >= 2 OR opened < 200")
+    starts = starts.select("lang", F.col("a").alias("b"), "n", (F.col("n") / F.col("opened")).alias("share"))
+    per_type = stats.where("what = 'p'").groupBy("lang", "a").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("b") != "", F.col("n")).otherwise(0)).alias("total"))
+    types = materialize(per_type, "types")
+    share = F.coalesce("share", F.lit(0.0))
+    error = F.when(share > 0, 0.5 / F.sqrt(F.greatest(F.lit(1), F.coalesce("opened", F.lit(0))))).otherwise(0.0)
+    pairs = (
+        stats.where("what = 'p' AND b != ''").select("lang", "a", "b", "n")
+        .join(types.select("lang", "a", "total"), ["lang", "a"])
+        .join(starts.select("lang", "b", "share"), ["lang", "b"], "left")
+        .join(F.broadcast(opened), "lang", "left")
+        .select("lang", "a", "b", "n", "total", share.alias("share"), (F.col("n") > OVER * F.col("total") * (share + error) + OVER).alias("too_often"))
+    )
+    pairs = materialize(pairs, "pairs")
+    goes_on = pairs.where("share = 0 OR too_often").groupBy("lang", "a").agg(F.sum("n").alias("goes_on"))
     bare = stats.where("what = 'w'").select("lang", "a", F.col("n").alias("n_word"))
-    types = with_period.join(bare, ["lang", "a"], "left").select("lang", "a", "n", F.coalesce("n_word", F.lit(0)).alias("n_word"), "words").collect()
-    starts = kept.where("what = 's'").where(F.col("n") > least).select("lang", "a", "n").collect()
-    pairs = kept.where("what = 'p'").where(F.col("n") > least).select("lang", "a", "b", "n").collect()
-    return models([tuple(r) for r in starts], [tuple(r) for r in types], [tuple(r) for r in pairs])
+    words = bare.groupBy("lang").agg(F.sum("n_word").alias("words"))
+    periods = types.groupBy("lang").agg(F.sum("n").alias("periods"))
+    judged = types.join(goes_on, ["lang", "a"]).join(bare, ["lang", "a"], "left").join(F.broadcast(periods), "lang").join(F.broadcast(words), "lang", "left")
+    judged = judged.select("lang", "a", "n", F.coalesce("n_word", F.lit(0)).alias("n_word"), F.coalesce("words", F.lit(0)).alias("words"), "periods", "goes_on", "total")
 
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in it:
+            yield df.loc[[is_abbreviation(*r) for r in df.drop(columns="lang").itertuples(index=False)], ["lang", "a"]]
 
-def models(starts: list[tuple], types: list[tuple], pairs: list[tuple]) -> dict[str, Model]:
-    """Models from counts: (lang, word, n), (lang, type, n with period, n without, words), (lang, type, next, n)."""
     out: dict[str, Model] = {}
-    opened: Counter = Counter()
-    for lang, a, n in starts:
-        out.setdefault(lang, Model()).starts[a] = n
-        opened[lang] += n
-    for lang, m in out.items():
-        m.opened = opened[lang]
-        m.starts = {w: n / opened[lang] for w, n in m.starts.items() if n >= 2 or opened[lang] < 200}
-    follow: dict[tuple[str, str], Counter] = {}
-    for lang, a, b, n in pairs:
+    for lang, n in opened.collect():
+        out.setdefault(lang, Model()).opened = n
+    for lang, b, _, x in starts.collect():
+        out[lang].starts[b] = x
+    for lang, a in judged.mapInPandas(run, "lang STRING, a STRING").collect():
+        out.setdefault(lang, Model()).abbreviations.add(a)
+    # a pair whose word is no starter is asked for only after short types
+    asked = pairs.where(F.col("too_often") & ((F.col("share") > 0) | (F.length("a") <= SHORT)))
+    for lang, a, b, n, total in asked.select("lang", "a", "b", "n", "total").collect():
         m = out.setdefault(lang, Model())
-        if b:
-            m.pairs[a, b] = n
-            m.totals[a] = m.totals.get(a, 0) + n
-            follow.setdefault((lang, a), Counter())[b] += n
-    periods: Counter = Counter()
-    for lang, _, n, _, _ in types:
-        periods[lang] += n
-    for lang, a, n, n_word, words in types:
-        m = out.setdefault(lang, Model())
-        if a in (NUM, QUOTED) or not re.search(r"[^\W\d_]", a) or ("." in a and max(map(len, a.split("."))) > SHORT):
-            continue
-        bare_length = max(1, len(a.replace(".", "")))
-        n_all = n + (n_word if "." not in a else 0)
-        score = _likelihood(n, n_all, periods[lang], words or 1) * math.exp(-bare_length) * (a.count(".") + 1) * bare_length ** -float(min(60, n_all - n))
-        on = follow.get((lang, a), Counter())
-        goes_on = sum(k for w, k in on.items() if not m.starts.get(w) or m.too_often(a, w))
-        # a type seen to go on in most places is an abbreviation even if it is long
-        share = goes_on / max(1, sum(on.values()))
-        if (score >= ABBREVIATION_SCORE and share >= GOES_ON_SHARE) or (share >= 0.5 and goes_on >= 4 and n >= 0.5 * n_all):
-            m.abbreviations.add(a)
+        m.pairs[a, b], m.totals[a] = n, total
+    known = (F.col("total") >= 5) & ((F.length("a") < 3) | F.col("a").contains(".")) | (F.col("a") == NUM)
+    for lang, a, total in types.where(known & (F.col("total") > 0)).select("lang", "a", "total").collect():
+        out.setdefault(lang, Model()).totals[a] = total
     return out
 
 
+def is_abbreviation(a: str, n: int, n_word: int, words: int, periods: int, goes_on: int, total: int) -> bool:
+    """Whether a type is an abbreviation, by its counts with and without a period, those of its language,
+    and how many of its ``total`` next words go on within the sentence."""
+    if a in (NUM, QUOTED) or not re.search(r"[^\W\d_]", a) or ("." in a and max(map(len, a.split("."))) > SHORT):
+        return False
+    bare_length = max(1, len(a.replace(".", "")))
+    n_all = n + (n_word if "." not in a else 0)
+    score = _likelihood(n, n_all, periods, words or 1) * math.exp(-bare_length) * (a.count(".") + 1) * bare_length ** -float(min(60, n_all - n))
+    # a type seen to go on in most places is an abbreviation even if it is long
+    share = goes_on / max(1, total)
+    return (score >= ABBREVIATION_SCORE and share >= GOES_ON_SHARE) or (share >= 0.5 and goes_on >= 4 and n >= 0.5 * n_all)
+
+
 def sample_rows(docs: DataFrame, size: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
     """(label, prose) of at most ``size`` documents, chosen by a hash of doc_id."""
     n = docs.count()

@@ -96,3 +96,11 @@ def test_odd_documents(spark):
     assert sorted(g for g in got if g[0] in (4, 5)) == [(4, 0, 3), (4, 0, 12), (5, 0, 12), (5, 0, 12)]
     assert (None, 0, 9) in got and sum(g[0] == 6 for g in got) == 40_000 and not [g for g in got if g[0] in (1, 2, 3)]
     assert S.split_documents(spark.createDataFrame([], DOC)).count() == 0
+
+
+def test_rare_next_words_count(spark):
+    rows = [("en", "w", "tide", "", 12_000_000), ("en", "s", "The", "", 900_000), ("en", "s", "np_lite", "", 3)]
+    rows += [("en", "p", "tide", "The", 800_000), ("en", "p", "St", "Ilse", 4), ("en", "p", "tide", "", 90_000)] + [("en", "p", "Dr", f"Vane{i}", 2) for i in range(3000)]
+    m = S.learn(spark.createDataFrame(rows, S.STATS))["en"]
+    assert "Dr" in m.abbreviations and "tide" not in m.abbreviations
+    assert m.opened == 900_003 and m.starts["np_lite"] > 0 and m.too_often("St", "Ilse")
