@@ -28,19 +28,25 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelpline.llm.prose import blocks, text_cells
 from kelpline.session import materialize
 
+#: Documents of each label that the languages are learned from.
 SAMPLE_DOCS = 4096
+#: Weight, in words, of the script's common word shares in those of a language.
+COMMON_WORDS = 1000.0
 NO_ID = -(2**63)
 ABBREVIATION_SCORE = 0.3
 GOES_ON_SHARE = 0.04
 OVER = 3.0
 SHORT = 3
 
+#: Tags that stand for no language (ISO 639-2, BCP 47).
+NO_LANGUAGE = r"^\s*(und|undetermined|unknown|mul|mis|zxx|q[a-t][a-z]|xx|none|null)\s*([-_].*)?$"
+
 #: Code point ranges of the scripts' letters.
 SCRIPTS = [
     ("latn", 0x41, 0x5A), ("latn", 0x61, 0x7A), ("latn", 0xC0, 0x24F), ("grek", 0x370, 0x3FF), ("cyrl", 0x400, 0x4FF), ("arab", 0x600, 0x6FF),
@@ -95,16 +101,18 @@ def script_of_letter(c: str) -> str:
     return next((name for name, lo, hi in SCRIPTS if lo <= ord(c) <= hi), "")
 
 
-def label_of(lang: str | None) -> str:
-    """The first two letters of a language tag, lower-cased; '' if there is none."""
-    m = re.match(r"\s*([A-Za-z]{2})", lang or "")
-    return m.group(1).lower() if m else ""
+def label_of(lang: Column) -> Column:
+    """The first two letters of a language tag, lower-cased; '' if there is none or it names no language."""
+    tag = F.lower(F.coalesce(lang, F.lit("")))
+    label = F.regexp_extract(tag, r"^\s*([a-z]{2})", 1)
+    return F.when(tag.rlike(NO_LANGUAGE), F.lit("")).otherwise(label)
 
 
 @dataclass
 class Languages:
-    """Naive Bayes over words, fitted on a bounded sample of labelled rows; told apart only within a script."""
+    """Naive Bayes over words, fitted on a bounded sample of each label's rows; told apart only within a script."""
 
+    #: Per script its languages, that with most words first.
     by_script: dict[str, list[str]] = field(default_factory=dict)
     #: Per script the weights of each word, in the order of its languages, and those of an unseen word.
     weights: dict[str, dict[str, tuple[float, ...]]] = field(default_factory=dict)
@@ -115,31 +123,33 @@ class Languages:
         if len(known) < 2:
             return known[0] if known else script
         table, unseen = self.weights[script], self.unseen[script]
-        sums = map(sum, zip(*[table.get(w, unseen) for w in words])) if words else unseen
-        return max(zip(sums, known))[1]
+        sums = list(map(sum, zip(*[table.get(w, unseen) for w in words]))) if words else unseen
+        return known[sums.index(max(sums))]
 
 
 def fit_languages(rows: list[tuple[str, str]]) -> Languages:
-    """From (label, prose): each label's script is that of most of its rows; rows in other scripts don't count."""
-    votes, scripts = {}, [(label, script_of(p), p) for label, p in rows if label]
+    """From (label, prose): each label's script is that of most of its rows; rows in other scripts don't
+    count. A language's word shares are drawn towards those of its script, so that one with few words
+    isn't preferred for words it has never seen."""
+    votes, scripts = {}, [(label, script_of(p), p) for label, p in rows if label and WORD.search(p)]
     for label, script, _ in scripts:
         votes.setdefault(label, Counter())[script] += 1
-    home = {k: v.most_common(1)[0][0] for k, v in votes.items() if sum(v.values()) >= 3}
+    home = {k: max(v, key=lambda s: (v[s], s)) for k, v in votes.items()}
     counts: dict[str, Counter] = {}
     for label, script, p in scripts:
-        if home.get(label) == script:
+        if home[label] == script:
             counts.setdefault(label, Counter()).update(w.lower() for w in WORD.findall(p))
-    out, size = Languages(), Counter({k: sum(c.values()) for k, c in counts.items()})
-    for k, c in counts.items():
-        # labels that are no language of their own (as "und") have few words; near ties go to the larger label
-        if size[k] < 0.05 * max(size[j] for j in counts if home[j] == home[k]):
-            continue
+    out, size = Languages(), {k: sum(c.values()) for k, c in counts.items()}
+    for k in sorted(counts, key=lambda k: (-size[k], k)):
         out.by_script.setdefault(home[k], []).append(k)
     for script, known in out.by_script.items():
-        total = {k: size[k] + 0.5 * (len(counts[k]) + 1) for k in known}
-        weight = lambda w: tuple(math.log((counts[k][w] + 0.5) / total[k]) for k in known)  # noqa: B023, E731
-        out.weights[script] = {w: weight(w) for k in known for w in counts[k]}
-        out.unseen[script] = tuple(math.log(0.5 / total[k]) for k in known)
+        common: Counter = Counter()
+        for k in known:
+            common.update(counts[k])
+        every = sum(common.values()) + 1
+        weight = lambda w: tuple(math.log((counts[k][w] + COMMON_WORDS * (common[w] or 1) / every) / (size[k] + COMMON_WORDS)) for k in known)  # noqa: B023, E731
+        out.weights[script] = {w: weight(w) for w in common}
+        out.unseen[script] = (0.0,) * len(known)
     return out
 
 
@@ -503,18 +513,17 @@ def is_abbreviation(a: str, n: int, n_word: int, words: int, periods: int, goes_
 
 
 def sample_rows(docs: DataFrame, size: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
-    """(label, prose) of at most ``size`` documents, chosen by a hash of doc_id."""
-    n = docs.count()
-    h = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30))
-    part = docs if n <= size else docs.where(h < int((1 << 30) * 1.2 * size / n))
+    """(label, prose) of about ``size`` documents of each label, or all it has, chosen by a hash."""
+    labelled = docs.withColumn("label", label_of(F.col("lang"))).where("label != ''")
+    h = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1 << 30))
+    part = labelled.join(F.broadcast(labelled.groupBy("label").agg(F.count("*").alias("n"))), "label").where(h * F.col("n") < F.lit(size << 30))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in it:
-            rows = [(label_of(lang), "\n".join(_prose(c)[1] for _, c in _cells(text, cells))[:4000]) for lang, text, cells in zip(df["lang"], df["text"], df["cells"])]
-            yield pd.DataFrame(rows, columns=["label", "prose"]).assign(h=df["h"].to_numpy())
+            yield pd.DataFrame({"label": df["label"], "prose": ["\n".join(_prose(c)[1] for _, c in _cells(text, cells))[:4000] for text, cells in zip(df["text"], df["cells"])]})
 
-    rows = part.select("lang", "text", "cells", h.alias("h")).mapInPandas(run, "label STRING, prose STRING, h BIGINT")
-    return [(r.label, r.prose) for r in rows.orderBy("h", "label", "prose").limit(size).collect()]
+    rows = part.select("label", "text", "cells").mapInPandas(run, "label STRING, prose STRING")
+    return [(r.label, r.prose) for r in rows.collect()]
 
 
 def split_documents(docs: DataFrame) -> DataFrame:

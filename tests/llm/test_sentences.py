@@ -104,3 +104,14 @@ def test_rare_next_words_count(spark):
     m = S.learn(spark.createDataFrame(rows, S.STATS))["en"]
     assert "Dr" in m.abbreviations and "tide" not in m.abbreviations
     assert m.opened == 900_003 and m.starts["np_lite"] > 0 and m.too_often("St", "Ilse")
+
+
+def test_small_languages_keep_a_model(spark):
+    r = random.Random(5)
+    it = ["La marea sale ogni sera", "Il registro non mostra le righe", "Ogni lettore conta la pioggia"]
+    docs = [(d, f"{english(r)} It met word{d} there.", r.choice(["en", "und", "und-x"])) for d in range(3000)] + [(3000 + d, it[d % 3] + ".", "it_IT") for d in range(2)]
+    rows = [(d, text, lang, [("md", 1, 0, len(text))], "x") for d, text, lang in docs]
+    known = S.fit_languages(S.sample_rows(spark.createDataFrame(rows, DOC), 400))
+    assert known.by_script == {"latn": ["en", "it"]}
+    assert known.of("latn", "ogni marea non mostra le righe".split()) == "it"
+    assert known.of("latn", "we met word5 and an unseen gauge".split()) == "en" == known.of("latn", ["neverseen"])
