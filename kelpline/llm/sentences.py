@@ -127,18 +127,19 @@ class Languages:
         return known[sums.index(max(sums))]
 
 
-def fit_languages(rows: list[tuple[str, str]]) -> Languages:
-    """From (label, prose): each label's script is that of most of its rows; rows in other scripts don't
-    count. A language's word shares are drawn towards those of its script, so that one with few words
-    isn't preferred for words it has never seen."""
-    votes, scripts = {}, [(label, script_of(p), p) for label, p in rows if label and WORD.search(p)]
-    for label, script, _ in scripts:
-        votes.setdefault(label, Counter())[script] += 1
+def fit_languages(rows: list[tuple[str, str, str, int]]) -> Languages:
+    """From (label, script, word, n), or the number of documents at word '': each label's script is that of
+    most of its documents; those in other scripts don't count. A language's word shares are drawn towards
+    those of its script, so that one with few words isn't preferred for words it has never seen."""
+    votes: dict[str, Counter] = {}
+    for label, script, word, n in rows:
+        if not word:
+            votes.setdefault(label, Counter())[script] += n
     home = {k: max(v, key=lambda s: (v[s], s)) for k, v in votes.items()}
-    counts: dict[str, Counter] = {}
-    for label, script, p in scripts:
-        if home[label] == script:
-            counts.setdefault(label, Counter()).update(w.lower() for w in WORD.findall(p))
+    counts: dict[str, Counter] = {k: Counter() for k in home}
+    for label, script, word, n in rows:
+        if word and home[label] == script:
+            counts[label][word] += n
     out, size = Languages(), {k: sum(c.values()) for k, c in counts.items()}
     for k in sorted(counts, key=lambda k: (-size[k], k)):
         out.by_script.setdefault(home[k], []).append(k)
@@ -512,18 +513,35 @@ def is_abbreviation(a: str, n: int, n_word: int, words: int, periods: int, goes_
     return (score >= ABBREVIATION_SCORE and share >= GOES_ON_SHARE) or (share >= 0.5 and goes_on >= 4 and n >= 0.5 * n_all)
 
 
-def sample_rows(docs: DataFrame, size: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
-    """(label, prose) of about ``size`` documents of each label, or all it has, chosen by a hash."""
+def sample_rows(docs: DataFrame, size: int = SAMPLE_DOCS) -> list[tuple[str, str, str, int]]:
+    """(label, script, word, n) over the whole prose of about ``size`` documents of each label, or all it
+    has, chosen by a hash; word '' counts documents. The driver gets words of each label's own script only."""
     labelled = docs.withColumn("label", label_of(F.col("lang"))).where("label != ''")
     h = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1 << 30))
     part = labelled.join(F.broadcast(labelled.groupBy("label").agg(F.count("*").alias("n"))), "label").where(h * F.col("n") < F.lit(size << 30))
 
+    def rows_of(total: Counter) -> pd.DataFrame:
+        return pd.DataFrame([(*k, n) for k, n in total.items()], columns=["label", "script", "word", "n"])
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: Counter = Counter()
         for df in it:
-            yield pd.DataFrame({"label": df["label"], "prose": ["\n".join(_prose(c)[1] for _, c in _cells(text, cells))[:4000] for text, cells in zip(df["text"], df["cells"])]})
-
-    rows = part.select("label", "text", "cells").mapInPandas(run, "label STRING, prose STRING")
-    return [(r.label, r.prose) for r in rows.collect()]
+            for label, text, cells in zip(df["label"], df["text"], df["cells"]):
+                prose = "\n".join(_prose(c)[1] for _, c in _cells(text, cells))
+                if words := Counter(WORD.findall(prose.lower())):
+                    script = script_of(prose)
+                    total[label, script, ""] += 1
+                    for w, n in words.items():
+                        total[label, script, w] += n
+            if len(total) > 200_000:
+                yield rows_of(total)
+                total = Counter()
+        yield rows_of(total)
+
+    counts = part.select("label", "text", "cells").mapInPandas(run, "label STRING, script STRING, word STRING, n BIGINT")
+    counts = materialize(counts.groupBy("label", "script", "word").agg(F.sum("n").alias("n")), "words")
+    home = counts.where("word = ''").groupBy("label").agg(F.max_by("script", F.struct("n", "script")).alias("script"))
+    return [tuple(r) for r in counts.join(F.broadcast(home), ["label", "script"]).select("label", "script", "word", "n").collect()]
 
 
 def split_documents(docs: DataFrame) -> DataFrame:

@@ -115,3 +115,10 @@ def test_small_languages_keep_a_model(spark):
     assert known.by_script == {"latn": ["en", "it"]}
     assert known.of("latn", "ogni marea non mostra le righe".split()) == "it"
     assert known.of("latn", "we met word5 and an unseen gauge".split()) == "en" == known.of("latn", ["neverseen"])
+
+
+def test_languages_are_learned_from_whole_prose(spark):
+    late = "The tide rose. " * 300 + "\n\n" + "Obligately so. " * 3
+    rows = [(d, late, "en", [("md", 1, 0, len(late))], "x") for d in range(4)] + [(9, "Das Rauschen steigt.", "de", [("md", 1, 0, 20)], "x")] * 4
+    known = S.fit_languages(S.sample_rows(spark.createDataFrame(rows, DOC)))
+    assert "obligately" in known.weights["latn"] and known.of("latn", ["obligately"]) == "en"
