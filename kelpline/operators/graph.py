@@ -250,7 +250,9 @@ def search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, k: int, ef:
     ``allowed``: ids that may be returned (others, as deleted ones, are still walked through). ``learned``:
     begin at a predicted entry instead of the top layer.
     """
-    shards = [r.shard for r in vectors.select("shard").distinct().orderBy("shard").limit(MAX_SHARDS).collect()]
+    shards = [r.shard for r in vectors.select("shard").distinct().orderBy("shard").limit(MAX_SHARDS + 1).collect()]
+    if len(shards) > MAX_SHARDS:
+        raise ValueError(f"more than {MAX_SHARDS} shards")
     asked = queries.select("query_id", "vector").withColumn("shard", F.explode(F.array(*[F.lit(s) for s in shards]).cast("array<int>")))
     links = graph.groupBy("shard", "vec_id").agg(F.collect_list(F.struct("layer", "neighbours", "entry")).alias("links"))  # a row's layers
     index = vectors.select("shard", "vec_id", "embedding").join(links, ["shard", "vec_id"])

@@ -66,7 +66,9 @@ def route_column(key: Column, routes: list[tuple[bytes, bytes | None, int, list[
 
 
 def raft_groups(routed: DataFrame, routes: DataFrame) -> DataFrame:
-    return routed.join(F.broadcast(routes.select("shard", "nodes").limit(MAX_ROUTES)), "shard", "left")
+    if routes.limit(MAX_ROUTES + 1).count() > MAX_ROUTES:
+        raise ValueError(f"more than {MAX_ROUTES} routes")
+    return routed.join(F.broadcast(routes.select("shard", "nodes")), "shard", "left")
 
 
 def node_loads(routes: DataFrame, loads: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -102,7 +104,10 @@ def rebalance(routes: DataFrame, loads: DataFrame, nodes: list[int], threshold:
     for _, _, shard, group in read_routes(routes):
         for n in group:
             placement.setdefault(n, []).append(shard)
-    known = {r.shard: r.load for r in loads.limit(MAX_ROUTES).collect()}
+    reports = loads.limit(MAX_ROUTES + 1).collect()
+    if len(reports) > MAX_ROUTES:
+        raise ValueError(f"more than {MAX_ROUTES} loads")
+    known = {r.shard: r.load for r in reports}
     moves = [(i, *m) for i, m in enumerate(propose_moves(placement, known, sorted(nodes), threshold))]
     return routes.sparkSession.createDataFrame(moves, "step INT, shard INT, from_node BIGINT, to_node BIGINT")
 

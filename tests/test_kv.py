@@ -171,3 +171,14 @@ def test_stream(spark, sf, tmp_path):
     out = rates.writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
     out.awaitTermination()
     assert spark.sql("SELECT sum(n_puts + n_deletes) FROM rates").first()[0] == source.where("arrived_at IS NOT NULL AND is_delete IS NOT NULL").count()
+
+
+def test_more_routes_than_the_bound(spark, monkeypatch):
+    routes = spark.createDataFrame([(None, bytearray(b"m"), 1, [1]), (bytearray(b"m"), None, 2, [2])], "start BINARY, end BINARY, shard INT, nodes ARRAY<BIGINT>")
+    loads = spark.createDataFrame([(i, 1) for i in range(3)], "shard INT, load BIGINT")
+    monkeypatch.setattr(routing, "MAX_ROUTES", 2)
+    with pytest.raises(ValueError):
+        routing.rebalance(routes, loads, [1, 2])
+    monkeypatch.setattr(routing, "MAX_ROUTES", 1)
+    with pytest.raises(ValueError):
+        routing.raft_groups(routes.select("shard"), routes)

@@ -153,3 +153,10 @@ def test_bloom(spark):
     assert bloom.build([]) == (b"", 0)
     empty = spark.createDataFrame([(2, bytearray(b""), 3)], "file_id INT, bits BINARY, k INT")
     assert bloom.probe(probes.withColumn("file_id", F.lit(2)).limit(3), empty).where("may_contain").count() == 3
+
+
+def test_more_shards_than_the_bound(spark, cloud, monkeypatch):
+    v = frame(spark, cloud)
+    monkeypatch.setattr(graph, "MAX_SHARDS", 2)
+    with pytest.raises(ValueError):
+        graph.search(v, spark.createDataFrame([], graph.GRAPH), v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 3)
