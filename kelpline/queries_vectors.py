@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from kelpline.functions.distance import METRICS, literal_vector
 from kelpline.operators import graph, knn, pq
 from kelpline.plans import execute, planner
-from kelpline.session import materialize
+from kelpline.session import job_dir, materialize
+from kelpline.sources.index_files import DiskIndex
 from kelpline.sources.tables import table
 
 K, RADIUS, LABEL = 10, 1.15, 3
@@ -211,7 +212,7 @@ def graph_filtered(spark, sf_dir):
 
 
 def planned_search(spark, sf_dir):
-    """Filter and radius under each exact strategy, with the strategy that the planner would choose."""
+    """Filter and radius under each strategy's exact form, with the strategy that the planner would choose."""
     v = _vectors(spark, sf_dir)
     q = execute.Query(_query(v), K, 1.25, v.where(F.col("label") == LABEL).select("vec_id"))
     stats, out = planner.refreshed(v, 64), None
@@ -222,6 +223,20 @@ def planned_search(spark, sf_dir):
     return out
 
 
+def planned_search_indexed(spark, sf_dir):
+    """The same by way of a graph and a disk index, both built here: graph strategies walk, the disk strategy
+    searches codes. Approximate; ``chosen`` is the planner's choice given the disk index."""
+    v = _vectors(spark, sf_dir).withColumn("shard", (F.col("vec_id") % 4).cast("int"))
+    q = execute.Query(_query(v), K, 1.25, v.where(F.col("label") == LABEL).select("vec_id"))
+    links, disk = materialize(graph.build(v, "layered"), "graph"), DiskIndex.build(v, job_dir(spark, "index"))
+    stats, out = planner.refreshed(v, 64, has_disk_index=True), None
+    chosen = planner.plan(stats, q.ids.count())
+    for s in (planner.BRUTE, planner.PRE, planner.POST, planner.DISK):
+        one = _out(execute.run(s, v, q, stats, links, disk)).select(F.lit(s).alias("strategy"), F.lit(s == chosen).alias("chosen"), "vec_id", "distance")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def graph_inserted(spark, sf_dir):
     """Recall after half of the vectors were inserted into graphs of the other half; and the graph's size."""
     v = _vectors(spark, sf_dir).withColumn("shard", (F.col("vec_id") % 4).cast("int"))
@@ -241,7 +256,7 @@ QUERIES = {
     **{f.__name__: f for f in (knn_exact, knn_radius, knn_filtered, knn_filtered_radius, knn_batched, range_search, knn_prefilter_radius_late,
                                knn_postfilter_overfetch, knn_limit_then_filter, knn_deleted, knn_scatter_gather, recall_at_k, index_stats, planner_grid,
                                cost_grid, selectivity, centroid, medoid, kmeans_step, pq_encode, pq_decode, pq_distance_table, pq_adc, pq_two_stage, pq_rmse,
-                               pq_train_rmse, graph_filtered, graph_inserted, planned_search, robust_prune)},
+                               pq_train_rmse, graph_filtered, graph_inserted, planned_search, planned_search_indexed, robust_prune)},
     "graph_recall_hnsw": _graph_recall("layered"),
     "graph_recall_vamana": _graph_recall("flat"),
     "graph_recall_learned": _graph_recall("layered", learned=True),

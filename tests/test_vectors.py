@@ -9,6 +9,7 @@ from kelpline.functions import bloom
 from kelpline.functions.distance import METRICS
 from kelpline.operators import graph, knn, pq
 from kelpline.plans import planner
+from kelpline.queries_vectors import QUERIES
 from kelpline.session import job_dir
 from kelpline.sources.index_files import DiskIndex, ReadOnlyIndex
 
@@ -160,3 +161,15 @@ def test_more_shards_than_the_bound(spark, cloud, monkeypatch):
     monkeypatch.setattr(graph, "MAX_SHARDS", 2)
     with pytest.raises(ValueError):
         graph.search(v, spark.createDataFrame([], graph.GRAPH), v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 3)
+
+
+def test_planned_search_walks_graph_and_disk_index(spark, sf, monkeypatch):
+    walked = []
+    for owner, name in ((graph, "search"), (DiskIndex, "search")):
+        monkeypatch.setattr(owner, name, lambda *a, f=getattr(owner, name), o=owner, **k: walked.append(o) or f(*a, **k))
+    exact = {(r.strategy, r.vec_id) for r in QUERIES["planned_search"](spark, sf).collect()}
+    assert not walked
+    found = {(r.strategy, r.vec_id) for r in QUERIES["planned_search_indexed"](spark, sf).collect()}
+    assert walked.count(graph) == 2 and walked.count(DiskIndex) == 1
+    assert {x for x in found if x[0] == planner.BRUTE} == {x for x in exact if x[0] == planner.BRUTE}
+    assert len(found & exact) >= 0.8 * len(exact)
