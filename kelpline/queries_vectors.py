@@ -190,7 +190,7 @@ def pq_rmse(spark, sf_dir):
 def pq_train_rmse(spark, sf_dir):
     """Reconstruction error with a codebook trained here; rows only, as the start is a hash order."""
     v = _vectors(spark, sf_dir)
-    return pq.reconstruction_error(v, pq.train(v, 8, max_steps=5)).agg(F.count("*").alias("n"), F.avg("rmse").alias("mean_rmse"))
+    return pq.reconstruction_error(v, pq.train(v, 8)).agg(F.count("*").alias("n"), F.avg("rmse").alias("mean_rmse"))
 
 
 def _graph_recall(kind: str, learned: bool = False, **options):

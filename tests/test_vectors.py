@@ -173,3 +173,9 @@ def test_planned_search_walks_graph_and_disk_index(spark, sf, monkeypatch):
     assert walked.count(graph) == 2 and walked.count(DiskIndex) == 1
     assert {x for x in found if x[0] == planner.BRUTE} == {x for x in exact if x[0] == planner.BRUTE}
     assert len(found & exact) >= 0.8 * len(exact)
+
+
+def test_registered_training_takes_all_steps(spark, sf, monkeypatch):
+    steps, trained = [], pq.train_kmeans
+    monkeypatch.setattr(pq, "train_kmeans", lambda v, k, max_steps, **o: steps.append(max_steps) or trained(v, k, max_steps, **o))
+    assert QUERIES["pq_train_rmse"](spark, sf).first()["n"] > 0 and steps == [15]
