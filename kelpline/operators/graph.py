@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.operators.knn import top_k
+from kelpline.operators.knn import nearest_batched, top_k
 
 GRAPH = "shard INT, layer INT, vec_id BIGINT, neighbours ARRAY<BIGINT>, entry BOOLEAN"
 MAX_SHARDS = 100_000
@@ -50,6 +50,23 @@ def robust_prune(x: np.ndarray, p: int, candidates: list[int], alpha: float, r:
     return kept
 
 
+def prune_nearest(vectors: DataFrame, k: int = 32, alpha: float = 1.2, r: int = 16) -> DataFrame:
+    """``vec_id, kept``: the neighbours that robust_prune keeps of each vector's k nearest, nearest first."""
+    q = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    near = nearest_batched(vectors, q, k + 1).where("query_id <> vec_id").join(vectors.select("vec_id", "embedding"), "vec_id")
+    met = near.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("met"))  # at most k + 1 each
+
+    def run(it):
+        for df in it:
+            kept = []
+            for v, met in zip(df["vector"], df["met"]):
+                x = np.array([v, *(m["embedding"] for m in met)], np.float64)
+                kept.append([int(met[i - 1]["vec_id"]) for i in robust_prune(x, 0, list(range(1, len(x))), alpha, r)])
+            yield pd.DataFrame({"vec_id": df["query_id"], "kept": kept})
+
+    return q.join(met, "query_id", "left").withColumn("met", F.coalesce("met", F.array().cast(met.schema["met"].dataType))).mapInPandas(run, "vec_id BIGINT, kept ARRAY<BIGINT>")
+
+
 def diverse_neighbours(x: np.ndarray, base: int, candidates: list[tuple[float, int]], m: int) -> list[int]:
     """A candidate is kept if it is nearer to the base than to every one kept; the rest fill up to m."""
     candidates = sorted(candidates)

@@ -247,8 +247,8 @@ def graph_inserted(spark, sf_dir):
 
 
 def robust_prune(spark, sf_dir):
-    x = np.array([[0, 0, 0], [1, 0, 0], [1.1, 0, 0], [0, 1, 0], [0, 0, 1]], float)
-    return spark.createDataFrame([(int(i),) for i in graph.robust_prune(x, 0, [1, 2, 3, 4], 1.2, 3)], "kept INT")
+    """What pruning keeps of the 32 nearest of every vector."""
+    return graph.prune_nearest(_vectors(spark, sf_dir))
 
 
 QUERIES = {

@@ -179,3 +179,14 @@ def test_registered_training_takes_all_steps(spark, sf, monkeypatch):
     steps, trained = [], pq.train_kmeans
     monkeypatch.setattr(pq, "train_kmeans", lambda v, k, max_steps, **o: steps.append(max_steps) or trained(v, k, max_steps, **o))
     assert QUERIES["pq_train_rmse"](spark, sf).first()["n"] > 0 and steps == [15]
+
+
+def test_registered_prune_covers_the_table(spark, sf):
+    x = {r.vec_id: r.embedding for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    got = {r.vec_id: r.kept for r in QUERIES["robust_prune"](spark, sf).collect()}
+    assert set(got) == set(x)
+    ids = np.array(sorted(x))
+    y = np.array([x[i] for i in ids], np.float64)
+    for p in (0, len(ids) // 2):
+        near = [i for i in np.lexsort((ids, ((y - y[p]) ** 2).sum(1)))[:33] if i != p]
+        assert got[ids[p]] == [ids[i] for i in graph.robust_prune(y, p, near, 1.2, 16)]
