@@ -10,23 +10,32 @@ from kelpline.llm.mixing import mix
 from kelpline.llm.packing import pack_documents, packing_report
 from kelpline.llm.sentences import split_documents
 from kelpline.llm.seen_keys import error_rate, seen_probes
+from kelpline.session import materialize
 from kelpline.sources.tables import table
 
 
 DIM = 64
 
 
+def _groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    vectors = clusters.valid_vectors(table(spark, sf_dir, "vamana_vector"), DIM)
+    return vectors, clusters.groups(vectors, DIM)[0]
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members, _ = clusters.groups(clusters.valid_vectors(table(spark, sf_dir, "vamana_vector"), DIM), DIM)
-    return members.where("size >= 3").select("lead_id", "vec_id")
+    return _groups(spark, sf_dir)[1].where("size >= 3").select("lead_id", "vec_id")
 
 
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each group of three or more: size, leaves, and the most typical members of its largest leaf."""
-    _, leaf_rows = clusters.groups(clusters.valid_vectors(table(spark, sf_dir, "vamana_vector"), DIM), DIM)
-    return leaf_rows.where("group_size >= 3").groupBy("lead_id").agg(
-        F.first("group_size").alias("size"), F.count("*").alias("n_leaves"), F.max("radius").alias("widest_leaf"),
-        F.max_by("typical_ids", F.struct("size", F.negative("leaf"))).alias("typical_ids"))
+    """Each group of three or more: its size, and the members nearest to its mean."""
+    vectors, members = _groups(spark, sf_dir)
+    return clusters.described(vectors.distinct(), materialize(members.where("size >= 3"), "members"), DIM)
+
+
+def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the vectors whose id 20 divides: their links to all vectors, and how many were missed."""
+    vectors, members = _groups(spark, sf_dir)
+    return clusters.missed(vectors, materialize(members, "members"), DIM)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +94,15 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_error_rate": p4_error_rate, "p5_found": p5_found, "p5_recall": p5_recall, "p6_packed": p6_packed, "p6_report": p6_report, "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p8_found": p8_found}
+QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p3_recall": p3_recall, "p4_found": p4_found, "p4_error_rate": p4_error_rate, "p5_found": p5_found, "p5_recall": p5_recall, "p6_packed": p6_packed, "p6_report": p6_report, "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p8_found": p8_found}
+_VALID = """v AS (
+  SELECT vec_id, first(embedding::DOUBLE[]) AS e FROM vamana_vector
+  WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+  GROUP BY vec_id)"""
+_LED = f"""{_VALID},
+near AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM v a, v b WHERE list_distance(a.e, b.e) <= 0.9),
+reach AS (SELECT vec_id AS lead, vec_id FROM v UNION SELECT least(r.lead, n.x), n.y FROM reach r JOIN near n ON r.vec_id = n.x),
+led AS (SELECT vec_id, min(lead) AS lead_id FROM reach GROUP BY vec_id)"""
 ORACLE = {
     "p4_found": """
 SELECT probe_id FROM key_probe WHERE user_key IS NOT NULL AND
@@ -108,14 +125,12 @@ SELECT query_id, vec_id FROM (
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) <= k)
 WHERE radius IS NULL OR d <= radius
 """,
-    "p3_found": """
-WITH RECURSIVE v AS (
-  SELECT vec_id, first(embedding::DOUBLE[]) AS e FROM vamana_vector
-  WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
-  GROUP BY vec_id),
-near AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM v a, v b WHERE list_distance(a.e, b.e) <= 0.9),
-reach AS (SELECT vec_id AS lead, vec_id FROM v UNION SELECT least(r.lead, n.x), n.y FROM reach r JOIN near n ON r.vec_id = n.x),
-led AS (SELECT vec_id, min(lead) AS lead_id FROM reach GROUP BY vec_id)
-SELECT lead_id, vec_id FROM led QUALIFY count(*) OVER (PARTITION BY lead_id) >= 3
-""",
+    "p3_found": f"WITH RECURSIVE {_LED} SELECT lead_id, vec_id FROM led QUALIFY count(*) OVER (PARTITION BY lead_id) >= 3",
+    "p3_report": f"""WITH RECURSIVE {_LED},
+flat AS (SELECT lead_id, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM led JOIN v USING (vec_id)),
+mean AS (SELECT lead_id, list(x ORDER BY i) AS m FROM (SELECT lead_id, i, avg(x) AS x FROM flat GROUP BY lead_id, i) GROUP BY lead_id),
+d AS (SELECT lead_id, vec_id, row_number() OVER (PARTITION BY lead_id ORDER BY list_distance(e, m), vec_id) AS place FROM led JOIN v USING (vec_id) JOIN mean USING (lead_id))
+SELECT lead_id, count(*) AS size, list(vec_id ORDER BY place) FILTER (WHERE place <= 4) AS typical_ids FROM d GROUP BY lead_id HAVING count(*) >= 3""",
+    "p3_recall": f"""WITH {_VALID}, asked AS (SELECT * FROM v WHERE vec_id % 20 = 0)
+SELECT (SELECT count(*) FROM asked a, v b WHERE a.vec_id <> b.vec_id AND list_distance(a.e, b.e) <= 0.9) AS n_links, 0::BIGINT AS n_missed, (SELECT count(*) FROM asked) AS n_asked""",
 }
