@@ -3,18 +3,24 @@
 The documents of a source, in an order given by a hash, form one stream of tokens that is cut into
 blocks of ``BLOCK_TOKENS`` (the last may be shorter). The output is N slots in shards of
 ``SLOTS_PER_SHARD``; for each shard the number of slots of each source is drawn from a multinomial
-distribution. The i-th slot of a source is block ``perm(i mod n)`` of its n blocks, where perm is a
+distribution, given the source's total (so no source gets more than it may, or less than it should). The
+draws split the range of shards in halves, and their halves in turn, each with its own seed: every task
+walks down to its own shards, and the driver holds one number a source. The i-th slot of a source is
+block ``perm(i mod n)`` of its n blocks, where perm is a
 keyed permutation (a Feistel network) of the pass ``i div n``: within a pass no block comes twice, so a block,
 and with it a document, is used at most ``max_repeats`` times. Slots and blocks are joined by index.
 
 A source that cannot reach its share within max_repeats gives all it may, and the others fill the
 gap in proportion to their shares; if all are used up, the output is smaller. Sources without a
-target, null sources and documents without tokens are not drawn.
+target, null sources and documents without tokens are not drawn. Repeated rows count each, as do
+documents without a doc_id.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -57,66 +63,82 @@ def feistel(i: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
 
 
 def slot_plan(blocks: dict[str, int], targets: dict[str, tuple[float, int]], n_slots: int) -> dict[str, int]:
-    """Expected slots of each source: its share of n_slots, but at most blocks * max_repeats; what is
-    missing goes to the others in proportion to their shares."""
+    """Slots of each source: its share of n_slots, but at most blocks * max_repeats; what is missing goes to
+    the others in proportion to their shares. Whole numbers, in exact arithmetic: the slots that rounding
+    down leaves over go to the largest remainders."""
     cap = {s: blocks.get(s, 0) * max(0, r) for s, (_, r) in targets.items()}
-    got, rest, open_ = dict.fromkeys(targets, 0.0), float(n_slots), {s for s in targets if cap[s] and targets[s][0] > 0}
-    while open_ and rest > 1e-9:
-        weight = sum(targets[s][0] for s in open_)
-        full = {s for s in open_ if got[s] + rest * targets[s][0] / weight >= cap[s]}
-        if not full:
-            for s in open_:
-                got[s] += rest * targets[s][0] / weight
-            break
-        for s in full:
-            rest -= cap[s] - got[s]
-            got[s] = float(cap[s])
-        open_ -= full
-    return {s: int(round(min(got[s], cap[s]))) for s in targets}
-
-
-def draw_counts(plan: dict[str, int], cap: dict[str, int], slots_per_shard: int, seed: int) -> np.ndarray:
-    """Slots of each source (columns, sorted by name) in each output shard (rows); no source exceeds
-    its cap: the excess of a draw goes to sources with room, in the same shard."""
-    names = sorted(plan)
-    total = sum(plan.values())
-    if not total:
-        return np.zeros((0, len(names)), np.int64)
-    sizes = np.full(-(-total // slots_per_shard), slots_per_shard)
-    sizes[-1] = total - slots_per_shard * (len(sizes) - 1)
-    rng = np.random.default_rng(seed)
-    p = np.array([plan[s] for s in names], float)
-    drawn = rng.multinomial(sizes, p / p.sum())
-    caps = np.array([cap[s] for s in names])
-    for j in np.flatnonzero(drawn.sum(0) > caps):
-        off = rng.multivariate_hypergeometric(drawn[:, j], int(drawn[:, j].sum() - caps[j]), method="marginals")
-        drawn[:, j] -= off
-        for row in np.flatnonzero(off):
-            room = caps - drawn.sum(0)
-            room[j] = 0
-            for _ in range(int(off[row])):
-                if not (room > 0).any():
-                    break
-                to = int(rng.choice(len(names), p=(p * (room > 0)) / (p * (room > 0)).sum())) if (p * (room > 0)).sum() else int(room.argmax())
-                drawn[row, to] += 1
-                room[to] -= 1
-    return drawn
+    weight = {s: Fraction(t) for s, (t, _) in targets.items()}
+    got, open_ = dict.fromkeys(targets, Fraction(0)), {s for s in targets if cap[s] and weight[s] > 0}
+    rest = Fraction(min(n_slots, sum(cap[s] for s in open_)))
+    while open_ and rest > 0:
+        per = rest / sum(weight[s] for s in open_)
+        full = {s for s in open_ if per * weight[s] >= cap[s]}
+        for s in full or open_:
+            got[s] = Fraction(cap[s]) if full else per * weight[s]
+            rest -= got[s]
+        open_ -= full or open_
+    out = {s: int(g) for s, g in got.items()}
+    by_remainder = sorted((s for s in targets if out[s] < got[s]), key=lambda s: (out[s] - got[s], s))
+    for s in by_remainder[: int(sum(got.values()) - sum(out.values()))]:
+        out[s] += 1
+    return out
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
+    """How many of ``sample`` draws without return from good + bad are good. Beyond the range of numpy's
+    generator the normal law of the same mean and variance, cut to what is possible."""
+    if good + bad < 1_000_000_000:
+        return int(rng.hypergeometric(good, bad, sample))
+    n = good + bad
+    mean = sample * good // n
+    sd = math.sqrt(sample / n * good * (bad / n) * ((n - sample) / (n - 1)))
+    return min(max(mean + round(sd * float(rng.standard_normal())), sample - bad, 0), good, sample)
+
+
+def shard_draws(totals: list[int], slots_per_shard: int, seed: int, first: int, last: int) -> Iterator[tuple[int, list[int], list[int]]]:
+    """(shard, slots of each source before it, slots of each source in it) of the shards first..last-1.
+
+    All shards but the last have ``slots_per_shard`` slots, all together ``totals``. Given the totals, a
+    half's multinomial counts are hypergeometric, source after source; a node's seed is its place, so
+    every task draws alike, and walks only to the shards it asks for."""
+    n_shards = -(-sum(totals) // slots_per_shard)
+    work = [(0, n_shards, [0] * len(totals), list(totals))]
+    while work:
+        lo, hi, before, counts = work.pop()
+        if hi <= first or lo >= last or lo >= hi:
+            continue
+        if hi - lo == 1:
+            yield lo, before, counts
+            continue
+        mid = (lo + hi) // 2
+        rng = np.random.default_rng([seed & 0xFFFFFFFF, lo, hi])
+        sample, rest, left = (mid - lo) * slots_per_shard, sum(counts), []
+        for c in counts:
+            rest -= c
+            left.append(hypergeometric(rng, c, rest, sample))
+            sample -= left[-1]
+        right = [c - z for c, z in zip(counts, left)]
+        work.append((mid, hi, [b + z for b, z in zip(before, left)], right))
+        work.append((lo, mid, before, left))
 
 
 def laid_out(docs: DataFrame, targets: DataFrame, vocabulary: str, chunk_docs: int = DOCS_PER_CHUNK) -> DataFrame:
     """``doc_id, source, n_tokens, start``: the place of each drawable document in its source's stream.
 
     The running sum is made within chunks of about ``chunk_docs`` documents, then over the chunks'
-    totals, so a source with a third of all documents is not one task.
+    totals, so a source with a third of all documents is not one task. Repeated rows (and documents without
+    an id that have one text) are counted first and laid out one after the other, so they aren't either.
     """
-    named = docs.select("doc_id", clean("source").alias("source"), "text").join(F.broadcast(targets.select("source")), "source", "left_semi")
-    sizes = materialize(token_counts(named, vocabulary, ("source",)).where("n_tokens > 0"), "tokens")
+    named = docs.select("doc_id", clean("source").alias("source"), F.xxhash64("doc_id", "text").alias("h"), "text").join(F.broadcast(targets.select("source")), "source", "left_semi")
+    sizes = materialize(token_counts(named, vocabulary, ("source", "h")).where("n_tokens > 0"), "tokens")
     chunks = max(1, -(-sizes.count() // chunk_docs))
-    h = sizes.withColumn("h", F.xxhash64("doc_id")).withColumn("chunk", F.pmod("h", F.lit(chunks)))
-    totals = h.groupBy("source", "chunk").agg(F.sum("n_tokens").alias("total"))
+    h = sizes.groupBy("source", "h", "doc_id", "n_tokens").agg(F.count("*").alias("copies")).withColumn("chunk", F.pmod("h", F.lit(chunks)))
+    size = F.col("n_tokens") * F.col("copies")
+    totals = h.groupBy("source", "chunk").agg(F.sum(size).alias("total"))
     before = totals.select("source", "chunk", (F.sum("total").over(Window.partitionBy("source").orderBy("chunk")) - F.col("total")).alias("before"))
     w = Window.partitionBy("source", "chunk").orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    return h.withColumn("within", F.sum("n_tokens").over(w) - F.col("n_tokens")).join(before, ["source", "chunk"]).select("doc_id", "source", "n_tokens", (F.col("before") + F.col("within")).alias("start"))
+    each = h.withColumn("within", F.sum(size).over(w) - size).join(before, ["source", "chunk"]).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))
+    return each.select("doc_id", "source", "n_tokens", (F.col("before") + F.col("within") + F.col("copy") * F.col("n_tokens")).alias("start"))
 
 
 def read_targets(targets: DataFrame) -> DataFrame:
@@ -146,26 +168,28 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, vo
     names = sorted(spec)
     caps = {s: blocks.get(s, 0) * max(0, spec[s][1]) for s in names}
     plan = slot_plan(blocks, spec, n_slots)
-    drawn = draw_counts(plan, caps, SLOTS_PER_SHARD, seed)
-    starts = np.vstack([np.zeros((1, len(names)), np.int64), drawn.cumsum(0)])[:-1] if len(drawn) else drawn
+    totals = [plan[s] for s in names]
+    n_shards = -(-sum(totals) // SLOTS_PER_SHARD)
 
     def slots(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in it:
-            for shard in df["id"].tolist():
+            if not len(df):
+                continue
+            for _, before, counts in shard_draws(totals, SLOTS_PER_SHARD, seed, int(df["id"].min()), int(df["id"].max()) + 1):
                 for j, s in enumerate(names):
-                    if not drawn[shard, j]:
+                    if not counts[j]:
                         continue
-                    i, n = np.arange(starts[shard, j], starts[shard, j] + drawn[shard, j]), blocks[s]
+                    i, n = np.arange(before[j], before[j] + counts[j]), blocks[s]
                     for turn in np.unique(i // n):
                         at = i[i // n == turn] % n
                         yield pd.DataFrame({"source": s, "block": feistel(at, n, seed * 1_000_003 + j * 1009 + int(turn))})
 
-    n_shards = len(drawn)
-    uses = spark.range(0, n_shards, numPartitions=max(1, min(n_shards, 8 * spark.sparkContext.defaultParallelism))).mapInPandas(slots, "source STRING, block BIGINT").groupBy("source", "block").agg(F.count("*").alias("uses"))
+    ids = spark.range(0, n_shards, numPartitions=max(1, min(n_shards, 8 * spark.sparkContext.defaultParallelism)))  # each task has a run of shards
+    uses = ids.mapInPandas(slots, "source STRING, block BIGINT").groupBy("source", "block").agg(F.count("*").alias("uses"))
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("n_tokens") - 1) / block)
     pieces = placed.withColumn("block", F.explode(F.sequence(first, last)))
     overlap = F.least(F.col("start") + F.col("n_tokens"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    got = pieces.join(uses, ["source", "block"]).groupBy("doc_id", "source", "n_tokens", "start").agg(
+    got = pieces.join(uses.hint("merge"), ["source", "block"]).groupBy("doc_id", "source", "n_tokens", "start").agg(
         F.max("uses").alias("n_uses"), F.sum(overlap * F.col("uses")).alias("tokens_used"))
     got = got.drop("start")
 

@@ -24,11 +24,35 @@ def test_slot_plan_fills_the_gap_of_short_sources():
     assert X.slot_plan({"a": 1}, {"a": (1.0, 2)}, 100) == {"a": 2}
 
 
-def test_draws_never_exceed_the_cap():
-    plan, cap = {"a": 500, "b": 500}, {"a": 500, "b": 2000}
+def draws(totals, per, seed, first=0, last=10**12):
+    return list(X.shard_draws(totals, per, seed, first, last))
+
+
+def test_draws_are_exact_in_total_and_alike_in_every_task():
+    totals = [500, 400, 0, 77]
     for seed in range(20):
-        d = X.draw_counts(plan, cap, 64, seed)
-        assert d.sum() == 1000 and d[:, 0].sum() <= 500 and (d >= 0).all() and (d.sum(1)[:-1] == 64).all()
+        d = draws(totals, 64, seed)
+        counts, before = np.array([c for _, _, c in d]), np.array([b for _, b, _ in d])
+        assert counts.sum(0).tolist() == totals and (counts >= 0).all() and (counts.sum(1)[:-1] == 64).all() and counts.sum(1)[-1] == 977 % 64
+        assert (before == counts.cumsum(0) - counts).all()
+        assert draws(totals, 64, seed, 3, 7) == d[3:7]
+    assert draws([], 64, 0) == [] and draws([0, 0], 64, 0) == [] and len(draws([5], 64, 0)) == 1
+
+
+def test_draws_follow_the_multinomial_law():
+    d = np.array([c for _, _, c in draws([300_000, 100_000], 1000, 1)])
+    assert abs(d[:, 0].mean() - 750) < 1e-9 and 0.8 < d[:, 0].std() / np.sqrt(1000 * 0.75 * 0.25) < 1.2
+
+
+def test_very_many_slots():
+    """10**11 slots, most of one source: two shards in the middle are drawn without the others."""
+    totals = [8 * 10**10, 2 * 10**10, 3]
+    n = -(-sum(totals) // 16384)
+    (one, b1, c1), (two, b2, c2) = draws(totals, 16384, 5, n // 2 + 1, n // 2 + 3)
+    assert (one, two) == (n // 2 + 1, n // 2 + 2) and sum(c1) == sum(c2) == 16384 and [x + y for x, y in zip(b1, c1)] == b2
+    assert sum(b1) == one * 16384 and abs(c1[0] / 16384 - 0.8) < 0.02 and abs(b1[0] / sum(b1) - 0.8) < 0.001
+    plan = X.slot_plan({"a": 10**10, "b": 10**11}, {"a": (0.5, 4), "b": (0.5, 4)}, 10**12)
+    assert plan == {"a": 4 * 10**10, "b": 4 * 10**11}
 
 
 @pytest.mark.parametrize("chunk", [50_000, 7])
@@ -54,6 +78,14 @@ def test_all_used_up(spark):
     assert {r.n_uses for r in got.collect()} == {2} and got.count() == 2 and shares.first().limited
 
 
+def test_copies_and_missing_ids(spark, monkeypatch):
+    rows = [(None, "one two", "a")] * 30 + [(7, "one two", "a")] * 30 + [(8, "three", "a")]
+    got, shares = X.mix(docs(spark, rows), spark.createDataFrame([("a", 1.0, 1)], TARGET), total_tokens=10**6, block=2)
+    ids = [r.doc_id for r in got.collect()]
+    assert ids.count(None) == 30 and ids.count(7) == 30 and ids.count(8) == 1
+    assert shares.first().tokens_used == shares.first().tokens_available
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], TARGET)
     got, shares = X.mix(docs(spark, []), spark.createDataFrame([("a", 1.0, 2)], TARGET))
