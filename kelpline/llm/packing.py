@@ -7,7 +7,8 @@ partition is merged over ``FAN_IN`` partitions at a time, largest first, in as m
 leave one group: so no task ever holds more than FAN_IN * WINDOWS windows.
 
 A document larger than the capacity fills whole containers of its own and its rest is an item; no
-other document is divided. A document without tokens (null or empty text) is an item of size 0, so
+other document is divided. Repeated rows, and documents without an id that have one text, are spread
+over partitions too, so no group of copies is one task. A document without tokens (null or empty text) is an item of size 0, so
 every document is in some container, as is one without a doc_id. Repeated rows are items each. Specs with a null or non-positive
 capacity are left out; of equal names each distinct capacity counts.
 """
@@ -28,6 +29,8 @@ WINDOWS = 32
 FAN_IN = 16
 NO_ID = -(2**63)
 DOCS_PER_PARTITION = 25_000
+#: Copies of one document that go to a partition together.
+COPIES = 256
 SCHEMA = "spec_name STRING, capacity_tokens INT, grp INT, open BOOLEAN, container_id STRING, place INT, doc_id BIGINT, tok_start BIGINT, tok_end BIGINT, fill BIGINT"
 
 Piece = tuple[int, int, int]  # doc_id, tok_start, tok_end
@@ -109,16 +112,22 @@ def pack_documents(docs: DataFrame, specs: DataFrame, vocabulary: str = VOCABULA
     wanted = [(r.spec_name, r.capacity_tokens) for r in specs.where("capacity_tokens > 0").distinct().orderBy("spec_name", "capacity_tokens").limit(1000).collect()]
     if len(wanted) == 1000:
         raise ValueError("1000 specs or more in one run")
-    named = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")  # no nulls, so ids stay integers in pandas
-    sizes = materialize(token_counts(named, vocabulary), "tokens")
+    named = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("doc_id", "text").alias("h"), "text")  # no nulls, so ids stay integers in pandas
+    sizes = materialize(token_counts(named, vocabulary, ("h",)), "tokens")
     groups = max(1, -(-sizes.count() // docs_per_partition))
+    copies = sizes.groupBy("doc_id", "h", "n_tokens").agg(F.count("*").alias("copies"))
+    part = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / COPIES))).alias("part")
+    items = copies.select("doc_id", "h", "n_tokens", "copies", part).withColumn("copies", F.least(F.lit(COPIES), F.col("copies") - F.col("part") * COPIES))
+
+    windows = WINDOWS
 
     def first(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["doc_id", "n_tokens"], na_position="first")
+        df = df.sort_values(["doc_id", "n_tokens", "h", "part"])
+        df = df.loc[df.index.repeat(df["copies"])]
         items = list(zip(df["doc_id"].tolist(), df["n_tokens"].tolist()))
-        return pd.concat([_rows(s, c, int(df["grp"].iloc[0]), "0", *pack(iter(items), c)) for s, c in wanted] or [_rows("", 0, 0, "", [], [])])
+        return pd.concat([_rows(s, c, int(df["grp"].iloc[0]), "0", *pack(iter(items), c, windows)) for s, c in wanted] or [_rows("", 0, 0, "", [], [])])
 
-    placed = sizes.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")).groupBy("grp").applyInPandas(first, SCHEMA)
+    placed = items.withColumn("grp", F.pmod(F.xxhash64("h", "part"), F.lit(groups)).cast("int")).groupBy("grp").applyInPandas(first, SCHEMA)
     placed, level, done = materialize(placed, "packed-0"), 0, []
     while True:
         done.append(placed.where("NOT open"))

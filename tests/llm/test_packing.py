@@ -80,3 +80,12 @@ def test_odd_inputs(spark):
     assert sorted((r.doc_id for r in rows if r.spec_name == "a"), key=str) == sorted([5, 5, 2**60 + 1, None], key=str)
     assert P.pack_documents(docs(spark, []), specs(spark, 10)).count() == 0
     assert P.pack_documents(d, specs(spark)).count() == 0
+
+
+def test_copies_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(P, "COPIES", 4)
+    monkeypatch.setattr(P, "WINDOWS", 1)
+    rows = [(None, "same")] * 50 + [(3, "same")] * 50 + [(None, "other text")] * 9
+    out = P.pack_documents(docs(spark, rows), specs(spark, 8), docs_per_partition=10).collect()
+    assert len(out) == 109 and sum(r.doc_id == 3 for r in out) == 50
+    assert len({r.container_id.split(".")[1] for r in out}) > 1 and all(r.fill <= 8 for r in out)
