@@ -1,10 +1,17 @@
-"""Driver-side file system calls through Hadoop's API, so that any scheme Spark reads also works here."""
+"""File systems: on the driver through Hadoop's API, so that any scheme Spark reads also works here; in tasks through Arrow's."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
 
+def open_fs(uri: str):
+    """The Arrow file system of a URI and the path in it; usable in any executor's Python."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
 class Folder:
     """A folder on whatever file system its URI names."""
 

@@ -1,8 +1,9 @@
 import random
 
+import pyarrow as pa
 import pytest
 
-from kelpline.operators.change_feed import KeyedTable, replay
+from kelpline.operators.change_feed import KeyedTable, buckets_for, merge_sorted, replay
 from kelpline.session import job_dir
 
 FEED = "record_id BIGINT, user_key BINARY, ts STRUCT<physical: BIGINT, logical: BIGINT>, is_delete BOOLEAN, value BINARY, bucket STRING, physical STRING"
@@ -49,6 +50,42 @@ def test_random_feeds(spark, seed, batches):
     assert live(t) == brute(rows)
 
 
+def table(rows):
+    keys, p, rid = zip(*rows) if rows else ((), (), ())
+    n = len(keys)
+    return pa.table({"user_key": pa.array(keys, pa.binary()), "physical": pa.array(p, pa.int64()), "logical": pa.array([0] * n, pa.int64()), "record_id": pa.array(rid, pa.int64()), "is_delete": pa.array([False] * n), "value": pa.array([None] * n, pa.binary())})
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_merging_sorted_streams(seed):
+    r = random.Random(seed)
+
+    def stream(n, size):
+        keys = sorted({bytes([r.randrange(256) for _ in range(r.randrange(3))]) for _ in range(n)})
+        rows = [(k, r.randrange(3), r.randrange(4)) for k in keys]
+        return rows, [table(rows[i : i + size]) for i in range(0, len(rows), size)]
+
+    (a, ta), (b, tb) = stream(r.choice([0, 1, 60, 300]), 7), stream(r.choice([0, 50, 300]), r.choice([3, 64]))
+    want = {}
+    for k, p, rid in a + b:
+        want[k] = max(want.get(k, (-1, 0)), (p, -rid))
+    got = [(k, p, rid) for t in merge_sorted(iter(ta), iter(tb)) for k, p, rid in zip(*(t[c].to_pylist() for c in ("user_key", "physical", "record_id")))]
+    assert got == [(k, p, -n) for k, (p, n) in sorted(want.items())]
+
+
+def test_base_is_not_shuffled_and_files_are_sorted(spark):
+    rows = random_rows(9, 400)
+    f = feed(spark, rows)
+    t = replay(spark, f, job_dir(spark, "t"), buckets_for(f), 2, trickle=1)
+    assert len(t.commits) == 3 and t.commits[-1].buckets_touched <= 1 and t.commits[-1].rows_written <= t.commits[1].rows_written
+    assert live(t) == brute(rows)
+    for files in t.manifest()["buckets"].values():
+        assert len(files) == 1
+        keys = [bytes(x.user_key) for x in spark.read.parquet(f"{t.path}/{files[0]}").collect()]
+        assert keys == sorted(set(keys))
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
 def test_empty(spark):
     t = replay(spark, feed(spark, []), job_dir(spark, "t"), 4)
     assert live(t) == {}
