@@ -4,10 +4,13 @@ For each language two passes are made. The first counts, over all documents, how
 comes with and without a following period, what follows it then, and which words open sentences (they
 follow an unmistakable end mark, or begin a paragraph). From these counts:
 
-* abbreviations are the types that a log-likelihood ratio shows to attract the period, scaled by
-  length, inner periods and occurrences without it, and that go on within a sentence often enough;
-* sentence starters are words with a share among sentence openings;
-* collocations are pairs over a period that come more often than starters would make them.
+* sentence starters are the words that by a log-likelihood ratio come at sentence openings more often than
+  errors (openings that are none, at which words come as they do elsewhere) would bring them there;
+* collocations are pairs over a period whose second word, by such a ratio, follows the first more often than
+  OVER times its share of openings, with the error of that share, would make it;
+* abbreviations are the types that the ratio shows to attract the period, scaled by
+  length, inner periods and occurrences without it, and that go on within a sentence often enough; or those
+  that by the ratio go on more often than the language's other types, and mostly do.
 
 The second pass classifies each period: after an abbreviation, an initial or a number the sentence
 ends only if the next word is a starter and the pair is no collocation; after any other word it ends
@@ -41,6 +44,12 @@ COMMON_WORDS = 1000.0
 NO_ID = -(2**63)
 ABBREVIATION_SCORE = 0.3
 GOES_ON_SHARE = 0.04
+#: Least log-likelihood ratios: of starters, of collocations, and of types that go on.
+STARTER_RATIO = 15.0
+COLLOCATION_RATIO = 7.88
+#: Share of the openings that are taken for errors in judging starters.
+ERROR_SHARE = 0.01
+GOES_ON_RATIO = 30.0
 OVER = 3.0
 SHORT = 3
 
@@ -70,6 +79,7 @@ EVENT = re.compile(
 )
 WORD = re.compile(r"[^\W\d_][\w'’-]*", re.UNICODE)
 BARE = re.compile(r"[^\W\d_][\w'’-]*+(?!\.)", re.UNICODE)
+NUMBERS = re.compile(r"(?<![\w.])\d")
 AROUND = re.compile(r"[\"„“”«»()\[\]{}¿¡`]")
 JOINED = re.compile(r"[^\W\d_]{3}[.!?]((?=[^\W\d_])[^a-z]\S*)$")
 NUMERIC = re.compile(r"[-+]?\d[\d.,:/]*$")
@@ -159,22 +169,13 @@ class Model:
     """What was learned for one language."""
 
     abbreviations: set[str] = field(default_factory=set)
-    starts: dict[str, float] = field(default_factory=dict)
-    pairs: dict[tuple[str, str], int] = field(default_factory=dict)
+    starts: set[str] = field(default_factory=set)
+    pairs: set[tuple[str, str]] = field(default_factory=set)
     totals: dict[str, int] = field(default_factory=dict)
-    opened: int = 0  # sentence openings that the shares in ``starts`` come from
-
-    def too_often(self, before: str, word: str) -> bool:
-        """Whether ``word`` follows ``before`` more often than as a sentence opening, by its share and the
-        error of a share learned from that many openings."""
-        share = self.starts.get(word, 0.0)
-        if share:
-            share += 0.5 / math.sqrt(max(1, self.opened))
-        return self.pairs.get((before, word), 0) > OVER * self.totals.get(before, 0) * share + OVER
 
     def fits_start(self, before: str, word: str) -> bool:
-        """Whether ``word`` opens sentences, and follows ``before`` no more often than it would by that."""
-        return self.starts.get(word, 0.0) > 0 and not self.too_often(before, word)
+        """Whether ``word`` opens sentences, and doesn't belong to ``before``."""
+        return word in self.starts and (before, word) not in self.pairs
 
 
 def next_word(text: str, at: int, script: str) -> str:
@@ -199,7 +200,10 @@ def next_word(text: str, at: int, script: str) -> str:
 def type_before(text: str, at: int) -> str:
     """The word type ending just before a period at ``at``: lower-cased but for single capitals' case and
     leading capitals of short words, numbers as NUM, '' if none."""
-    piece = text[max(0, at - 40) : at]
+    back = 40
+    while back < at and len(text[at - back : at].split(None, 1)) < 2:  # a longer word
+        back *= 2
+    piece = text[max(0, at - back) : at]
     if not piece or piece[-1].isspace():
         return ""
     t = piece.rsplit(None, 1)[-1]
@@ -308,9 +312,9 @@ def ends(text: str, c: Candidate, script: str, model: Model) -> bool:
     if c.kind == "hard":
         if not c.spaced and not caseless and not word[:1].isupper():
             return text[c.mark] in "।؟" + CJK_ENDS
-        return not lower or model.starts.get(word, 0) > 0 or text[c.mark] in "।؟"
+        return not lower or word in model.starts or text[c.mark] in "।؟"
     if c.kind == "dots":
-        return (not lower and not caseless and word != "`") or model.starts.get(word, 0) > 0
+        return (not lower and not caseless and word != "`") or word in model.starts
     if c.kind == "close":
         return model.fits_start(QUOTED, word) if lower or caseless else True
     before = c.before
@@ -320,13 +324,13 @@ def ends(text: str, c: Candidate, script: str, model: Model) -> bool:
     if before == NUM and DATE.search(text, max(0, c.mark - 3), c.mark) and AFTER_DATE.match(text, rest):
         return False
     if not before:
-        return not lower or model.starts.get(word, 0) > 0
+        return not lower or word in model.starts
     bound = before in model.abbreviations or INITIAL.match(before)
     if before == NUM:
         bound = True if lower or word == NUM else model.totals.get(NUM, 0) > 0
-    if bound or len(before) <= SHORT and model.too_often(before, word):
+    if bound or len(before) <= SHORT and (before, word) in model.pairs:
         return model.fits_start(before, word)
-    return not lower or model.starts.get(word, 0) > 0
+    return not lower or word in model.starts
 
 
 def thai_cuts(text: str) -> list[int]:
@@ -396,9 +400,14 @@ def _language(script: str, prose: str, languages: Languages) -> str:
 
 
 def counted(text: str, kind: str, script: str, counts: Counter, words: Counter) -> None:
-    """Adds one block's statistics to ``counts``, (what, a, b), and its words without a period to ``words``."""
-    if script != "cjk":
-        words.update(BARE.findall(text))
+    """Adds one block's statistics to ``counts``, (what, a, b), and its words without a period to ``words``: as
+    ``next_word`` would give them."""
+    if script == "cjk":
+        words.update(map("".join, zip(text, text[1:])))
+    else:
+        words.update((BARE if script != "deva" else NEXT).findall(text))
+        words[NUM] += len(NUMBERS.findall(text))
+        words["`"] += text.count("`") // 2
     if kind == "p" and (w := next_word(text, 0, script)):
         counts["s", w, ""] += 1
     for c in candidates(text, script, script == "grek"):
@@ -440,7 +449,7 @@ def statistics(docs: DataFrame, languages: Languages) -> DataFrame:
 
 def _stat_rows(total: dict[str, tuple[Counter, Counter]]) -> pd.DataFrame:
     rows = [(lang, *k, n) for lang, (c, _) in total.items() for k, n in c.items()]
-    rows += [(lang, "w", w if len(w) <= 3 else w.lower(), "", n) for lang, (_, c) in total.items() for w, n in c.items()]
+    rows += [(lang, "w", w, "", n) for lang, (_, c) in total.items() for w, n in c.items()]
     return pd.DataFrame(rows, columns=["lang", "what", "a", "b", "n"])
 
 
@@ -451,58 +460,74 @@ def _likelihood(n_period: int, n_all: int, periods: int, words: int) -> float:
     return 2 * (n_period * math.log(q / p) + rest * math.log((1 - q) / (1 - p)))
 
 
+def ratio(k1: float, n1: float, k2: float, n2: float) -> float:
+    """Log-likelihood ratio of two shares, k1 of n1 and k2 of n2, being unlike, against being one."""
+    p = (k1 + k2) / max(n1 + n2, 1)
+    part = lambda k, n, q: k * math.log(k / (n * q)) if k > 0 else 0.0
+    return 2 * (part(k1, n1, p) + part(n1 - k1, n1, 1 - p) + part(k2, n2, p) + part(n2 - k2, n2, 1 - p))
+
+
+def excess_column(n: Column, expected: Column) -> Column:
+    """Log-likelihood ratio of a count having its own rate, against the expected one (Poisson's law)."""
+    return 2 * (n * F.ln(n / expected) - (n - expected))
+
+
 def learn(stats: DataFrame) -> dict[str, Model]:
-    """The models of all languages. What goes on, totals and what comes too often are summed in Spark over
-    all counts; only what ``ends`` can ask for is gathered: abbreviations, starters, pairs that come too
-    often, and the totals that are looked up."""
+    """The models of all languages. All counts are summed and judged in Spark; only the decisions that ``ends``
+    can ask for are gathered: abbreviations, starters, collocations, and the totals that are looked up."""
     stats = materialize(stats, "statistics")
     opened = stats.where("what = 's'").groupBy("lang").agg(F.sum("n").alias("opened"))
-    starts = stats.where("what = 's'").join(F.broadcast(opened), "lang").where("n >= 2 OR opened < 200")
-    starts = starts.select("lang", F.col("a").alias("b"), "n", (F.col("n") / F.col("opened")).alias("share"))
+    words = stats.where("what = 'w'").groupBy("lang").agg(F.sum("n").alias("words"))
+    sizes = materialize(opened.join(words, "lang", "full"), "sizes")  # a row a language
+    opened, words = F.coalesce("opened", F.lit(0)), F.coalesce("words", F.lit(0))
+    everywhere = stats.where("what = 'w'").select("lang", "a", F.col("n").alias("n_word"))
+    openings = stats.where("what = 's'").select("lang", "a", "n").join(everywhere, ["lang", "a"], "left").join(F.broadcast(sizes), "lang")
+    elsewhere = F.greatest(F.coalesce("n_word", F.lit(0)) - F.col("n"), F.lit(0)) + 1
+    by_error = ERROR_SHARE * opened * F.least(elsewhere / F.greatest(words - opened, F.lit(1)), F.lit(1.0))
+    starts = materialize(openings.where((excess_column(F.col("n"), by_error) >= STARTER_RATIO) & (F.col("n") > by_error)).select("lang", F.col("a").alias("b"), "n"), "starters")
     per_type = stats.where("what = 'p'").groupBy("lang", "a").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("b") != "", F.col("n")).otherwise(0)).alias("total"))
     types = materialize(per_type, "types")
-    share = F.coalesce("share", F.lit(0.0))
-    error = F.when(share > 0, 0.5 / F.sqrt(F.greatest(F.lit(1), F.coalesce("opened", F.lit(0))))).otherwise(0.0)
     pairs = (
         stats.where("what = 'p' AND b != ''").select("lang", "a", "b", "n")
         .join(types.select("lang", "a", "total"), ["lang", "a"])
-        .join(starts.select("lang", "b", "share"), ["lang", "b"], "left")
-        .join(F.broadcast(opened), "lang", "left")
-        .select("lang", "a", "b", "n", "total", share.alias("share"), (F.col("n") > OVER * F.col("total") * (share + error) + OVER).alias("too_often"))
+        .join(stats.where("what = 's'").select("lang", F.col("a").alias("b"), F.col("n").alias("n_open")), ["lang", "b"], "left")
+        .join(starts.select("lang", "b", F.lit(True).alias("starter")), ["lang", "b"], "left")
+        .join(F.broadcast(sizes), "lang")
     )
-    pairs = materialize(pairs, "pairs")
-    goes_on = pairs.where("share = 0 OR too_often").groupBy("lang", "a").agg(F.sum("n").alias("goes_on"))
-    bare = stats.where("what = 'w'").select("lang", "a", F.col("n").alias("n_word"))
-    words = bare.groupBy("lang").agg(F.sum("n_word").alias("words"))
-    periods = types.groupBy("lang").agg(F.sum("n").alias("periods"))
-    judged = types.join(goes_on, ["lang", "a"]).join(bare, ["lang", "a"], "left").join(F.broadcast(periods), "lang").join(F.broadcast(words), "lang", "left")
-    judged = judged.select("lang", "a", "n", F.coalesce("n_word", F.lit(0)).alias("n_word"), F.coalesce("words", F.lit(0)).alias("words"), "periods", "goes_on", "total")
+    n_opened = F.greatest(opened, F.lit(1))
+    as_opening = OVER * F.col("total") * (F.coalesce("n_open", F.lit(0)) / n_opened + 0.5 / F.sqrt(n_opened))
+    bound = (excess_column(F.col("n"), as_opening) >= COLLOCATION_RATIO) & (F.col("n") > as_opening)
+    pairs = materialize(pairs.select("lang", "a", "b", "n", "total", F.coalesce("starter", F.lit(False)).alias("starter"), bound.alias("bound")), "pairs")
+    goes_on = pairs.where("NOT starter OR bound").groupBy("lang", "a").agg(F.sum("n").alias("goes_on"))
+    lower = F.when(F.length("a") <= 3, F.col("a")).otherwise(F.lower("a"))
+    bare = everywhere.groupBy("lang", lower.alias("a")).agg(F.sum("n_word").alias("n_word"))
+    of_types = types.join(goes_on, ["lang", "a"], "left").withColumn("goes_on", F.coalesce("goes_on", F.lit(0)))
+    all_types = of_types.groupBy("lang").agg(F.sum("n").alias("periods"), F.sum("goes_on").alias("all_on"), F.sum("total").alias("all_total"))
+    judged = of_types.where("goes_on > 0").join(bare, ["lang", "a"], "left").join(F.broadcast(all_types), "lang").join(F.broadcast(sizes), "lang")
+    judged = judged.select("lang", "a", "n", F.coalesce("n_word", F.lit(0)).alias("n_word"), words.alias("words"), "periods", "goes_on", "total", "all_on", "all_total")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in it:
             yield df.loc[[is_abbreviation(*r) for r in df.drop(columns="lang").itertuples(index=False)], ["lang", "a"]]
 
     out: dict[str, Model] = {}
-    for lang, n in opened.collect():
-        out.setdefault(lang, Model()).opened = n
-    for lang, b, _, x in starts.collect():
-        out[lang].starts[b] = x
+    for lang, b in starts.select("lang", "b").collect():
+        out.setdefault(lang, Model()).starts.add(b)
     for lang, a in judged.mapInPandas(run, "lang STRING, a STRING").collect():
         out.setdefault(lang, Model()).abbreviations.add(a)
     # a pair whose word is no starter is asked for only after short types
-    asked = pairs.where(F.col("too_often") & ((F.col("share") > 0) | (F.length("a") <= SHORT)))
-    for lang, a, b, n, total in asked.select("lang", "a", "b", "n", "total").collect():
-        m = out.setdefault(lang, Model())
-        m.pairs[a, b], m.totals[a] = n, total
+    asked = pairs.where(F.col("bound") & (F.col("starter") | (F.length("a") <= SHORT)))
+    for lang, a, b in asked.select("lang", "a", "b").collect():
+        out.setdefault(lang, Model()).pairs.add((a, b))
     known = (F.col("total") >= 5) & ((F.length("a") < 3) | F.col("a").contains(".")) | (F.col("a") == NUM)
     for lang, a, total in types.where(known & (F.col("total") > 0)).select("lang", "a", "total").collect():
         out.setdefault(lang, Model()).totals[a] = total
     return out
 
 
-def is_abbreviation(a: str, n: int, n_word: int, words: int, periods: int, goes_on: int, total: int) -> bool:
+def is_abbreviation(a: str, n: int, n_word: int, words: int, periods: int, goes_on: int, total: int, all_on: int, all_total: int) -> bool:
     """Whether a type is an abbreviation, by its counts with and without a period, those of its language,
-    and how many of its ``total`` next words go on within the sentence."""
+    and how many of its ``total`` next words go on within the sentence, of ``all_on`` of all types."""
     if a in (NUM, QUOTED) or not re.search(r"[^\W\d_]", a) or ("." in a and max(map(len, a.split("."))) > SHORT):
         return False
     bare_length = max(1, len(a.replace(".", "")))
@@ -510,7 +535,8 @@ def is_abbreviation(a: str, n: int, n_word: int, words: int, periods: int, goes_
     score = _likelihood(n, n_all, periods, words or 1) * math.exp(-bare_length) * (a.count(".") + 1) * bare_length ** -float(min(60, n_all - n))
     # a type seen to go on in most places is an abbreviation even if it is long
     share = goes_on / max(1, total)
-    return (score >= ABBREVIATION_SCORE and share >= GOES_ON_SHARE) or (share >= 0.5 and goes_on >= 4 and n >= 0.5 * n_all)
+    often = share >= 0.5 and n >= 0.5 * n_all and ratio(goes_on, total, all_on - goes_on, max(1, all_total - total)) >= GOES_ON_RATIO
+    return (score >= ABBREVIATION_SCORE and share >= GOES_ON_SHARE) or often
 
 
 def sample_rows(docs: DataFrame, size: int = SAMPLE_DOCS) -> list[tuple[str, str, str, int]]:

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from kelpline.llm import sentences as S
 from kelpline.llm.prose import blocks, text_cells
@@ -28,10 +29,10 @@ def test_cells():
 
 
 def model():
-    starts = dict.fromkeys(["The", "It", "Is", "Das", "Ein", "We", "np_lite", S.NUM, "这个", "不要", "この"], 0.05)
-    pairs = {("Dr", "Ilse"): 50, ("fig", S.NUM): 90, ("R", "R"): 40, ("No", S.NUM): 40, (S.QUOTED, "asked"): 30, (S.QUOTED, "然后"): 30, (S.QUOTED, "と彼"): 30, (S.NUM, "März"): 30}
+    starts = {"The", "It", "Is", "Das", "Ein", "We", "np_lite", S.NUM, "这个", "不要", "この"}
+    pairs = {("Dr", "Ilse"), ("fig", S.NUM), ("R", "R"), ("No", S.NUM), (S.QUOTED, "asked"), (S.QUOTED, "然后"), (S.QUOTED, "と彼"), (S.NUM, "März")}
     totals = {"Dr": 60, "fig": 90, "R": 80, "No": 100, S.QUOTED: 90, S.NUM: 100, "etc": 50, "usw": 50}
-    return S.Model({"Dr", "fig", "e.g", "usw"}, starts, pairs, totals, 10_000)
+    return S.Model({"Dr", "fig", "e.g", "usw"}, starts, pairs, totals)
 
 
 @pytest.mark.parametrize("script,text", [
@@ -99,11 +100,27 @@ def test_odd_documents(spark):
 
 
 def test_rare_next_words_count(spark):
-    rows = [("en", "w", "tide", "", 12_000_000), ("en", "s", "The", "", 900_000), ("en", "s", "np_lite", "", 3)]
+    rows = [("en", "w", "tide", "", 12_000_000), ("en", "w", "np_lite", "", 4), ("en", "w", "The", "", 1_200_000), ("en", "w", "the", "", 2_000_000), ("en", "s", "the", "", 50), ("en", "s", "The", "", 900_000), ("en", "s", "np_lite", "", 3)]
     rows += [("en", "p", "tide", "The", 800_000), ("en", "p", "St", "Ilse", 4), ("en", "p", "tide", "", 90_000)] + [("en", "p", "Dr", f"Vane{i}", 2) for i in range(3000)]
+    rows += [("en", "p", "St", "The", 4), ("en", "p", "Mt", "np_lite", 40), ("en", "p", "Mt", "The", 5)]
     m = S.learn(spark.createDataFrame(rows, S.STATS))["en"]
     assert "Dr" in m.abbreviations and "tide" not in m.abbreviations
-    assert m.opened == 900_003 and m.starts["np_lite"] > 0 and m.too_often("St", "Ilse")
+    assert m.starts == {"The", "np_lite"}  # "the" opens too, but far less often than it comes elsewhere
+    assert ("St", "Ilse") in m.pairs and ("Mt", "np_lite") in m.pairs and ("St", "The") not in m.pairs
+    assert S.learn(spark.createDataFrame([], S.STATS)) == {}
+
+
+def test_ratio(spark):
+    assert S.ratio(5, 10, 50, 1000) > 20 > S.ratio(1, 10, 50, 1000) and abs(S.ratio(1, 10, 100, 1000)) < 1e-9
+    assert S.ratio(0, 5, 0, 9) == 0 and S.ratio(3, 3, 7, 7) == 0
+    got = [r[0] for r in spark.createDataFrame([(4, 4.0), (40, 4.0), (1, 4.0)], "n BIGINT, m DOUBLE").select(S.excess_column(F.col("n"), F.col("m"))).collect()]
+    assert got[0] == 0 and got[1] > 100 and 2 < got[2] < 4
+
+
+def test_types_before_a_period():
+    long = "x" * 300
+    assert S.type_before(f"see {long}", 4 + 300) == long and S.type_before("a b. ", 5) == "" and S.type_before(" " * 90 + "Dr", 92) == "Dr"
+    assert S.type_before(long, 300) == long and S.type_before("", 0) == ""
 
 
 def test_small_languages_keep_a_model(spark):
