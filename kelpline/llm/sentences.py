@@ -44,8 +44,8 @@ COMMON_WORDS = 1000.0
 NO_ID = -(2**63)
 ABBREVIATION_SCORE = 0.3
 GOES_ON_SHARE = 0.04
-#: Least log-likelihood ratios: of starters, of collocations, and of types that go on.
-STARTER_RATIO = 15.0
+#: Least log-likelihood ratios: of collocations, and of types that go on. That of starters is 2 + 2 ln(openings), as
+#: about so many words are judged.
 COLLOCATION_RATIO = 7.88
 #: Share of the openings that are taken for errors in judging starters.
 ERROR_SHARE = 0.01
@@ -484,7 +484,7 @@ def learn(stats: DataFrame) -> dict[str, Model]:
     openings = stats.where("what = 's'").select("lang", "a", "n").join(everywhere, ["lang", "a"], "left").join(F.broadcast(sizes), "lang")
     elsewhere = F.greatest(F.coalesce("n_word", F.lit(0)) - F.col("n"), F.lit(0)) + 1
     by_error = ERROR_SHARE * opened * F.least(elsewhere / F.greatest(words - opened, F.lit(1)), F.lit(1.0))
-    starts = materialize(openings.where((excess_column(F.col("n"), by_error) >= STARTER_RATIO) & (F.col("n") > by_error)).select("lang", F.col("a").alias("b"), "n"), "starters")
+    starts = materialize(openings.where((excess_column(F.col("n"), by_error) >= 2 + 2 * F.ln(F.greatest(opened, F.lit(1)))) & (F.col("n") > by_error)).select("lang", F.col("a").alias("b"), "n"), "starters")
     per_type = stats.where("what = 'p'").groupBy("lang", "a").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("b") != "", F.col("n")).otherwise(0)).alias("total"))
     types = materialize(per_type, "types")
     pairs = (
