@@ -1,13 +1,16 @@
 """Proximity graphs: layered small-world graphs and pruned flat graphs, built and searched by shard.
 
 A shard's graph is built by one task from its vectors, so shards are to be sized for a task (some 10^5
-vectors). Graphs are tables ``shard, layer, vec_id, neighbours``; searches fan out to the shards and
-merge. ``entry`` marks the row that searches begin at. Results are approximate: they are measured by recall against the exact answer.
+vectors). Graphs are tables ``shard, layer, vec_id, neighbours``; searches fan out to the shards, or to those
+whose centres are nearest to the query, and merge. ``entry`` marks the row that searches begin at. Results
+are approximate: they are measured by recall against the exact answer.
+
+Within a task everything is arrays: neighbours are a matrix of row numbers per layer, rows are linked in blocks,
+and a block of queries walks the graph together, one node each at a time.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from dataclasses import dataclass, field
 
@@ -16,10 +19,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kelpline.operators import pq
 from kelpline.operators.knn import nearest_batched, top_k
 
 GRAPH = "shard INT, layer INT, vec_id BIGINT, neighbours ARRAY<BIGINT>, entry BOOLEAN"
 MAX_SHARDS = 100_000
+#: Rows linked at a time, values of a block of pairwise distances, and marks of visited rows held at a time.
+BLOCK_ROWS, PAIR_VALUES, SEEN_MARKS = 512, 1 << 25, 1 << 27
+#: Training rows of a shard's learned entries.
+TRAINED = 1024
 
 
 def _dist(x: np.ndarray, rows, q: np.ndarray) -> np.ndarray:
@@ -67,130 +75,246 @@ def prune_nearest(vectors: DataFrame, k: int = 32, alpha: float = 1.2, r: int =
     return q.join(met, "query_id", "left").withColumn("met", F.coalesce("met", F.array().cast(met.schema["met"].dataType))).mapInPandas(run, "vec_id BIGINT, kept ARRAY<BIGINT>")
 
 
-def diverse_neighbours(x: np.ndarray, base: int, candidates: list[tuple[float, int]], m: int) -> list[int]:
-    """A candidate is kept if it is nearer to the base than to every one kept; the rest fill up to m."""
-    candidates = sorted(candidates)
-    rows = [c for _, c in candidates]
-    apart, nearest = _between(x, rows), np.full(len(rows), np.inf)
-    kept, spare = [], []
-    for i, (d, c) in enumerate(candidates):
-        if len(kept) < m and nearest[i] > d:
-            kept.append(c)
-            np.minimum(nearest, apart[i], out=nearest)
-        else:
-            spare.append(c)
-    return (kept + spare)[:m]
+def _apart(x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Squared distances between the rows ``ids`` (B x C) names, B x C x C."""
+    y = x[np.maximum(ids, 0)]
+    sq = (y * y).sum(2)
+    return np.maximum(sq[:, :, None] + sq[:, None, :] - 2 * y @ y.transpose(0, 2, 1), 0)
+
+
+def diverse(x: np.ndarray, ids: np.ndarray, d: np.ndarray, most: int) -> np.ndarray:
+    """Up to ``most`` neighbours (B x most, -1 where fewer) out of candidates ``ids`` (B x C, -1 for none) with squared
+    distances ``d``, nearest first: a candidate is kept if it is nearer to its base than to every one kept; the
+    rest fill up."""
+    apart, valid = _apart(x, ids), ids >= 0
+    nearest, kept, n = np.full(ids.shape, np.inf, np.float32), np.zeros(ids.shape, bool), np.zeros(len(ids), int)
+    for i in range(ids.shape[1]):
+        ok = valid[:, i] & (n < most) & (nearest[:, i] > d[:, i])
+        kept[:, i] = ok
+        n += ok
+        nearest[ok] = np.minimum(nearest[ok], apart[ok, i])
+    return _first(np.where(kept, 0, np.where(valid, 1, 2)), ids, most)
+
+
+def robust(x: np.ndarray, ids: np.ndarray, d: np.ndarray, most: int, alpha: float) -> np.ndarray:
+    """As ``diverse``, by the rule of ``robust_prune``; nothing fills up."""
+    apart, open_, kept, n = alpha * alpha * _apart(x, ids), ids >= 0, np.zeros(ids.shape, bool), np.zeros(len(ids), int)
+    for i in range(ids.shape[1]):
+        ok = open_[:, i] & (n < most)
+        kept[:, i] = ok
+        n += ok
+        open_[ok] &= apart[ok, i] > d[ok]
+    return _first(np.where(kept, 0, 2), ids, most)
+
+
+def _first(rank: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+    """The ids of least rank, in their order; those of rank 2 become -1."""
+    order = np.argsort(rank, axis=1, kind="stable")[:, :most]
+    out = np.full((len(ids), most), -1, np.int32)
+    out[:, : order.shape[1]] = np.where(np.take_along_axis(rank, order, 1) < 2, np.take_along_axis(ids, order, 1), -1)
+    return out
+
+
+def _sorted(x: np.ndarray, base: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` candidates nearest to each base row, (ids, squared distances) nearest first; a candidate
+    counts once, and not for itself."""
+    ids = np.sort(ids, axis=1)
+    ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = -1
+    ids[ids == base[:, None]] = -1
+    d = ((x[np.maximum(ids, 0)] - x[base][:, None]) ** 2).sum(2)
+    d[ids < 0] = np.inf
+    order = np.argsort(d, axis=1, kind="stable")[:, :most]
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(d, order, 1)
+
+
+def _nearest(x: np.ndarray, rows: np.ndarray, among: np.ndarray, many: int, before: bool) -> np.ndarray:
+    """For each of ``rows`` the ``many`` nearest of ``among`` (ascending), of those before it if ``before``; -1 for none."""
+    y, z = x[rows], x[among]
+    d = (z * z).sum(1)[None] - 2 * y @ z.T
+    d[among[None] >= rows[:, None] if before else among[None] == rows[:, None]] = np.inf
+    many = min(many, d.shape[1])
+    at = np.argpartition(d, many - 1, axis=1)[:, :many] if many < d.shape[1] else np.broadcast_to(np.arange(many), d.shape)
+    return np.where(np.isfinite(np.take_along_axis(d, at, 1)), among[at], -1).astype(np.int32)
+
+
+def link_back(x: np.ndarray, links: np.ndarray, rows: np.ndarray, choose) -> None:
+    """Enter ``rows`` into the lists of the neighbours they chose; lists that overflow are chosen anew."""
+    width = links.shape[1]
+    to, of = links[rows].ravel(), np.repeat(rows, width)
+    to, of = to[to >= 0], of[to >= 0]
+    order = np.argsort(to, kind="stable")
+    to, of = to[order], of[order]
+    touched, start, n = np.unique(to, return_index=True, return_counts=True)
+    for some in np.array_split(np.arange(len(touched)), max(1, len(touched) // 1024)):
+        # lists with like numbers of newcomers would waste less room, but few have many
+        most = int(n[some].max()) if len(some) else 0
+        if not most:
+            continue
+        place = np.arange(most)[None]
+        new = np.where(place < n[some][:, None], of[np.minimum(start[some][:, None] + place, len(of) - 1)], -1)
+        step = max(1, PAIR_VALUES // (9 * width * width))
+        for s in range(0, len(some), step):
+            t = touched[some[s : s + step]]
+            ids, d = _sorted(x, t, np.concatenate([links[t], new[s : s + step]], 1).astype(np.int32), 3 * width)
+            full = (ids >= 0).sum(1) > width
+            out = np.full((len(t), width), -1, np.int32)
+            out[:, : min(width, ids.shape[1])] = ids[:, :width]
+            if full.any():
+                out[full] = choose(ids[full], d[full], width)
+            links[t] = out
 
 
 @dataclass
 class Graph:
-    """Adjacency by layer over the rows of ``x``; layer 0 holds all rows."""
+    """Neighbours by layer over the rows of ``x``: matrices of row numbers, -1 for none; layer 0 holds all rows, and
+    ``level`` is the highest layer of each."""
 
     x: np.ndarray
-    layers: list[dict[int, list[int]]] = field(default_factory=lambda: [{}])
+    links: list[np.ndarray] = field(default_factory=list)
+    level: np.ndarray = field(default_factory=lambda: np.zeros(0, int))
     entry: int | None = None
 
-    def beam(self, q: np.ndarray, entries: list[int], ef: int, layer: int, allowed: np.ndarray | None = None) -> list[tuple[float, int]]:
-        """The ef nearest rows met from the entries, nearest first; rows that aren't ``allowed`` are walked
-        through, but not returned."""
-        seen = set(entries)
-        frontier = [(float(d), e) for e, d in zip(entries, _dist(self.x, entries, q))]
-        heapq.heapify(frontier)
-        best = [(-d, -e) for d, e in frontier if allowed is None or allowed[e]]
-        heapq.heapify(best)
-        adjacent = self.layers[layer]
-        while frontier:
-            d, e = heapq.heappop(frontier)
-            if len(best) >= ef and d > -best[0][0]:
+    def beam(self, q: np.ndarray, start: np.ndarray, ef: int, layer: int) -> np.ndarray:
+        """For each query the ef nearest rows met from its start row (-1 for none), in no order. A query is at its
+        end when the ef nearest rows it met have all been left by their links."""
+        x, links, every = self.x, self.links[layer], np.arange(len(q))
+        seen = np.zeros((len(q), len(x)), bool)
+        ids, d, open_ = np.full((len(q), ef), -1, np.int32), np.full((len(q), ef), np.inf, np.float32), np.zeros((len(q), ef), bool)
+        ids[:, 0], d[:, 0], open_[:, 0], seen[every, start] = start, ((x[start] - q) ** 2).sum(1), True, True
+        live = every
+        while len(live):
+            near = np.where(open_[live], d[live], np.inf)
+            j = near.argmin(1)
+            go = np.isfinite(near[np.arange(len(live)), j])
+            live, j = live[go], j[go]
+            if not len(live):
                 break
-            new = [n for n in adjacent.get(e, ()) if n not in seen]
-            if not new:
+            open_[live, j] = False
+            new = links[ids[live, j]]
+            ok = new >= 0
+            at = np.where(ok, new, 0)
+            ok &= ~seen[live[:, None], at]
+            some = ok.any(1)
+            if not some.all():
+                rows, at, ok = live[some], at[some], ok[some]
+            else:
+                rows = live
+            if not len(rows):
                 continue
-            seen.update(new)
-            for n, dn in zip(new, _dist(self.x, new, q)):
-                dn = float(dn)
-                if len(best) < ef or dn < -best[0][0]:
-                    heapq.heappush(frontier, (dn, n))
-                    if allowed is None or allowed[n]:
-                        heapq.heappush(best, (-dn, -n))
-                        if len(best) > ef:
-                            heapq.heappop(best)
-        return sorted((-d, -e) for d, e in best)
-
-    def search(self, q: np.ndarray, k: int, ef: int = 100, allowed: np.ndarray | None = None, start: int | None = None) -> list[tuple[float, int]]:
-        """The k nearest rows found; from ``start`` (as a learned entry gives it) or the top layer's entry."""
-        if self.entry is None or (allowed is not None and not allowed.any()):
-            return []
-        at = self.entry if start is None else start
-        for layer in range(len(self.layers) - 1, 0, -1) if start is None else ():
-            at = self.beam(q, [at], 1, layer)[0][1]
-        return self.beam(q, [at], max(ef, k if allowed is None else 2 * k), 0, allowed)[:k]
+            seen[np.repeat(rows, ok.sum(1)), at[ok]] = True
+            dn = np.where(ok, ((x[at] - q[rows][:, None]) ** 2).sum(2), np.inf).astype(np.float32)
+            all_d = np.concatenate([d[rows], dn], 1)
+            pick = np.argpartition(all_d, ef - 1, axis=1)[:, :ef]
+            d[rows] = np.take_along_axis(all_d, pick, 1)
+            ids[rows] = np.take_along_axis(np.concatenate([ids[rows], np.where(ok, at, -1)], 1), pick, 1)
+            open_[rows] = np.take_along_axis(np.concatenate([open_[rows], ok], 1), pick, 1)
+        return ids
+
+    def search(self, q: np.ndarray, k: int, ef: int = 100, allowed: np.ndarray | None = None, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, distance) of the k nearest rows found for each query. ``start``: rows to begin at (as a learned
+        entry gives them), -1 for the top layer's entry. Rows that aren't ``allowed`` are walked through, so the
+        walk is widened by their share."""
+        none = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        if self.entry is None or not len(q) or (allowed is not None and not allowed.any()):
+            return none
+        ef = min(len(self.x), max(ef, k) if allowed is None else math.ceil(max(ef, 2 * k) / allowed.mean()))
+        out = [none]
+        step = max(1, min(1024, SEEN_MARKS // len(self.x), PAIR_VALUES // (ef + self.links[0].shape[1])))
+        for s in range(0, len(q), step):
+            part = q[s : s + step].astype(np.float32)
+            at = np.full(len(part), self.entry)
+            for layer in range(len(self.links) - 1, 0, -1):
+                at = self.beam(part, at, 1, layer)[:, 0]
+            if start is not None:
+                at = np.where(start[s : s + step] >= 0, start[s : s + step], at)
+            ids = self.beam(part, at, ef, 0)
+            who, row = np.nonzero(ids >= 0)[0], ids[ids >= 0]
+            if allowed is not None:
+                who, row = who[allowed[row]], row[allowed[row]]
+            d = np.sqrt(((self.x[row].astype(np.float64) - q[s : s + step][who]) ** 2).sum(1))
+            order = np.lexsort((row, d, who))
+            who, row, d = who[order], row[order], d[order]
+            first = np.searchsorted(who, who, "left")
+            keep = np.arange(len(who)) - first < k
+            out.append((who[keep] + s, row[keep], d[keep]))
+        return tuple(np.concatenate(z) for z in zip(*out))
 
 
 def build_layered(x: np.ndarray, m: int = 16, ef_construction: int = 200, seed: int = 0, into: Graph | None = None, first: int = 0) -> Graph:
-    """Insert the rows in order: levels are drawn from an exponential law, neighbours picked by diversity.
-    ``into``: a graph over the same rows that already links those before ``first``; the others are added."""
-    g, rng, scale = into or Graph(x), np.random.default_rng(seed + first), 1 / math.log(max(2, m))
-    for row in range(first, len(x)):
-        level = int(-math.log(1 - rng.random()) * scale)
-        if g.entry is None:
-            g.layers = [{row: []} for _ in range(level + 1)]
-            g.entry = row
-            continue
-        top, at = len(g.layers) - 1, [g.entry]
-        for layer in range(top, level, -1):
-            at = [g.beam(x[row], at, 1, layer)[0][1]]
-        for layer in range(min(level, top), -1, -1):
-            most = 2 * m if layer == 0 else m
-            found = g.beam(x[row], at, ef_construction, layer)
-            chosen = diverse_neighbours(x, row, found, m)
-            g.layers[layer][row] = chosen
-            for n in chosen:
-                links = g.layers[layer][n]
-                links.append(row)
-                if len(links) > most:
-                    g.layers[layer][n] = diverse_neighbours(x, n, list(zip(_dist(x, links, x[n]).tolist(), links)), most)
-            at = [c for _, c in found] or at
-        for _ in range(top + 1, level + 1):
-            g.layers.append({row: []})
-        if level > top:
-            g.entry = row
+    """Link the rows in order: levels are drawn from an exponential law, and neighbours are picked by diversity from the
+    ``ef_construction`` nearest of the rows before. ``into``: a graph over the same rows that already links
+    those before ``first``; the others are added."""
+    x, rng = x.astype(np.float32), np.random.default_rng(seed + first)
+    g = into or Graph(x)
+    level = (-np.log(1 - rng.random(len(x) - first)) / math.log(max(2, m))).astype(int)
+    g.x, g.level = x, np.r_[g.level[:first], level]
+    if not len(x):
+        return g
+    choose = lambda ids, d, most: diverse(x, ids, d, most)
+    for layer in range(int(g.level.max()) + 1):
+        width = 2 * m if layer == 0 else m
+        links = np.full((len(x), width), -1, np.int32)
+        if layer < len(g.links):
+            old = g.links[layer][:first, :width]
+            links[:first, : old.shape[1]] = old
+            g.links[layer] = links
+        else:
+            g.links.append(links)
+        rows = np.flatnonzero(g.level >= layer).astype(np.int32)
+        new = rows[rows >= first]
+        for s in range(0, len(new), BLOCK_ROWS):
+            part = new[s : s + BLOCK_ROWS]
+            found = _nearest(x, part, rows[: np.searchsorted(rows, part[-1], "right")], ef_construction, before=True)
+            step = max(1, PAIR_VALUES // (found.shape[1] ** 2))
+            for t in range(0, len(part), step):
+                links[part[t : t + step]] = diverse(x, *_sorted(x, part[t : t + step], found[t : t + step], found.shape[1]), width)
+            link_back(x, links, part, choose)
+    if g.entry is None or g.level.max() > g.level[g.entry]:
+        g.entry = int(g.level.argmax())
     return g
 
 
 def build_flat(x: np.ndarray, r: int = 32, alpha: float = 1.2, ef: int = 75, seed: int = 0) -> Graph:
-    """Start from random neighbours; two passes (alpha 1, then alpha) of search, prune and back links, entered
-    at the row nearest to the mean."""
-    n, rng = len(x), np.random.default_rng(seed)
+    """Start from random neighbours; two passes (alpha 1, then alpha) that prune them together with the ``ef`` nearest
+    rows, and link back; entered at the row nearest to the mean."""
+    n, rng, x = len(x), np.random.default_rng(seed), x.astype(np.float32)
     g = Graph(x)
     if not n:
         return g
-    g.entry = int(((x - x.mean(0)) ** 2).sum(1).argmin())
-    g.layers = [{i: [int(j) for j in rng.choice(n, min(r + 1, n), replace=False) if j != i][:r] for i in range(n)}]
-    links = g.layers[0]
+    g.entry, g.level = int(((x - x.mean(0)) ** 2).sum(1).argmin()), np.zeros(n, int)
+    links = rng.integers(0, n, (n, r)).astype(np.int32)
+    rows = np.arange(n, dtype=np.int32)
+    links[links == rows[:, None]] = -1
+    g.links = [links]
+    near = np.concatenate([_nearest(x, rows[s : s + BLOCK_ROWS], rows, ef, before=False) for s in range(0, n, BLOCK_ROWS)])
     for a in (1.0, alpha):
-        for p in rng.permutation(n).tolist():
-            met = [c for _, c in g.beam(x[p], [g.entry], ef, 0)]
-            links[p] = robust_prune(x, p, met + links[p], a, r)
-            for q in links[p]:
-                if p not in links[q]:
-                    links[q] = links[q] + [p] if len(links[q]) < r else robust_prune(x, q, links[q] + [p], a, r)
+        choose = lambda ids, d, most, a=a: robust(x, ids, d, most, a)
+        for s in range(0, n, BLOCK_ROWS):
+            part = rows[s : s + BLOCK_ROWS]
+            links[part] = robust(x, *_sorted(x, part, np.concatenate([near[part], links[part]], 1), ef + r), r, a)
+            link_back(x, links, part, choose)
     return g
 
 
 BUILDERS = {"layered": build_layered, "flat": build_flat}
 
 
+def _rows(shard, ids: np.ndarray, g: Graph) -> pd.DataFrame:
+    out = []
+    for layer, links in enumerate(g.links):
+        for i in np.flatnonzero(g.level >= layer):
+            n = links[i]
+            out.append((shard, layer, int(ids[i]), ids[n[n >= 0]].tolist(), bool(i == g.entry)))
+    return pd.DataFrame(out, columns=["shard", "layer", "vec_id", "neighbours", "entry"])
+
+
 def build(vectors: DataFrame, kind: str = "layered", **options) -> DataFrame:
     """Graphs of ``shard, vec_id, embedding``, one task a shard."""
     maker = BUILDERS[kind]
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("vec_id")
-        ids, shard = df["vec_id"].to_numpy(), df["shard"].iloc[0]
-        g = maker(np.stack(df["embedding"].to_list()).astype(np.float64), **options)
-        rows = [(shard, layer, int(ids[i]), ids[np.array(n, int)].tolist(), i == g.entry) for layer, links in enumerate(g.layers) for i, n in links.items()]
-        return pd.DataFrame(rows, columns=["shard", "layer", "vec_id", "neighbours", "entry"])
+        return _rows(df["shard"].iloc[0], df["vec_id"].to_numpy(), maker(np.stack(df["embedding"].to_list()), **options))
 
     return vectors.select("shard", "vec_id", "embedding").groupBy("shard").applyInPandas(run, GRAPH)
 
@@ -206,14 +330,11 @@ def insert(vectors: DataFrame, graph: DataFrame, added: DataFrame, **options) ->
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("vec_id")
-        ids, x, g = b["vec_id"].to_numpy(), np.stack(b["embedding"].to_list()).astype(np.float64), None
+        ids, x, g = b["vec_id"].to_numpy(), np.stack(b["embedding"].to_list()), None
         if len(a):
-            kept, g = load(a.sort_values("vec_id"))
+            kept, g = load(a)
             ids, x = np.r_[kept, ids], np.concatenate([g.x, x])
-            g.x = x
-        g = build_layered(x, into=g, first=len(a), **options)
-        rows = [(b["shard"].iloc[0], layer, int(ids[i]), ids[np.array(n, int)].tolist(), i == g.entry) for layer, links in enumerate(g.layers) for i, n in links.items()]
-        return pd.DataFrame(rows, columns=["shard", "layer", "vec_id", "neighbours", "entry"])
+        return _rows(b["shard"].iloc[0], ids, build_layered(x, into=g, first=len(a), **options))
 
     grown = old.groupBy("shard").cogroup(new.groupBy("shard")).applyInPandas(run, GRAPH)
     return graph.join(touched, "shard", "left_anti").select("shard", "layer", "vec_id", "neighbours", "entry").unionByName(grown)
@@ -229,17 +350,32 @@ def graph_stats(vectors: DataFrame, graph: DataFrame, deleted: DataFrame | None
 
 
 def load(rows: pd.DataFrame) -> tuple[np.ndarray, Graph]:
-    """(ids, graph) of one shard from ``vec_id, embedding, links``, links being (layer, neighbours, entry)."""
+    """(ids in ascending order, graph) of one shard from ``vec_id, embedding, links``, links being (layer, neighbours, entry)."""
+    rows = rows.sort_values("vec_id")
     ids = rows["vec_id"].to_numpy()
-    at = {int(i): n for n, i in enumerate(ids)}
-    g = Graph(np.stack(rows["embedding"].to_list()).astype(np.float64))
-    for row, links in enumerate(rows["links"]):
+    g = Graph(np.stack(rows["embedding"].to_list()).astype(np.float32))
+    layer, row, many, flat = [], [], [], []
+    for i, links in enumerate(rows["links"]):
         for link in links:
-            while len(g.layers) <= link["layer"]:
-                g.layers.append({})
-            g.layers[link["layer"]][row] = [at[j] for j in link["neighbours"] if j in at]
+            layer.append(link["layer"])
+            row.append(i)
+            many.append(len(link["neighbours"]))
+            flat.append(link["neighbours"])
             if link["entry"]:
-                g.entry = row
+                g.entry = i
+    layer, row, many = np.array(layer, int), np.array(row, int), np.array(many, int)
+    names = np.concatenate([np.zeros(0, np.int64), *flat]).astype(np.int64)
+    at = np.minimum(np.searchsorted(ids, names), len(ids) - 1)
+    at = np.where(ids[at] == names, at, -1)
+    place = np.arange(len(names)) - np.repeat(np.cumsum(many) - many, many)
+    of, its_layer = np.repeat(row, many), np.repeat(layer, many)
+    g.level = np.zeros(len(ids), int)
+    np.maximum.at(g.level, row, layer)
+    for z in range(int(layer.max(initial=0)) + 1):
+        mine = its_layer == z
+        links = np.full((len(ids), max(1, int(many[layer == z].max(initial=0)))), -1, np.int32)
+        links[of[mine], place[mine]] = at[mine]
+        g.links.append(links)
     return ids, g
 
 
@@ -254,41 +390,85 @@ class LearnedEntry:
         self.points, self.rows = x @ self.projection, np.asarray(rows)
         return self
 
-    def predict(self, q: np.ndarray) -> int | None:
+    def predict(self, q: np.ndarray) -> np.ndarray:
+        """A row for each query; -1 where none is near enough."""
         if not len(self.rows):
-            return None
-        d = np.sqrt(((self.points - q @ self.projection) ** 2).sum(1))
-        return int(self.rows[d.argmin()]) if d.min() <= self.threshold else None
+            return np.full(len(q), -1)
+        p = q @ self.projection
+        d = np.sqrt(((self.points[None] - p[:, None]) ** 2).sum(2))
+        return np.where(d.min(1) <= self.threshold, self.rows[d.argmin(1)], -1)
 
 
-def search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, k: int, ef: int = 100, allowed: DataFrame | None = None, learned: bool = False) -> DataFrame:
-    """``query_id, vec_id, distance, rank`` for ``query_id, vector`` over all shards' graphs.
+def trained_entries(vectors: DataFrame, per_shard: int = TRAINED) -> DataFrame:
+    """``shard, vec_id`` of about ``per_shard`` rows of each shard, chosen by a hash: what learned entries are fitted on. To
+    be kept beside the graph."""
+    n = vectors.groupBy("shard").agg(F.count("*").alias("n"))
+    h = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 30))
+    return vectors.select("shard", "vec_id").join(n, "shard").where(h * F.col("n") < F.lit(per_shard << 30)).select("shard", "vec_id")
 
-    ``allowed``: ids that may be returned (others, as deleted ones, are still walked through). ``learned``:
-    begin at a predicted entry instead of the top layer.
-    """
-    shards = [r.shard for r in vectors.select("shard").distinct().orderBy("shard").limit(MAX_SHARDS + 1).collect()]
-    if len(shards) > MAX_SHARDS:
+
+def sharded(vectors: DataFrame, n_shards: int) -> DataFrame:
+    """``vec_id, embedding`` with the ``shard`` of the nearest of ``n_shards`` centres, so that a query needs few shards."""
+    book = pq.train_kmeans(vectors, n_shards)
+    return vectors.join(pq.encode(vectors, book).select("vec_id", F.element_at("codes", 1).alias("shard")), "vec_id")
+
+
+def shard_centres(vectors: DataFrame) -> DataFrame:
+    """``shard, centre``: the mean of each shard's vectors, to be kept beside the graph."""
+    mean = vectors.select("shard", F.posexplode("embedding").alias("pos", "x")).groupBy("shard", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return mean.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda z: z["x"]).alias("centre"))
+
+
+def _routed(queries: DataFrame, shards: DataFrame, centres: DataFrame | None, probe: int | None) -> DataFrame:
+    """``query_id, vector, shard`` for every shard, or for the ``probe`` shards with the nearest centres."""
+    if probe is None or centres is None:
+        names = [r.shard for r in shards.orderBy("shard").limit(MAX_SHARDS + 1).collect()]
+    else:
+        rows = centres.orderBy("shard").limit(MAX_SHARDS + 1).collect()
+        names, c = [r.shard for r in rows], np.array([r.centre for r in rows], np.float64)
+    if len(names) > MAX_SHARDS:
         raise ValueError(f"more than {MAX_SHARDS} shards")
-    asked = queries.select("query_id", "vector").withColumn("shard", F.explode(F.array(*[F.lit(s) for s in shards]).cast("array<int>")))
+    asked = queries.select("query_id", "vector")
+    if probe is None or centres is None or probe >= len(names):
+        return asked.withColumn("shard", F.explode(F.array(*[F.lit(s) for s in names]).cast("array<int>")))
+
+    def run(it):
+        for df in it:
+            if len(df):
+                q = np.stack(df["vector"].to_list()).astype(np.float64)
+                near = np.argpartition((c * c).sum(1)[None] - 2 * q @ c.T, probe - 1, axis=1)[:, :probe]
+                yield df.loc[df.index.repeat(probe)].assign(shard=np.array(names, np.int32)[near].ravel())
+
+    return asked.mapInPandas(run, "query_id BIGINT, vector ARRAY<FLOAT>, shard INT")
+
+
+def search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, k: int, ef: int = 100, allowed: DataFrame | None = None, learned: DataFrame | None = None,
+           centres: DataFrame | None = None, probe: int | None = None) -> DataFrame:
+    """``query_id, vec_id, distance, rank`` for ``query_id, vector`` over the shards' graphs.
+
+    ``allowed``: ids that may be returned (others, as deleted ones, are still walked through). ``learned``: the
+    ``trained_entries``; walks then begin at a predicted entry. ``centres`` and ``probe``: only the shards
+    with the nearest centres are asked.
+    """
+    asked = _routed(queries, vectors.select("shard").distinct(), centres, probe)
     links = graph.groupBy("shard", "vec_id").agg(F.collect_list(F.struct("layer", "neighbours", "entry")).alias("links"))  # a row's layers
     index = vectors.select("shard", "vec_id", "embedding").join(links, ["shard", "vec_id"])
-    if allowed is not None:
-        index = index.join(allowed.select("vec_id").distinct().withColumn("ok", F.lit(True)), "vec_id", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
-    else:
-        index = index.withColumn("ok", F.lit(True))
+    for name, some, keys in (("ok", allowed, ["vec_id"]), ("trained", learned, ["shard", "vec_id"])):
+        if some is None:
+            index = index.withColumn(name, F.lit(name == "ok"))
+        else:
+            index = index.join(some.select(*keys).distinct().withColumn(name, F.lit(True)), keys, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
     def run(df: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if len(df) and len(rows):
             rows = rows.sort_values("vec_id")
             ids, g = load(rows)
-            may = rows["ok"].to_numpy(bool)
-            entry = LearnedEntry(g.x.shape[1]).fit(g.x, np.arange(len(ids))) if learned else None
-            for qid, v in zip(df["query_id"], df["vector"]):
-                q = np.asarray(v, np.float64)
-                out += [(qid, int(ids[i]), d) for d, i in g.search(q, k, ef, None if may.all() else may, entry.predict(q) if entry else None)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "distance"])
+            may, trained, q = rows["ok"].to_numpy(bool), np.flatnonzero(rows["trained"].to_numpy(bool)), np.stack(df["vector"].to_list()).astype(np.float64)
+            start = LearnedEntry(g.x.shape[1]).fit(g.x[trained], trained).predict(q) if len(trained) else None
+            who, row, d = g.search(q, k, ef, None if may.all() else may, start)
+            out = df["query_id"].to_numpy()[who], ids[row], d
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "distance"), out)))
 
     found = asked.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(run, "query_id BIGINT, vec_id BIGINT, distance DOUBLE")
     return top_k(found.groupBy("query_id", "vec_id").agg(F.min("distance").alias("distance")), ["query_id"], k)

@@ -21,6 +21,8 @@ from kelpline.session import job_dir
 
 QUERY_BLOCK = 2048
 PAIR_BLOCK = 1 << 22
+#: Vectors that meet all queries together.
+VECTOR_BLOCK = 1 << 17
 
 
 def matrix(lists: pa.Array, dim: int | None = None) -> np.ndarray:
@@ -105,8 +107,8 @@ def _best(qi: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
 def nearest_batched(vectors: DataFrame, queries: DataFrame, k: int, radius: float | None = None, group: str | None = None) -> DataFrame:
     """The k nearest of ``vec_id, embedding`` for each of ``query_id, vector``.
 
-    Every batch of vectors meets the queries block by block; the queries are written to the shared folder
-    once and read by each task, so their number isn't bounded by a broadcast. Each batch sends at most k
+    VECTOR_BLOCK vectors of a task at a time meet the queries block by block; the queries are written to the shared
+    folder once and read by each task, so their number isn't bounded by a broadcast. Each block sends at most k
     rows a query. ``group``: a column of ``vectors``; the k nearest are then found within each group.
     """
     path = job_dir(vectors.sparkSession, "queries")
@@ -116,11 +118,10 @@ def nearest_batched(vectors: DataFrame, queries: DataFrame, k: int, radius: floa
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         fs, base = pafs.FileSystem.from_uri(path)
         files = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(base)) if f.path.endswith(".parquet"))
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, ids = matrix(b.column(1)), b.column(0).to_numpy()
-            g = b.column(2).to_numpy(zero_copy_only=False) if group else np.zeros(len(ids), np.int64)
+        for part in _blocks(batches):
+            x = np.concatenate([matrix(b.column(1)) for b in part])
+            ids = np.concatenate([b.column(0).to_numpy() for b in part])
+            g = np.concatenate([b.column(2).to_numpy(zero_copy_only=False) for b in part]) if group else np.zeros(len(ids), np.int64)
             for f in files:
                 with fs.open_input_file(f) as h:
                     for qb in pq.ParquetFile(h).iter_batches(QUERY_BLOCK):
@@ -131,6 +132,18 @@ def nearest_batched(vectors: DataFrame, queries: DataFrame, k: int, radius: floa
                             for s in range(0, len(q), step):
                                 yield from _block(x[rows], ids[rows], q[s : s + step], qid[s : s + step], k, radius, value)
 
+    def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+        part, n = [], 0
+        for b in batches:
+            if b.num_rows:
+                part.append(b)
+                n += b.num_rows
+            if n >= VECTOR_BLOCK:
+                yield part
+                part, n = [], 0
+        if part:
+            yield part
+
     def _block(x, ids, q, qid, k, radius, value):
         d2 = (q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T
         limit = np.partition(d2, k - 1, axis=1)[:, k - 1] + 1e-9 if len(x) > k else np.full(len(q), np.inf)
@@ -166,6 +179,14 @@ def recall_at_k(found: DataFrame, truth: DataFrame) -> DataFrame:
         (F.count("hit") / F.count("*")).alias("recall"))
 
 
+def recall_by_distance(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """Per query: how many rows were found that are no farther than the farthest true one, over the true ones. Unlike
+    ``recall_at_k``, equal vectors under other ids count."""
+    far = truth.groupBy("query_id").agg(F.max("distance").alias("far"), F.count("*").alias("n"))
+    near = far.join(found.select("query_id", "vec_id", "distance").distinct(), "query_id", "left")
+    return near.groupBy("query_id").agg((F.count_if(F.col("distance") <= F.col("far") + 1e-9) / F.max("n")).alias("recall"))
+
+
 def index_stats(nodes: DataFrame, vector: str = "vector", live: Column | None = None) -> DataFrame:
     """One row: stored and live vectors, and bytes at 4 a dimension plus 16 a vector."""
     live = F.lit(True) if live is None else live

@@ -18,10 +18,27 @@ from pyspark.sql import functions as F
 from kelpline.operators.knn import matrix, nearest
 
 MAX_CODES = 65_536
+#: Rows that a codebook's first centroids are drawn from.
+SEED_ROWS = 16_384
 #: Fixed value: centroids of each subspace in a trained codebook.
 CENTROIDS = 256
 
 
+def nearest_centroid(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest row of c for each row of x, by one matrix product; where its rounding leaves several, they are compared one
+    by one, and ties go to the first."""
+    if not len(x):
+        return np.zeros(0, int)
+    d = (c * c).sum(1) - 2 * x @ c.T
+    best = d.argmin(1)
+    scale = (x * x).sum(1) + (c * c).sum(1).max()
+    close = d <= (d[np.arange(len(x)), best] + 1e-12 * scale)[:, None]
+    for i in np.flatnonzero(close.sum(1) > 1):
+        some = np.flatnonzero(close[i])
+        best[i] = some[((x[i] - c[some]) ** 2).sum(1).argmin()]
+    return best
+
+
 @dataclass
 class Codebook:
     """Per subspace: the codes in ascending order and their centroids."""
@@ -43,7 +60,7 @@ class Codebook:
         return ((part[:, None, :] - self.centroids[s][None]) ** 2).sum(2)
 
     def encode(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([self.codes[s][self.sub_distances(x, s).argmin(1)] for s in range(self.m)], 1)
+        return np.stack([self.codes[s][nearest_centroid(x[:, s * self.width : (s + 1) * self.width], self.centroids[s])] for s in range(self.m)], 1)
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return np.concatenate([self.centroids[s][np.searchsorted(self.codes[s], codes[:, s])] for s in range(self.m)], 1)
@@ -96,14 +113,20 @@ def distance_table(query: list[float], book: Codebook) -> list[np.ndarray]:
 
 
 def adc(coded: DataFrame, query: list[float], book: Codebook) -> DataFrame:
-    """``vec_id, adc``: the sum over the subspaces of the table entry of the row's code. The table has m * 256
-    entries, and becomes a literal map per subspace: the lookup stays in SQL."""
-    tables = [dict(zip(map(int, codes), map(float, d))) for codes, d in zip(book.codes, distance_table(query, book))]
-    total = F.lit(0.0)
-    for s, t in enumerate(tables):
-        dense = F.array(*[F.lit(t.get(c)) for c in range(max(t) + 1)])
-        total = total + F.element_at(dense, F.element_at("codes", s + 1) + 1)
-    return coded.select("vec_id", total.alias("adc"))
+    """``vec_id, adc``: the sum over the subspaces of the table entry of the row's code, looked up in Arrow batches."""
+    tables = []
+    for codes, d in zip(book.codes, distance_table(query, book)):
+        dense = np.full(int(codes.max()) + 1, np.nan)
+        dense[codes] = d
+        tables.append(dense)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                codes = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                yield pa.RecordBatch.from_pydict({"vec_id": b.column(0), "adc": pa.array(sum(t[codes[:, s]] for s, t in enumerate(tables)))})
+
+    return coded.select("vec_id", "codes").mapInArrow(run, "vec_id BIGINT, adc DOUBLE")
 
 
 def two_stage(vectors: DataFrame, coded: DataFrame, query: list[float], book: Codebook, k: int, rerank_factor: int = 10) -> DataFrame:
@@ -127,11 +150,13 @@ def _sums(vectors: DataFrame, centroids: list[np.ndarray]) -> dict[tuple[int, in
             x = matrix(b.column(0))
             for s, c in enumerate(centroids):
                 part = x[:, s * width : (s + 1) * width]
-                near = ((part[:, None] - c[None]) ** 2).sum(2).argmin(1) if len(x) else np.zeros(0, int)
-                for j in np.unique(near):
+                near = nearest_centroid(part, c)
+                n, sums = np.bincount(near, minlength=len(c)), np.zeros(c.shape)
+                np.add.at(sums, near, part)
+                for j in np.flatnonzero(n):
                     t = total.setdefault((s, int(j)), [0, np.zeros(width)])
-                    t[0] += int((near == j).sum())
-                    t[1] = t[1] + part[near == j].sum(0)
+                    t[0] += int(n[j])
+                    t[1] = t[1] + sums[j]
         keys = list(total)
         yield pa.RecordBatch.from_pydict({"s": pa.array([k[0] for k in keys], pa.int32()), "c": pa.array([k[1] for k in keys], pa.int32()), "n": pa.array([total[k][0] for k in keys], pa.int64()), "v": pa.array([total[k][1].tolist() for k in keys], pa.list_(pa.float64()))})
 
@@ -146,20 +171,38 @@ def kmeans_step(vectors: DataFrame, centroids: np.ndarray) -> list[tuple[int, in
     return [(c, n, (v / n).tolist()) for (_, c), (n, v) in sorted(_sums(vectors, [centroids]).items())]
 
 
+def seeded(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k rows of x, each drawn with the squared distance to the nearest one drawn before as its weight (k-means++)."""
+    out = [x[rng.integers(len(x))]]
+    d = ((x - out[0]) ** 2).sum(1)
+    while len(out) < k:
+        total = d.sum()
+        out.append(x[rng.choice(len(x), p=d / total)] if total > 0 else x[rng.integers(len(x))])
+        d = np.minimum(d, ((x - out[-1]) ** 2).sum(1))
+    return np.array(out)
+
+
 def train_kmeans(vectors: DataFrame, k: int, max_steps: int = 15, tolerance: float = 1e-4, parts: int = 1, seed: int = 0) -> Codebook:
-    """Lloyd's algorithm over all rows, for each of ``parts`` equal parts of the vectors. Begins at k rows
-    chosen by a hash of vec_id (k is bounded by MAX_CODES); ends when the centroids move less than the
-    tolerance in sum. A centroid without members stays where it is."""
-    first = np.array([r.embedding for r in vectors.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(min(k, MAX_CODES)).collect()], np.float64)
-    if first.size == 0 or first.shape[1] % parts:
+    """Lloyd's algorithm over all rows, for each of ``parts`` equal parts of the vectors. Begins by k-means++ on about
+    SEED_ROWS rows chosen by a hash of vec_id (or 8 a centroid); ends when the centroids move less than the
+    tolerance in sum. A centroid without members moves to a random one of those rows."""
+    if k * parts > MAX_CODES:
+        raise ValueError(f"more than {MAX_CODES} codes")
+    n, size = vectors.count(), max(SEED_ROWS, 8 * k)
+    h = F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 30))
+    some = vectors if n <= size else vectors.where(h < int((1 << 30) * min(1.0, 1.3 * size / n)))
+    sample = np.array([r.embedding for r in some.orderBy(h, "vec_id").limit(size).select("embedding").collect()], np.float64)
+    if sample.size == 0 or sample.shape[1] % parts:
         raise ValueError("no vectors, or a dimension that the parts don't divide")
-    width = first.shape[1] // parts
-    cents = [first[:, s * width : (s + 1) * width].copy() for s in range(parts)]
+    width, rng = sample.shape[1] // parts, np.random.default_rng(seed)
+    cents = [seeded(sample[:, s * width : (s + 1) * width], min(k, len(sample)), rng) for s in range(parts)]
     for _ in range(max_steps):
-        moved = 0.0
-        for (s, c), (n, v) in _sums(vectors, cents).items():
-            moved += float(np.linalg.norm(v / n - cents[s][c]))
-            cents[s][c] = v / n
+        moved, sums = 0.0, _sums(vectors, cents)
+        for s, c in enumerate(cents):
+            for j in range(len(c)):
+                m, v = sums.get((s, j), (1, sample[rng.integers(len(sample)), s * width : (s + 1) * width]))
+                moved += float(np.linalg.norm(v / m - c[j]))
+                c[j] = v / m
         if moved < tolerance:
             break
     return Codebook([np.arange(len(c)) for c in cents], cents)

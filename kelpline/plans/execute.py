@@ -28,9 +28,10 @@ def _late_radius(found: DataFrame, q: Query) -> DataFrame:
     return found if q.radius is None else found.where(F.col("distance") <= q.radius)
 
 
-def run(strategy: str, vectors: DataFrame, q: Query, stats: planner.Stats, links: DataFrame | None = None, disk: DiskIndex | None = None) -> DataFrame:
+def run(strategy: str, vectors: DataFrame, q: Query, stats: planner.Stats, links: DataFrame | None = None, disk: DiskIndex | None = None, learned: DataFrame | None = None) -> DataFrame:
     """``vec_id, distance`` by one strategy. Graph strategies walk ``links`` (over ``vectors`` with a shard);
-    without it they are answered exactly, under the same order of filter, limit and radius."""
+    without it they are answered exactly, under the same order of filter, limit and radius. ``learned`` are the
+    trained entries; a filtered search doesn't use them."""
     if strategy == planner.BRUTE:
         return knn.nearest(vectors, q.vector, q.k, q.radius, q.ids)
     if strategy == planner.DISK:
@@ -45,7 +46,7 @@ def run(strategy: str, vectors: DataFrame, q: Query, stats: planner.Stats, links
         return _late_radius(found, q).orderBy("distance", "vec_id").limit(q.k)
     if links is None:
         return _late_radius(knn.nearest(vectors, q.vector, q.k, ids=q.ids), q)
-    found = graph.search(vectors, links, _one(q, vectors), q.k, allowed=q.ids, learned=strategy == planner.LEARNED)
+    found = graph.search(vectors, links, _one(q, vectors), q.k, allowed=q.ids, learned=learned if strategy == planner.LEARNED and q.ids is None else None)
     return _late_radius(found.select("vec_id", "distance"), q)
 
 

@@ -188,27 +188,65 @@ def pq_rmse(spark, sf_dir):
 
 
 def pq_train_rmse(spark, sf_dir):
-    """Reconstruction error with a codebook trained here; rows only, as the start is a hash order."""
+    """Reconstruction with a codebook trained here: its mean error against that of the mean vector alone."""
     v = _vectors(spark, sf_dir)
-    return pq.reconstruction_error(v, pq.train(v, 8)).agg(F.count("*").alias("n"), F.avg("rmse").alias("mean_rmse"))
+    mean = [r["mean"] for r in pq.centroid(v).orderBy("pos").collect()]
+    plain = knn.with_distance(v, mean).agg(F.avg(F.col("distance") / len(mean) ** 0.5)).first()[0]
+    return pq.reconstruction_error(v, pq.train(v, 8)).agg(F.count("*").alias("n"), (F.avg("rmse") < 0.9 * plain).alias("nearer"))
+
+
+FLOOR = 0.9
+
+
+def _recalled(per_query: DataFrame) -> DataFrame:
+    return per_query.agg(F.count("*").alias("n_queries"), (F.avg("recall") >= FLOOR).alias("recalled"))
+
+
+def _sharded(spark, sf_dir) -> DataFrame:
+    return _vectors(spark, sf_dir).withColumn("shard", (F.col("vec_id") % 4).cast("int"))
+
+
+def _stored(spark, sf_dir) -> DataFrame:
+    """The valid vectors of the disk graph, each id once."""
+    ok = (F.size("embedding") == 64) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return table(spark, sf_dir, "vamana_vector").where(ok & F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
 def _graph_recall(kind: str, learned: bool = False, **options):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        v = _vectors(spark, sf_dir).withColumn("shard", (F.col("vec_id") % 4).cast("int"))
+        v = _sharded(spark, sf_dir)
         g = materialize(graph.build(v, kind, **options), "graph")
+        entries = materialize(graph.trained_entries(v), "entries") if learned else None
         q = _queries(v)
-        return knn.recall_at_k(graph.search(v, g, q, K, learned=learned), knn.nearest_batched(v, q, K)).agg(F.count("*").alias("n_queries"), F.avg("recall").alias("recall"))
+        return _recalled(knn.recall_at_k(graph.search(v, g, q, K, learned=entries), knn.nearest_batched(v, q, K)))
 
     return run
 
 
+def graph_recall_large(spark, sf_dir):
+    """Layered graphs over the disk graph's vectors, some 20,000 to a shard."""
+    v = materialize(_stored(spark, sf_dir), "vectors")
+    shards = max(1, v.count() // 20_000)
+    v = v.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    g, q = materialize(graph.build(v, "layered"), "graph"), _queries(v)
+    return _recalled(knn.recall_by_distance(graph.search(v, g, q, K), knn.nearest_batched(v, q, K)))
+
+
+def graph_recall_probed(spark, sf_dir):
+    """Flat graphs over shards made by k-means; a query asks half of the shards, those with the nearest centres."""
+    v = _stored(spark, sf_dir)
+    v = materialize(graph.sharded(v, 4), "vectors")
+    g, q = materialize(graph.build(v, "flat"), "graph"), _queries(v)
+    centres = materialize(graph.shard_centres(v), "centres")
+    return _recalled(knn.recall_by_distance(graph.search(v, g, q, K, centres=centres, probe=2), knn.nearest_batched(v, q, K)))
+
+
 def graph_filtered(spark, sf_dir):
     """Filtered graph search: rows of other labels are walked through, but not returned."""
-    v = _vectors(spark, sf_dir).withColumn("shard", (F.col("vec_id") % 4).cast("int"))
+    v = _sharded(spark, sf_dir)
     g = materialize(graph.build(v, "layered"), "graph")
     ok = v.where(F.col("label") < 5)
-    return knn.recall_at_k(graph.search(v, g, _queries(v), K, allowed=ok), knn.nearest_batched(ok, _queries(v), K)).agg(F.count("*").alias("n_queries"), F.avg("recall").alias("recall"))
+    return _recalled(knn.recall_at_k(graph.search(v, g, _queries(v), K, allowed=ok), knn.nearest_batched(ok, _queries(v), K)))
 
 
 def planned_search(spark, sf_dir):
@@ -225,25 +263,27 @@ def planned_search(spark, sf_dir):
 
 def planned_search_indexed(spark, sf_dir):
     """The same by way of a graph and a disk index, both built here: graph strategies walk, the disk strategy
-    searches codes. Approximate; ``chosen`` is the planner's choice given the disk index."""
-    v = _vectors(spark, sf_dir).withColumn("shard", (F.col("vec_id") % 4).cast("int"))
+    searches codes. Approximate, so for each strategy: the planner's choice given the disk index, and whether at least
+    0.8 of the exact rows were found."""
+    v = _sharded(spark, sf_dir)
     q = execute.Query(_query(v), K, 1.25, v.where(F.col("label") == LABEL).select("vec_id"))
     links, disk = materialize(graph.build(v, "layered"), "graph"), DiskIndex.build(v, job_dir(spark, "index"))
-    stats, out = planner.refreshed(v, 64, has_disk_index=True), None
+    stats, rows = planner.refreshed(v, 64, has_disk_index=True), []
     chosen = planner.plan(stats, q.ids.count())
     for s in (planner.BRUTE, planner.PRE, planner.POST, planner.DISK):
-        one = _out(execute.run(s, v, q, stats, links, disk)).select(F.lit(s).alias("strategy"), F.lit(s == chosen).alias("chosen"), "vec_id", "distance")
-        out = one if out is None else out.unionByName(one)
-    return out
+        exact = {r.vec_id for r in execute.run(s, v, q, stats).collect()}  # at most K rows each
+        found = {r.vec_id for r in execute.run(s, v, q, stats, links, disk).collect()}
+        rows.append((s, s == chosen, len(exact & found) >= 0.8 * len(exact)))
+    return spark.createDataFrame(rows, "strategy STRING, chosen BOOLEAN, recalled BOOLEAN")
 
 
 def graph_inserted(spark, sf_dir):
-    """Recall after half of the vectors were inserted into graphs of the other half; and the graph's size."""
-    v = _vectors(spark, sf_dir).withColumn("shard", (F.col("vec_id") % 4).cast("int"))
+    """Recall after half of the vectors were inserted into graphs of the other half; and the vectors that are linked."""
+    v = _sharded(spark, sf_dir)
     half = v.where("vec_id % 8 < 4")
     g = materialize(graph.insert(half, materialize(graph.build(half, "layered"), "graph"), v), "graph")
-    recall = knn.recall_at_k(graph.search(v, g, _queries(v), K), knn.nearest_batched(v, _queries(v), K)).agg(F.avg("recall")).first()[0]
-    return graph.graph_stats(v, g).withColumn("recall", F.lit(recall))
+    found = _recalled(knn.recall_at_k(graph.search(v, g, _queries(v), K), knn.nearest_batched(v, _queries(v), K)))
+    return found.withColumn("n_linked", F.lit(g.where("layer = 0").count()))
 
 
 def robust_prune(spark, sf_dir):
@@ -257,6 +297,7 @@ QUERIES = {
                                knn_postfilter_overfetch, knn_limit_then_filter, knn_deleted, knn_scatter_gather, recall_at_k, index_stats, planner_grid,
                                cost_grid, selectivity, centroid, medoid, kmeans_step, pq_encode, pq_decode, pq_distance_table, pq_adc, pq_two_stage, pq_rmse,
                                pq_train_rmse, graph_filtered, graph_inserted, planned_search, planned_search_indexed, robust_prune)},
+    **{f.__name__: f for f in (graph_recall_large, graph_recall_probed)},
     "graph_recall_hnsw": _graph_recall("layered"),
     "graph_recall_vamana": _graph_recall("flat"),
     "graph_recall_learned": _graph_recall("layered", learned=True),
@@ -323,5 +364,17 @@ SELECT strategy, strategy = c AS chosen, vec_id, round(dist, 6) AS distance FROM
     "pq_distance_table": f"WITH {_BOOK}, q AS (SELECT embedding::DOUBLE[] AS qe FROM embeddings WHERE vec_id = 0) SELECT s, c, round(list_distance(qe[s*8+1:s*8+8], e), 6) AS d FROM q, book",
     "pq_adc": f"WITH {_ADC} SELECT vec_id, round(adc, 6) AS adc FROM adc",
     "pq_two_stage": f"WITH {_ADC} SELECT vec_id, round(dist, 6) AS distance FROM (SELECT v.vec_id, list_distance(e, qe) AS dist FROM v, q WHERE v.vec_id IN (SELECT vec_id FROM adc ORDER BY adc, vec_id LIMIT {10 * K})) ORDER BY dist, vec_id LIMIT {K}",
+    **{name: "SELECT count(*) AS n_queries, true AS recalled FROM embeddings WHERE vec_id % 20 = 0" for name in ("graph_recall_hnsw", "graph_recall_vamana", "graph_recall_learned", "graph_filtered")},
+    **{name: "SELECT count(DISTINCT vec_id) AS n_queries, true AS recalled FROM vamana_vector WHERE vec_id % 20 = 0 AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64" for name in ("graph_recall_large", "graph_recall_probed")},
+    "graph_inserted": "SELECT count(*) FILTER (WHERE vec_id % 20 = 0) AS n_queries, true AS recalled, count(*) AS n_linked FROM embeddings",
+    "pq_train_rmse": "SELECT count(*) AS n, true AS nearer FROM embeddings",
+    "planned_search_indexed": f"""WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE label = {LABEL}) AS m FROM embeddings),
+c AS (SELECT CASE WHEN n <= 500 THEN 'BruteForceScan' WHEN n * (4 * 64 + 16) > 10485760 THEN 'OutofCoreVamana' WHEN m / n < 0.25 THEN 'PrefilterGraph' ELSE 'PostfilterGraph' END AS c FROM n)
+SELECT s AS strategy, s = c AS chosen, true AS recalled FROM c, (SELECT unnest(['BruteForceScan', 'PrefilterGraph', 'PostfilterGraph', 'OutofCoreVamana']) AS s)""",
+    "robust_prune": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+near AS (SELECT a.vec_id, b.vec_id AS c, b.e, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY d, b.vec_id) <= 32),
+met AS (SELECT vec_id, list([{'c': c, 'e': e, 'd': d}] ORDER BY d, c) AS met FROM near GROUP BY vec_id),
+kept AS (SELECT vec_id, list_reduce(met, lambda k, x: CASE WHEN len(k) < 16 AND len(list_filter(k, lambda y: 1.2::DOUBLE * list_distance(y.e, x[1].e) <= x[1].d)) = 0 THEN list_concat(k, x) ELSE k END) AS k FROM met)
+SELECT vec_id, list_transform(k, lambda y: y.c) AS kept FROM kept""",
     "pq_rmse": f"WITH {_DECODED} SELECT vec_id, round(sqrt(sum((x - e[s * 8 + i]) ** 2) / 64), 6) AS rmse FROM dec JOIN v USING (vec_id) GROUP BY vec_id",
 }

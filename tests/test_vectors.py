@@ -94,10 +94,49 @@ def test_graph_recall(spark, cloud, kind):
     got = graph.search(v, g, q, 10, allowed=even)
     assert got.where("vec_id % 2 = 1").count() == 0
     assert knn.recall_at_k(got, knn.nearest_batched(even, q, 10)).agg(F.avg("recall")).first()[0] >= 0.85
-    learned = graph.search(v, g, q, 10, learned=True)
+    learned = graph.search(v, g, q, 10, learned=graph.trained_entries(v))
     assert knn.recall_at_k(learned, knn.nearest_batched(v, q, 10)).agg(F.avg("recall")).first()[0] >= r - 0.05
 
 
+def test_vectorised_choices_are_the_rules():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(60, 5)).astype(np.float32)
+    base = np.arange(20, dtype=np.int32)
+    ids, d = graph._sorted(x, base, np.stack([r.permutation(60)[:30] for _ in base]).astype(np.int32), 25)
+    kept = graph.robust(x, ids, d, 6, 1.2)
+    wide = graph.diverse(x, ids, d, 6)
+    for p in base:
+        some = [int(i) for i in ids[p] if i >= 0]
+        assert p not in some and [i for i in kept[p] if i >= 0] == graph.robust_prune(x.astype(np.float64), p, some, 1.2, 6)
+        want = []
+        for i in some:
+            if len(want) < 6 and all(((x[i] - x[j]) ** 2).sum() > ((x[i] - x[p]) ** 2).sum() for j in want):
+                want.append(i)
+        assert wide[p].tolist()[: len(want)] == want and (wide[p] >= 0).all() and len(set(wide[p])) == 6
+
+
+def test_graphs_of_few_and_equal_rows():
+    for x in (np.zeros((0, 3)), np.zeros((1, 3)), np.ones((700, 3))):
+        for make in graph.BUILDERS.values():
+            g = make(x.astype(np.float32))
+            who, row, d = g.search(np.ones((2, 3)), 4)
+            # pruning keeps one of several equal rows, so a flat graph of them falls apart
+            assert len(row) == 2 * min(4, len(x)) if len(x) < 2 or make is graph.build_layered else len(row) >= 2
+            assert len(x) != 1 or d.max() > 1
+            assert all(((z >= -1) & (z < len(x))).all() for z in g.links)
+
+
+def test_probed_shards(spark, cloud):
+    v = graph.sharded(frame(spark, cloud).drop("shard"), 4).cache()
+    assert v.count() == 300 and v.select("shard").distinct().count() == 4
+    q = v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    g, c = graph.build(v, "flat").cache(), graph.shard_centres(v).cache()
+    one = graph.search(v, g, q, 5, centres=c, probe=1)
+    assert one.join(v.select("vec_id", "shard"), "vec_id").groupBy("query_id").agg(F.countDistinct("shard").alias("n")).where("n > 1").count() == 0
+    assert one.where("query_id = vec_id AND rank = 1").count() == 30
+    assert knn.recall_by_distance(graph.search(v, g, q, 5, centres=c, probe=4), knn.nearest_batched(v, q, 5)).agg(F.avg("recall")).first()[0] >= 0.9
+
+
 def test_insert_links_new_rows(spark, cloud):
     v = frame(spark, cloud)
     old, q = v.where("vec_id < 200"), v.where("vec_id >= 290").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
@@ -113,7 +152,7 @@ def test_insert_links_new_rows(spark, cloud):
 
 def test_learned_entry_on_identical_points():
     e = graph.LearnedEntry(4).fit(np.ones((20, 4)), np.arange(20))
-    assert e.predict(np.ones(4)) == 0 and e.predict(np.full(4, 1e6)) is None and graph.LearnedEntry(4).predict(np.ones(4)) is None
+    assert e.predict(np.stack([np.ones(4), np.full(4, 1e6)])).tolist() == [0, -1] and graph.LearnedEntry(4).predict(np.ones((1, 4))).tolist() == [-1]
 
 
 def test_pq_round_trip(spark):
@@ -167,12 +206,10 @@ def test_planned_search_walks_graph_and_disk_index(spark, sf, monkeypatch):
     walked = []
     for owner, name in ((graph, "search"), (DiskIndex, "search")):
         monkeypatch.setattr(owner, name, lambda *a, f=getattr(owner, name), o=owner, **k: walked.append(o) or f(*a, **k))
-    exact = {(r.strategy, r.vec_id) for r in QUERIES["planned_search"](spark, sf).collect()}
+    QUERIES["planned_search"](spark, sf).collect()
     assert not walked
-    found = {(r.strategy, r.vec_id) for r in QUERIES["planned_search_indexed"](spark, sf).collect()}
+    assert all(r.recalled for r in QUERIES["planned_search_indexed"](spark, sf).collect())
     assert walked.count(graph) == 2 and walked.count(DiskIndex) == 1
-    assert {x for x in found if x[0] == planner.BRUTE} == {x for x in exact if x[0] == planner.BRUTE}
-    assert len(found & exact) >= 0.8 * len(exact)
 
 
 def test_registered_training_takes_all_steps(spark, sf, monkeypatch):
