@@ -46,6 +46,6 @@ def may_contain(key: Column, bits: Column, k: Column) -> Column:
 
 def probe(keys: DataFrame, files: DataFrame) -> DataFrame:
     """For keys routed to a file (``file_id, user_key``): the filter's answer. ``files`` may list a file
-    more than once; the longest filter is taken."""
-    one = files.groupBy("file_id").agg(F.max_by(F.struct("bits", "k"), F.struct(F.octet_length("bits"), "k")).alias("f"))
+    more than once; the longest filter is taken (of several the greatest k, then bytes)."""
+    one = files.groupBy("file_id").agg(F.max(F.struct(F.octet_length("bits").alias("n"), "k", "bits")).alias("f"))
     return keys.join(one, "file_id", "left").withColumn("may_contain", may_contain(F.col("user_key"), F.col("f.bits"), F.col("f.k"))).drop("f")

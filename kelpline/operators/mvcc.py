@@ -19,12 +19,14 @@ from kelpline.functions.keys import in_range
 HISTORY = ["user_key", "physical", "logical", "seq", "is_delete", "value"]
 
 
-def history(feed: DataFrame, seq: str) -> DataFrame:
-    """The versions of a feed ``(seq, user_key, ts, is_delete, value)``; null keys and timestamps are dropped."""
+def history(feed: DataFrame, seq: str, keys: list[str] | None = None) -> DataFrame:
+    """The versions of a feed ``(seq, user_key, ts, is_delete, value)``; null keys and timestamps are dropped. ``keys``: what
+    makes a key, by default user_key alone."""
+    keys = keys or ["user_key"]
     rows = feed.where("user_key IS NOT NULL AND ts.physical IS NOT NULL AND ts.logical IS NOT NULL")
-    one = rows.groupBy("user_key", F.col("ts.physical").alias("physical"), F.col("ts.logical").alias("logical")).agg(
+    one = rows.groupBy(*keys, F.col("ts.physical").alias("physical"), F.col("ts.logical").alias("logical")).agg(
         F.min(F.struct(F.col(seq).alias("seq"), F.coalesce("is_delete", F.lit(False)).alias("is_delete"), "value")).alias("v"))
-    return one.select("user_key", "physical", "logical", "v.*")
+    return one.select(*keys, "physical", "logical", "v.*")
 
 
 def copies(feed: DataFrame, seq: str) -> DataFrame:
@@ -72,20 +74,26 @@ def merge_runs(runs: list[DataFrame]) -> DataFrame:
     return newest(rows)
 
 
-def compact(versions: DataFrame, watermark: tuple[int, int], is_last: bool = False) -> DataFrame:
+def compact(versions: DataFrame, watermark: tuple[int, int], is_last: bool = False, keys: list[str] | None = None) -> DataFrame:
     """The versions that compaction keeps: all at or after the watermark; of the older ones the newest of
     each key, unless one lies exactly at the watermark; on the last level that one goes if it is a delete."""
     p, lo = watermark
     below = (F.col("physical") < p) | ((F.col("physical") == p) & (F.col("logical") < lo))
-    # a key's newest older version and whether it has one at the watermark: both by combining aggregates
-    per_key = versions.groupBy("user_key").agg(
-        F.max(F.when(below, F.struct("physical", "logical"))).alias("last_below"),
+    # a key's newest older version and whether it has one at the watermark: both by combining aggregates, a row a key
+    keys = keys or ["user_key"]
+    per_key = versions.groupBy(*keys).agg(
+        F.max(F.when(below, F.struct("physical", "logical"))).alias("last"),
         F.coalesce(F.bool_or((F.col("physical") == p) & (F.col("logical") == lo)), F.lit(False)).alias("at_mark"),
-    ).where("last_below IS NOT NULL AND NOT at_mark").select("user_key", "last_below.physical", "last_below.logical")
-    old = versions.where(below).join(per_key, ["user_key", "physical", "logical"], "left_semi")
+    ).where("last IS NOT NULL AND NOT at_mark").select(F.struct(*keys).alias("its_key"), "last")
+    # one join settles all rows; a hot key's rows may be split, as each meets one row
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"its_key.{k}"))
+    joined = versions.join(per_key, same, "left")
+    newest_old = F.coalesce(F.struct("physical", "logical") == F.col("last"), F.lit(False))
     if is_last:
-        old = old.where(~F.col("is_delete"))
-    return versions.where(~below).unionByName(old)
+        newest_old = newest_old & ~F.col("is_delete")
+    return joined.where(~below | newest_old).drop("its_key", "last")
 
 
 def collect_garbage(versions: DataFrame, older_than: tuple[int, int]) -> DataFrame:

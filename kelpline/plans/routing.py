@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_ROUTES = 100_000
+#: Up to so many ranges a lookup is one SQL expression; with more, a binary search in Python.
+SQL_ROUTES = 64
 
 
 def read_routes(routes: DataFrame) -> list[tuple[bytes, bytes | None, int, list[int]]]:
@@ -32,8 +34,11 @@ def shard_of(key: bytes, routes: list[tuple[bytes, bytes | None, int, list[int]]
 
 
 def route(keys: DataFrame, key: str, routes: DataFrame) -> DataFrame:
-    """Adds ``shard``. Ranges that don't overlap are looked up by binary search on the sorted starts."""
+    """Adds ``shard``. A few ranges are one SQL expression; of more that don't overlap, the sorted starts are searched,
+    once for each distinct key of a batch."""
     table = read_routes(routes)
+    if len(table) <= SQL_ROUTES:
+        return keys.withColumn("shard", route_column(F.col(key), table))
     apart = all(a[1] is not None and a[1] <= b[0] for a, b in zip(table, table[1:]))
     starts = [r[0] for r in table]
 
@@ -49,7 +54,9 @@ def route(keys: DataFrame, key: str, routes: DataFrame) -> DataFrame:
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in it:
-            yield df[names].assign(shard=pd.array([None if k is None else one(bytes(k)) for k in df[key]], dtype="Int32"))
+            code, found = pd.factorize(df[key])
+            shard = pd.array([*(one(bytes(k)) for k in found), None], dtype="Int32")
+            yield df[names].assign(shard=shard[code])
 
     return keys.mapInPandas(run, schema)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.functions import bloom, keys
-from kelpline.operators import hlc, mvcc, txn
+from kelpline.operators import hlc, levels, mvcc, txn
 from kelpline.plans import routing
 from kelpline.sources.tables import table
 
@@ -65,6 +65,14 @@ def mvcc_gc(spark, sf_dir):
     return _kept(mvcc.collect_garbage(_versions(spark, sf_dir), (1420500000000, 0)))
 
 
+def level_compaction(spark, sf_dir):
+    """Level 0 of each shard compacted into level 1: files merged, and the versions that replace them."""
+    files, entries = levels.listed_levels(table(spark, sf_dir, "sst_file")), table(spark, sf_dir, "sst_entry")
+    chosen, kept = levels.compact_level(files, entries, 0, AS_OF)
+    per = chosen.groupBy("shard").agg(F.count_if(F.col("role") == "input").alias("n_inputs"), F.count_if(F.col("role") == "overlapping").alias("n_overlapping"))
+    return per.join(kept.groupBy("shard").agg(F.count("*").alias("n_versions"), F.count_if("is_delete").alias("n_deletes")), "shard", "left")
+
+
 def merge_runs(spark, sf_dir):
     """Four runs, each the records of one class of record_id, merged."""
     v = _versions(spark, sf_dir)
@@ -206,6 +214,21 @@ def rebalance_plan(spark, sf_dir):
     return routing.rebalance(_routes(spark), loads, [1, 2, 3, 4, 5, 9])
 
 
+def rebalance_check(spark, sf_dir):
+    """Each node's load before the plan's moves, and whether these narrow the gap and go from holders to others, step by step."""
+    loads = {r.shard: r.load for r in route_keys(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("load")).collect()}  # a row a shard
+    held = {n: {s for _, _, s, nodes in routing.read_routes(_routes(spark)) if n in nodes} for n in (1, 2, 3, 4, 5, 9)}
+    load = lambda n: sum(loads.get(s, 1) for s in held[n])
+    before, good = {n: load(n) for n in held}, True
+    for m in sorted(rebalance_plan(spark, sf_dir).collect()):
+        gap = load(m.from_node) - load(m.to_node)
+        good &= m.shard in held[m.from_node] - held[m.to_node]
+        held[m.from_node].remove(m.shard)
+        held[m.to_node].add(m.shard)
+        good &= abs(load(m.from_node) - load(m.to_node)) < gap
+    return spark.createDataFrame([(n, int(x), bool(good)) for n, x in before.items()], "node BIGINT, load BIGINT, narrows BOOLEAN")
+
+
 def route_upsert(spark, sf_dir):
     changed = spark.createDataFrame([(b"idx", b"run_1", 2, [2, 3]), (b"vec:9", None, 5, [1, 5])], "start BINARY, end BINARY, shard INT, nodes ARRAY<BIGINT>")
     return routing.upsert_routes(_routes(spark), changed).select(F.hex("start").alias("start"), F.hex("end").alias("end"), "shard", F.size("nodes").alias("n_nodes"))
@@ -228,9 +251,9 @@ def shard_merge(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    mvcc_get_as_of, mvcc_scan_as_of, mvcc_range_scan, mvcc_compact, mvcc_compact_last_level, mvcc_gc, merge_runs, snapshot, wal_prefix, kv_prefix, kv_vectors,
+    mvcc_get_as_of, mvcc_scan_as_of, mvcc_range_scan, mvcc_compact, mvcc_compact_last_level, mvcc_gc, level_compaction, merge_runs, snapshot, wal_prefix, kv_prefix, kv_vectors,
     txn_keys, bloom_probe, hlc_local_events, hlc_receive, hlc_receive_sequence, txn_visible, txn_blocked, txn_conflicts, txn_commit, txn_rollback, txn_stale_locks,
-    route_keys, route_keys_sql, raft_groups, node_loads, rebalance_plan, route_upsert, route_remove, shard_split, shard_merge)}
+    route_keys, route_keys_sql, raft_groups, node_loads, rebalance_plan, rebalance_check, route_upsert, route_remove, shard_split, shard_merge)}
 
 _V = """v AS (SELECT user_key, ts.physical AS physical, ts.logical AS logical, min(record_id) AS seq, arg_min(coalesce(is_delete, false), record_id) AS is_delete, first(value ORDER BY record_id) AS value
 FROM wal_log WHERE user_key IS NOT NULL AND ts.physical IS NOT NULL AND ts.logical IS NOT NULL GROUP BY user_key, ts.physical, ts.logical)"""
@@ -253,6 +276,7 @@ data AS (SELECT o_custkey AS key, o_orderkey AS start_ts, o_totalprice AS value
 locks AS (SELECT o_custkey AS key, o_custkey - o_custkey % 3 AS pri, o_orderkey AS start_ts, 1000::BIGINT AS ttl FROM orders WHERE o_orderstatus = 'O')"""
 _ROUTES = "r AS (SELECT * FROM (VALUES (''::BLOB, 'idx'::BLOB, 1, [1, 2, 3]), ('idx'::BLOB, 'run_2'::BLOB, 2, [2, 3, 4]), ('run_2'::BLOB, 'vec:4'::BLOB, 3, [1, 3, 4]), ('vec:4'::BLOB, 'vec:9'::BLOB, 4, [2, 4, 5])) t(a, b, shard, nodes))"
 _ROUTED = f"{_ROUTES}, routed AS (SELECT record_id, coalesce(r.shard, 1)::INT AS shard FROM wal_log LEFT JOIN r ON user_key >= a AND user_key < b WHERE user_key IS NOT NULL)"
+_CRC = "list_reduce({}, lambda c, b: list_reduce([xor(c, b), 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT], lambda x, z: xor(x >> 1, 3988292384::UBIGINT * (x & 1::UBIGINT))))"
 _RECEIVED = "CASE WHEN p = sp AND p = mp THEN greatest(sl, ml) + 1 WHEN p = sp THEN sl + 1 WHEN p = mp THEN ml + 1 ELSE 0 END"
 
 ORACLE = {
@@ -262,6 +286,16 @@ ORACLE = {
     "mvcc_compact": _compact(*AS_OF, False),
     "mvcc_compact_last_level": _compact(*AS_OF, True),
     "mvcc_gc": _compact(1420500000000, 0, False),
+    "level_compaction": f"""WITH f AS (SELECT file_id, shard, level FROM sst_file WHERE file_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY listing_id) = 1 AND tier = 'level' AND level IN (0, 1)),
+g AS (SELECT f.*, low, high FROM f JOIN (SELECT file_id, min(user_key) AS low, max(user_key) AS high FROM sst_entry WHERE user_key IS NOT NULL GROUP BY file_id) USING (file_id)),
+s AS (SELECT shard, min(low) AS a, max(high) AS b FROM g WHERE level = 0 GROUP BY shard),
+picked AS (SELECT g.* FROM g JOIN s USING (shard) WHERE level = 0 OR (high >= a AND low <= b)),
+v AS (SELECT p.shard, user_key, ts.physical AS physical, ts.logical AS logical, arg_min(coalesce(is_delete, false), entry_id) AS dead FROM sst_entry e JOIN picked p USING (file_id)
+  WHERE user_key IS NOT NULL AND ts.physical IS NOT NULL AND ts.logical IS NOT NULL GROUP BY p.shard, user_key, ts.physical, ts.logical),
+w AS (SELECT *, (physical, logical) >= ({AS_OF[0]}, {AS_OF[1]}) AS above, bool_or(physical = {AS_OF[0]} AND logical = {AS_OF[1]}) OVER (PARTITION BY shard, user_key) AS has_eq,
+  row_number() OVER (PARTITION BY shard, user_key, (physical, logical) >= ({AS_OF[0]}, {AS_OF[1]}) ORDER BY physical DESC, logical DESC) AS rn FROM v),
+k AS (SELECT shard, count(*) AS n_versions, count(*) FILTER (WHERE dead) AS n_deletes FROM w WHERE above OR (rn = 1 AND NOT has_eq) GROUP BY shard)
+SELECT shard, n_inputs, n_overlapping, n_versions, n_deletes FROM (SELECT shard, count(*) FILTER (WHERE level = 0) AS n_inputs, count(*) FILTER (WHERE level = 1) AS n_overlapping FROM picked GROUP BY shard) LEFT JOIN k USING (shard)""",
     "merge_runs": f"WITH {_V} " + _KEPT.format("SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY user_key ORDER BY physical DESC, logical DESC, seq % 4) = 1"),
     "snapshot": f"WITH {_V} " + _OUT.format(_NEWEST.format("true")),
     "wal_prefix": "SELECT record_id, wal_file FROM (SELECT *, min(CASE WHEN user_key IS NULL OR ts IS NULL THEN record_id END) OVER (PARTITION BY wal_file) AS bad FROM wal_log) WHERE bad IS NULL OR record_id < bad",
@@ -293,6 +327,13 @@ SELECT key, pri AS "primary", start_ts, action, CASE WHEN action = 'roll_forward
     "route_keys_sql": f"WITH {_ROUTED} SELECT record_id, shard FROM routed",
     "raft_groups": f"WITH {_ROUTED} SELECT record_id, shard, len(nodes)::INT AS n_nodes, nodes[1]::BIGINT AS leader FROM routed JOIN r USING (shard)",
     "node_loads": f"WITH {_ROUTED}, loads AS (SELECT shard, count(*) AS load FROM routed WHERE shard < 4 GROUP BY shard), p AS (SELECT shard, unnest(nodes)::BIGINT AS node FROM r) SELECT node, coalesce(load, 0)::BIGINT AS load FROM (SELECT unnest([1, 2, 3, 4, 5, 9])::BIGINT AS node) LEFT JOIN (SELECT node, sum(coalesce(load, 1)) AS load FROM p LEFT JOIN loads USING (shard) GROUP BY node) USING (node)",
+    "rebalance_check": f"WITH {_ROUTED}, loads AS (SELECT shard, count(*) AS load FROM routed GROUP BY shard), p AS (SELECT shard, unnest(nodes)::BIGINT AS node FROM r) SELECT node, coalesce(load, 0)::BIGINT AS load, true AS narrows FROM (SELECT unnest([1, 2, 3, 4, 5, 9])::BIGINT AS node) LEFT JOIN (SELECT node, sum(coalesce(load, 1)) AS load FROM p LEFT JOIN loads USING (shard) GROUP BY node) USING (node)",
+    "bloom_probe": f"""WITH f AS (SELECT file_id, bits, k FROM sst_file QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY coalesce(octet_length(bits), -1) DESC, coalesce(k, -1) DESC, bits DESC) = 1),
+e AS (SELECT file_id, {_CRC.format("list_concat([4294967295::UBIGINT], list_transform(range(octet_length(user_key)), lambda i: ('0x' || hex(user_key)[2 * i + 1 : 2 * i + 2])::UBIGINT))")} AS s FROM sst_entry WHERE user_key IS NOT NULL),
+j AS (SELECT e.file_id, s, hex(bits) AS h, octet_length(bits) * 8 AS m, CASE WHEN octet_length(bits) > 0 AND k > 0 THEN k ELSE 0 END AS k FROM e LEFT JOIN f ON e.file_id = f.file_id),
+a AS (SELECT file_id, h, len(list_filter(list_transform(range(coalesce(k, 0)), lambda i: xor({_CRC.format("[s, i::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT]")}, 4294967295::UBIGINT) % m::UBIGINT),
+  lambda p: (('0x' || h[2 * (p // 8) + 1 : 2 * (p // 8) + 2])::UBIGINT >> (p % 8)) & 1 = 0)) > 0 AS denied FROM j)
+SELECT file_id, count(*) AS n, count(*) FILTER (WHERE denied) AS n_denied FROM a GROUP BY file_id""",
     "route_upsert": "SELECT * FROM (VALUES ('', hex('idx'::BLOB), 1, 3), (hex('idx'::BLOB), hex('run_1'::BLOB), 2, 2), (hex('run_2'::BLOB), hex('vec:4'::BLOB), 3, 3), (hex('vec:4'::BLOB), hex('vec:9'::BLOB), 4, 3), (hex('vec:9'::BLOB), NULL, 5, 2)) t(start, \"end\", shard, n_nodes)",
     "route_remove": "SELECT * FROM (VALUES ('', 1), (hex('run_2'::BLOB), 3), (hex('vec:4'::BLOB), 4)) t(start, shard)",
     "shard_split": f"SELECT record_id, CASE WHEN shard = 6 AND user_key >= {_START} THEN 106 ELSE shard END AS shard FROM wal_log WHERE user_key IS NOT NULL",

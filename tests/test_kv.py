@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kelpline.operators import hlc, mvcc, txn
+from kelpline.operators import hlc, levels, mvcc, txn
 from kelpline.operators.change_feed import KeyedTable
 from kelpline.plans import routing
 from kelpline.session import job_dir
@@ -49,6 +49,20 @@ def test_compaction_is_the_sequential_rule(spark, seed, last):
     assert got == want
 
 
+def test_level_compaction(spark):
+    files = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 1, 1), (4, 1, 1), (5, 2, 1), (6, 1, 2), (7, 1, 0)], "file_id BIGINT, shard INT, level INT")
+    rows = [(1, b"b", 10, "x"), (2, b"f", 10, "y"), (3, b"a", 5, "old"), (3, b"c", 5, "old"), (3, b"b", 4, "gone"), (4, b"x", 1, "far"), (5, b"c", 1, "other shard"), (6, b"b", 1, "deep"), (2, b"f", 20, None), (None, b"b", 9, "stray")]
+    e = spark.createDataFrame([(i, f, 99, bytearray(k), (t, 0), v is None, v and bytearray(v.encode())) for i, (f, k, t, v) in enumerate(rows)],
+                              "entry_id BIGINT, file_id BIGINT, shard INT, user_key BINARY, ts STRUCT<physical: BIGINT, logical: BIGINT>, is_delete BOOLEAN, value BINARY")
+    chosen, kept = levels.compact_level(files, e, 0, (15, 0))
+    assert {(r.file_id, r.role) for r in chosen.collect()} == {(1, "input"), (2, "input"), (3, "overlapping")}
+    assert {(bytes(r.user_key), r.physical, r.is_delete) for r in kept.collect()} == {(b"b", 10, False), (b"f", 10, False), (b"f", 20, True), (b"a", 5, False), (b"c", 5, False)}
+    out = sorted(((bytes(r.min_key), bytes(r.max_key), r.n_entries) for r in levels.write_level(kept, job_dir(spark, "level"), 40).collect()))
+    assert len(out) > 1 and sum(n for *_, n in out) == 5 and all(a[1] < b[0] for a, b in zip(out, out[1:]))
+    with pytest.raises(ValueError):
+        levels.compact_level(files, e, levels.LAST_LEVEL, (0, 0))
+
+
 def test_range_and_internal_keys(spark):
     h = history(spark, [(b"__meta", 1, 0, b"x"), (b"a", 1, 0, b"1"), (b"b", 1, 0, b"2"), (b"b", 2, 0, None), (b"\x80", 1, 0, b"3")])
     assert values(mvcc.search_range(h, None, None)) == {b"a": b"1", b"\x80": b"3"}
@@ -107,15 +121,28 @@ def test_transaction_queries(spark):
     assert act(2000) == {"lemon": "roll_forward", "zebra": "roll_back"} and act(1100) == {"lemon": "wait", "zebra": "wait"}
 
 
+def test_clock_windows_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(hlc, "CHUNK", 4)
+    test_clock_sequences(spark, 7)
+
+
+def test_clock_without_messages(spark):
+    df = spark.createDataFrame([(1, 1, 0, None, None), (1, 2, 0, 0, 5), (1, 3, 0, None, None), (2, 1, 0, None, None), (3, 1, 4, 4, 1), (3, 2, None, None, None)], "node INT, i INT, wall BIGINT, mp BIGINT, ml BIGINT")
+    got = {x.node: (x.physical, x.logical) for x in hlc.receive_sequence(df, "node", "i", "wall", "mp", "ml").collect()}
+    assert got == {1: (0, 7), 2: (0, 1), 3: (4, 3)}
+
+
 ROUTES = [(b"a", b"k", 1, [1, 2]), (b"k", b"s", 2, [2]), (b"s", b"z", 3, [3])]
 
 
-def test_routes(spark):
+def test_routes(spark, monkeypatch):
     assert [routing.shard_of(k, ROUTES) for k in (b"apple", b"lemon", b"zebra", b"s")] == [1, 2, 1, 3]
     df = spark.createDataFrame([(bytearray(k),) if k else (None,) for k in (b"apple", b"lemon", b"zebra", None)], "k BINARY")
     routes = spark.createDataFrame(ROUTES, "start BINARY, end BINARY, shard INT, nodes ARRAY<BIGINT>")
     assert [r.shard for r in routing.route(df, "k", routes).collect()] == [1, 2, 1, None]
     assert routing.shard_of(b"x", []) == 0
+    monkeypatch.setattr(routing, "SQL_ROUTES", 0)
+    assert [r.shard for r in routing.route(df, "k", routes).collect()] == [1, 2, 1, None]
 
 
 def test_rebalance():
@@ -151,12 +178,43 @@ def test_store(spark):
     s.flush()
     assert s.get(b"apple") == b"green" and s.get(b"none") is None
     assert [bytes(r.user_key) for r in s.search_range(b"a", b"m").collect()] == [b"apple", b"lemon"]
-    again = Store(spark, s.table.path, dim=2)
+    again = Store(spark, s.table.path, dim=2, clock=clock)
     assert again.get(b"lemon") == b"sour"
+    with pytest.raises(Conflict, match="WriteConflict"):  # begun before the commit, asked after the store was opened again
+        again.prewrite(late, [(b"lemon", b"x")])
     with pytest.raises(ValueError):
         s.put_vector(1, [1.0])
 
 
+def test_store_as_of_and_stale_locks(spark):
+    clock = Clock(wall=iter(range(100, 10_000, 100)).__next__)
+    s = Store(spark, job_dir(spark, "store"), 4, dim=2, clock=clock)
+    first = s.put(b"k", b"one")
+    s.put(b"k\0", b"other")
+    s.flush()
+    second, gone = s.put(b"k", b""), s.delete(b"k")
+    before = (first[0] - 1, 0)
+    assert [s.get(b"k", t) for t in (before, first, second, gone)] == [None, b"one", b"", None]
+    s.flush()
+    assert [s.get(b"k", t) for t in (before, first, second, gone)] == [None, b"one", b"", None] and s.get(b"k") is None
+    assert [bytes(r.user_key) for r in s.search_range().collect()] == [b"k\0"]
+    t = s.begin()
+    s.prewrite(t, [(b"a", b"1"), (b"b", None)])
+    again = Store(spark, s.table.path, dim=2, clock=clock)  # the owner is gone; its locks are not
+    assert again.get_blocked(b"a", clock.local_event()) == t.start_ts and again.get_blocked(b"a", before) is None and again.get_blocked(b"x", before) is None
+    with pytest.raises(Conflict, match="LockConflict"):
+        again.prewrite(again.begin(), [(b"b", b"z")])
+    assert again.resolve(b"a") == "wait"
+    clock.physical += 2000
+    assert again.resolve(b"a") == "roll_back" and again.resolve(b"a") == "none" and again.get(b"a") is None
+    u = again.begin()
+    again.prewrite(u, [(b"p", b"1"), (b"q", b"2")])
+    u.mutations.pop()  # the commit ends after the primary
+    ts = again.commit(u)
+    clock.physical += 2000
+    assert again.resolve(b"q") == "roll_forward" and again.get(b"q") == b"2" and again.get(b"q", ts) == b"2"
+
+
 def test_stream(spark, sf, tmp_path):
     source = spark.read.parquet(f"{sf}/wal_log.parquet")
     source.repartition(6).write.parquet(str(tmp_path / "in"))
