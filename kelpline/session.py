@@ -12,8 +12,11 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kelpline.sources.fs import open_fs
+
 _LOCAL_DIRS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_MADE: list[str] = []
 
 
 def local_session(cpus: int | str = 8, app: str = "kelpline", memory: str = "8g") -> SparkSession:
@@ -53,8 +56,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def job_dir(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new, unused path below the shared folder, for what is needed as long as this process runs."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.register(clean_up)
+    _MADE.append(path)
+    return path
+
+
+def clean_up() -> int:
+    """Delete all paths that ``job_dir`` gave out in this process; done at its exit. A long session calls it when no result
+    that was made so far will be read again."""
+    gone = 0
+    while _MADE:
+        fs, path = open_fs(_MADE.pop())
+        if fs.get_file_info(path).type.name == "Directory":
+            fs.delete_dir(path)
+            gone += 1
+    return gone
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
