@@ -202,3 +202,19 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, vo
             F.coalesce("n_documents", F.lit(0)).alias("n_documents"), (F.coalesce("tokens_used", F.lit(0)) / F.greatest(whole, F.lit(1))).alias("actual_share"))
 
     return got, shares(got)
+
+
+def mixing_faults(drawn: DataFrame, shares: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """Per source, for checking: ``source, target_share, max_repeats``, whether no document is used too often (``kept_repeats``),
+    and whether the share is what it should be (``on_target``): all that repeats allow, where the source is limited, else its
+    part of the rest."""
+    most = {r.source: r.n for r in drawn.groupBy("source").agg(F.max("n_uses").alias("n")).collect()}  # a row a source
+    rows = shares.collect()
+    left = 1 - sum(r.actual_share for r in rows if r.limited)
+    weight = sum(r.target_share for r in rows if not r.limited) or 1.0
+    out = []
+    for r in rows:
+        all_used = r.tokens_used == r.tokens_available * max(0, r.max_repeats)
+        fair = abs(r.actual_share - left * r.target_share / weight) <= tolerance
+        out.append((r.source, r.target_share, r.max_repeats, most.get(r.source, 0) <= max(0, r.max_repeats), bool(all_used if r.limited else fair)))
+    return shares.sparkSession.createDataFrame(out, "source STRING, target_share DOUBLE, max_repeats INT, kept_repeats BOOLEAN, on_target BOOLEAN")

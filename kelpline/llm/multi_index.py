@@ -11,7 +11,9 @@ cut by a hash of the id. A query is sent once to each shard that holds cells of
 that very many queries ask for are copied, each copy for its share of the queries. So no task gets
 more than ``SHARD_ROWS`` vectors (plus one piece) and about ``SHARD_QUERIES`` queries, whatever is hot.
 
-The codebooks are fitted on a bounded sample (``SAMPLE`` rows); every row is indexed.
+The codebooks are fitted on a bounded sample (``SAMPLE`` rows, or 16 a centroid if that is more); every row is
+indexed, and assigned to its cell once. Cells number about rows / CELL_ROWS, at most MAX_CENTROIDS squared: beyond
+half a billion rows cells get larger, and so does what a query meets in the MIN_CELLS it walks.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from kelpline.session import job_dir, materialize
 
 SAMPLE = 16384
 CELL_ROWS = 32
-MAX_CENTROIDS = 1024
+MAX_CENTROIDS = 4096
 SHARD_ROWS = 16384
 PIECE_ROWS = 8192
 SHARD_QUERIES = 32768
@@ -86,55 +88,55 @@ def _cells(x: np.ndarray, centroids: tuple[np.ndarray, np.ndarray]) -> np.ndarra
     return i.astype(np.int64) * len(centroids[1]) + j
 
 
-def build(vectors: DataFrame, dim: int) -> MultiIndex:
-    """Index ``vec_id, v``. The assigned rows are written to the shared folder."""
-    vectors = materialize(vectors, "vectors")
-    n = vectors.count()
-    k = int(np.clip(np.sqrt(n / CELL_ROWS), 1, MAX_CENTROIDS))
-    sample, half = fixed_sample(vectors, "vec_id", n, SAMPLE, dim), dim // 2
-    centroids = (kmeans(sample[:, :half], k), kmeans(sample[:, half:], k, seed=8))
-    if not n:
-        return MultiIndex(dim, centroids, np.zeros((0, 0), int), np.zeros((0, 0), int), np.zeros((0, 0), int), 0)
+def sampled(sources: list[DataFrame], dim: int) -> tuple[int, np.ndarray]:
+    """(rows, fitting sample) of the sources ``(vec_id, vector)``, before ids are made unique: only rows of the sample are read whole."""
+    n = sum(s.count() for s in sources)
+    rows = None
+    for s in sources:
+        rows = s.select("vec_id", "vector") if rows is None else rows.unionByName(s.select("vec_id", "vector"))
+    return n, fixed_sample(rows, "vec_id", n, max(SAMPLE, 16 * centroids_for(n)), dim, "vector")
+
+
+def centroids_for(n: int) -> int:
+    return int(np.clip(np.sqrt(n / CELL_ROWS), 1, MAX_CENTROIDS))
+
+
+def build(vectors: DataFrame, dim: int, sample: tuple[int, np.ndarray]) -> MultiIndex:
+    """Index ``vec_id, v`` with codebooks fitted on ``sample`` (see ``sampled``). The assigned rows are written to the shared folder."""
+    n, rows = sample
+    rows = rows if len(rows) else np.zeros((1, dim), np.float32)  # none of the sample's rows was valid
+    k, half = centroids_for(n), dim // 2
+    centroids = (kmeans(rows[:, :half], k), kmeans(rows[:, half:], k, seed=8))
 
     def assign(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in it:
             if len(df):
                 yield df.assign(cell=_cells(unpack(df["v"], dim).astype(np.float64), centroids).astype(np.int32))
 
-    placed = vectors.mapInPandas(assign, "vec_id BIGINT, v BINARY, cell INT")
+    placed = materialize(vectors.mapInPandas(assign, "vec_id BIGINT, v BINARY, cell INT"), "cells")
     k1, k2 = len(centroids[0]), len(centroids[1])
-    counts = np.zeros(k1 * k2, np.int64)
-    for r in placed.groupBy("cell").count().collect():  # at most MAX_CENTROIDS ** 2 rows
-        counts[r["cell"]] = r["count"]
-    counts = counts.reshape(k1, k2)
-    pieces = np.maximum(1, -(-counts // PIECE_ROWS))
-    order1, order2 = _chain(centroids[0]), _chain(centroids[1])
-    first, shard, filled = np.zeros((k1, k2), np.int64), 0, 0
-    for i in order1:
-        for j in order2:
-            if not counts[i, j]:
-                continue
-            if filled and filled + counts[i, j] > SHARD_ROWS:
-                shard, filled = shard + 1, 0
-            first[i, j] = shard
-            if pieces[i, j] > 1:  # each piece is a shard of its own
-                shard, filled = shard + int(pieces[i, j]), 0
-            else:
-                filled += int(counts[i, j])
-    flat_first, flat_pieces = first.ravel(), pieces.ravel()
-
-    def shards(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in it:
-            if len(df):
-                cell = _cells(unpack(df["v"], dim).astype(np.float64), centroids)
-                piece = df["h"].to_numpy() % flat_pieces[cell]
-                yield pd.DataFrame({"vec_id": df["vec_id"], "v": df["v"], "cell": cell.astype(np.int32), "shard": (flat_first[cell] + piece).astype(np.int32)})
-
-    entries = vectors.withColumn("h", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 30))).mapInPandas(shards, "vec_id BIGINT, v BINARY, cell INT, shard INT")
-    return MultiIndex(dim, centroids, counts, first, pieces, shard + 1, entries)
-
-
-def walk(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, min_entries: int, min_cells: int) -> list[tuple[int, int]]:
+    met = placed.groupBy("cell").count().toPandas()  # at most MAX_CENTROIDS ** 2 rows of two numbers
+    counts = np.zeros(k1 * k2, np.int32)
+    counts[met["cell"].to_numpy()] = met["count"].to_numpy()
+    pieces = np.maximum(1, -(-counts // PIECE_ROWS)).astype(np.int32)
+    order = (_chain(centroids[0])[:, None] * k2 + _chain(centroids[1])[None]).ravel()
+    order = order[counts[order] > 0]
+    small = pieces[order] == 1
+    first, some = np.zeros(k1 * k2, np.int32), counts[order[small]].astype(np.int64)
+    n_small = 0
+    if len(some):  # runs of neighbouring cells, SHARD_ROWS and at most a piece more
+        first[order[small]] = (np.cumsum(some) - some) // SHARD_ROWS
+        n_small = int(first[order[small]].max()) + 1
+    large = order[~small]  # each piece of a large cell is a shard of its own
+    first[large] = n_small + np.cumsum(pieces[large]) - pieces[large]
+    n_shards = n_small + int(pieces[large].sum())
+    spark = vectors.sparkSession
+    cells = spark.createDataFrame(pd.DataFrame({"cell": order.astype(np.int32), "first": first[order], "pieces": pieces[order]}), "cell INT, first INT, pieces INT")
+    entries = placed.join(F.broadcast(cells), "cell").select("vec_id", "v", "cell", (F.col("first") + F.pmod(F.xxhash64("vec_id", F.lit(5)), F.col("pieces"))).cast("int").alias("shard"))
+    return MultiIndex(dim, centroids, counts.reshape(k1, k2), first.reshape(k1, k2), pieces.reshape(k1, k2), n_shards, entries if len(order) else None)
+
+
+def walk(d1: np.ndarray, d2: np.ndarray, counts, min_entries: int, min_cells: int) -> list[tuple[int, int]]:
     """The filled cells nearest to a query, in order of summed distance, until both minima are met.
 
     Both lists are sorted; a heap holds the frontier. A cell enters it once its neighbours on both
@@ -162,10 +164,11 @@ def walk(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, min_entries: int, m
 def probes(index: MultiIndex, queries: DataFrame, min_entries: int, min_cells: int) -> DataFrame:
     """``query_id, k, v, shard, cells``: a row for each shard a query must see."""
     dim, half, centroids = index.dim, index.dim // 2, index.centroids
-    counts, first, pieces = index.counts.tolist(), index.first_shard, index.pieces
+    counts, first, pieces = index.counts, index.first_shard, index.pieces
     k2 = len(centroids[1])
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        filled = counts.tolist() if counts.size <= 1 << 20 else counts  # lists are faster, where they are small
         for df in it:
             if not len(df):
                 continue
@@ -174,7 +177,7 @@ def probes(index: MultiIndex, queries: DataFrame, min_entries: int, min_cells: i
             rows = []
             for q in range(len(df)):
                 by: dict[int, list[int]] = {}
-                for i, j in walk(d1[q], d2[q], counts, max(min_entries, 8 * int(df["k"].iloc[q])), min_cells):
+                for i, j in walk(d1[q], d2[q], filled, max(min_entries, 8 * int(df["k"].iloc[q])), min_cells):
                     for p in range(int(pieces[i, j])):
                         by.setdefault(int(first[i, j]) + p, []).append(i * k2 + j)
                 rows += [(q, s, cells) for s, cells in by.items()]
@@ -184,17 +187,17 @@ def probes(index: MultiIndex, queries: DataFrame, min_entries: int, min_cells: i
     return queries.select("query_id", "k", "v").mapInPandas(run, "query_id BIGINT, k INT, v BINARY, shard INT, cells ARRAY<INT>")
 
 
-def _best(qi: np.ndarray, xi: np.ndarray, d: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Places of the k[q] best pairs of each query; xi ascends with the id, so it breaks ties."""
-    order = np.lexsort((xi, np.round(d / TIE), qi))
+def _best(qi: np.ndarray, ids: np.ndarray, d: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Places of the k[q] best pairs of each query; ties go to the smaller id."""
+    order = np.lexsort((ids, np.round(d / TIE), qi))
     q = qi[order]
     start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
     rank = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
     return order[rank < k[q]]
 
 
-def nearest_pairs(x: np.ndarray, q: np.ndarray, k: np.ndarray, visits: Iterator[tuple[np.ndarray, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query row of ``q`` its k best rows of ``x`` (sorted by id), over ``visits``: (query
+def nearest_pairs(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: np.ndarray, visits: Iterator[tuple[np.ndarray, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query row of ``q`` its k best rows of ``x``, which bear ``ids``, over ``visits``: (query
     rows, from, to). Blocks bound the memory; pairs are cut back to the best as they gather."""
     xx, qq = (x * x).sum(1), (q * q).sum(1)
     kept: list[tuple[np.ndarray, ...]] = []
@@ -202,7 +205,7 @@ def nearest_pairs(x: np.ndarray, q: np.ndarray, k: np.ndarray, visits: Iterator[
 
     def fold() -> tuple[np.ndarray, ...]:
         a, b, d = (np.concatenate(z) for z in zip(*kept)) if kept else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        best = _best(a, b, d, k) if len(a) else np.zeros(0, np.int64)
+        best = _best(a, ids[b], d, k) if len(a) else np.zeros(0, np.int64)
         return a[best], b[best], d[best]
 
     for rows, lo, hi in visits:
@@ -234,10 +237,15 @@ def search(index: MultiIndex, queries: DataFrame, min_entries: int = MIN_ENTRIES
     if index.entries is None:
         return spark.createDataFrame([], "query_id BIGINT, vec_id BIGINT, distance DOUBLE, rank INT")
     asked = materialize(probes(index, queries, min_entries, min_cells), "probes")
-    copies = {r["shard"]: -(-r["count"] // SHARD_QUERIES) for r in asked.groupBy("shard").count().where(F.col("count") > SHARD_QUERIES).collect()}
-    hot = F.lit(1) if not copies else F.coalesce(F.create_map(*[F.lit(z) for kv in copies.items() for z in kv])[F.col("shard")], F.lit(1))
-    entries = index.entries.withColumn("copy", F.explode(F.sequence(F.lit(0), hot - 1))) if copies else index.entries.withColumn("copy", F.lit(0))
-    asked = asked.withColumn("copy", F.pmod(F.hash("query_id"), hot)) if copies else asked.withColumn("copy", F.lit(0))
+    hot = asked.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_QUERIES).alias("copies")).where("copies > 1")
+    if hot.limit(1).count():
+        hot = materialize(hot, "hot")
+        of = lambda side: hot.select(F.col("shard").alias(f"{side}_shard"), F.col("copies").alias(f"{side}_copies"))  # noqa: E731 (columns of their own for each join)
+        many = F.coalesce("entry_copies", F.lit(1))
+        entries = index.entries.join(of("entry"), F.col("shard") == F.col("entry_shard"), "left").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), many - 1))).select("vec_id", "v", "cell", "shard", "copy")
+        asked = asked.join(of("probe"), F.col("shard") == F.col("probe_shard"), "left").withColumn("copy", F.pmod(F.xxhash64("query_id"), F.coalesce("probe_copies", F.lit(1)))).select("query_id", "k", "v", "shard", "cells", "copy")
+    else:
+        entries, asked = index.entries.withColumn("copy", F.lit(0).cast("bigint")), asked.withColumn("copy", F.lit(0).cast("bigint"))
 
     def rerank(e: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(e) or not len(p):
@@ -253,8 +261,7 @@ def search(index: MultiIndex, queries: DataFrame, min_entries: int = MIN_ENTRIES
         want, who = want[order], who[order]
         lo, hi = np.searchsorted(want, cell[starts], "left"), np.searchsorted(want, cell[starts], "right")
         k = p["k"].to_numpy().astype(np.int64)
-        # ids ascend within a cell but not over cells: ties between cells are settled again at the end
-        a, b, d2 = nearest_pairs(x, q, k, ((who[l:h], s, t) for l, h, s, t in zip(lo, hi, starts, ends) if h > l))
+        a, b, d2 = nearest_pairs(x, ids, q, k, ((who[l:h], s, t) for l, h, s, t in zip(lo, hi, starts, ends) if h > l))
         return pd.DataFrame({"query_id": p["query_id"].to_numpy()[a], "k": k[a].astype(np.int32), "vec_id": ids[b], "d2": d2})
 
     return best_of(entries.groupBy("shard", "copy").cogroup(asked.groupBy("shard", "copy")).applyInPandas(rerank, RESULT))
@@ -286,7 +293,7 @@ def brute_force(vectors: DataFrame, queries: DataFrame, dim: int) -> DataFrame:
                     for b in pq.ParquetFile(h).iter_batches(4096):
                         p = b.to_pandas()
                         k = p["k"].to_numpy().astype(np.int64)
-                        a, c, d2 = nearest_pairs(x, unpack(p["v"], dim).astype(np.float64), k, iter([(np.arange(len(p)), 0, len(x))]))
+                        a, c, d2 = nearest_pairs(x, ids, unpack(p["v"], dim).astype(np.float64), k, iter([(np.arange(len(p)), 0, len(x))]))
                         yield pd.DataFrame({"query_id": p["query_id"].to_numpy()[a], "k": k[a].astype(np.int32), "vec_id": ids[c], "d2": d2})
 
     return best_of(vectors.mapInPandas(run, RESULT))

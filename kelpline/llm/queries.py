@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.llm import clusters, multi_index
-from kelpline.llm.mixing import mix
-from kelpline.llm.packing import pack_documents, packing_report
-from kelpline.llm.sentences import split_documents
+from kelpline.llm.mixing import mix, mixing_faults
+from kelpline.llm.packing import pack_documents, packing_faults, packing_report
+from kelpline.llm.sentences import split_documents, unit_faults
 from kelpline.llm.seen_keys import SeenIndex, error_rate, seen_probes
 from kelpline.session import job_dir, materialize
 from kelpline.sources.tables import table
@@ -65,27 +65,23 @@ def p4_check(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.sum(F.when(F.col("bits") == 32, F.col("n_false_yes"))).alias("n_false_yes"), F.bool_and((F.col("low") <= F.col("expected")) | ~F.col("bits").between(8, 16)).alias("as_expected"))
 
 
-def _collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, multi_index.MultiIndex]:
     disk = table(spark, sf_dir, "vamana_vector").select("vec_id", F.col("embedding").alias("vector"))
     nodes = table(spark, sf_dir, "hnsw_node").select("vec_id", "vector", "is_tombstone")
-    return multi_index.collection([disk, nodes], DIM, nodes.where("is_tombstone"))
-
-
-def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = multi_index.valid_queries(table(spark, sf_dir, "vector_query"), DIM)
-    index = multi_index.build(_collection(spark, sf_dir), DIM)
-    return multi_index.within_radius(multi_index.search(index, queries), queries)
+    vectors = multi_index.collection([disk, nodes], DIM, nodes.where("is_tombstone"))
+    return vectors, multi_index.build(vectors, DIM, multi_index.sampled([disk, nodes], DIM))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nearest(spark, sf_dir).select("query_id", "vec_id")
+    queries = multi_index.valid_queries(table(spark, sf_dir, "vector_query"), DIM)
+    return multi_index.within_radius(multi_index.search(_index(spark, sf_dir)[1], queries), queries).select("query_id", "vec_id")
 
 
 def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the queries whose id 20 divides: how much of the exact answer over all rows is found."""
-    vectors = _collection(spark, sf_dir)
+    vectors, index = _index(spark, sf_dir)
     queries = multi_index.valid_queries(table(spark, sf_dir, "vector_query"), DIM).where("query_id % 20 = 0")
-    got = multi_index.search(multi_index.build(vectors, DIM), queries).select("query_id", "vec_id").withColumn("got", F.lit(1))
+    got = multi_index.search(index, queries).select("query_id", "vec_id").withColumn("got", F.lit(1))
     true = multi_index.brute_force(vectors, queries, DIM).select("query_id", "vec_id")
     return true.join(got, ["query_id", "vec_id"], "left").agg(
         F.countDistinct("query_id").alias("n_queries"), F.count("*").alias("n_true"), F.count("got").alias("n_found"),
@@ -93,6 +89,11 @@ def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p5_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall as a fact: at least 0.99 of the exact answer."""
+    return p5_recall(spark, sf_dir).select("n_queries", "n_true", (F.col("recall") >= 0.99).alias("recalled"))
+
+
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_spec"))
 
@@ -113,7 +114,31 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p3_recall": p3_recall, "p4_found": p4_found, "p4_error_rate": p4_error_rate, "p4_check": p4_check, "p5_found": p5_found, "p5_recall": p5_recall, "p6_packed": p6_packed, "p6_report": p6_report, "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p8_found": p8_found}
+def p6_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing_faults(materialize(pack_documents(docs, table(spark, sf_dir, "pack_spec")), "packed"), docs)
+
+
+def p7_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_faults(*mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target")))
+
+
+def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return unit_faults(materialize(split_documents(docs), "units"), docs)
+
+
+QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p3_recall": p3_recall, "p4_found": p4_found, "p4_error_rate": p4_error_rate, "p4_check": p4_check, "p5_found": p5_found, "p5_recall": p5_recall, "p5_check": p5_check, "p6_packed": p6_packed, "p6_report": p6_report, "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p8_found": p8_found, "p6_check": p6_check, "p7_check": p7_check, "p8_check": p8_check}
+_COLLECTION = """valid AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM vamana_vector UNION ALL SELECT vec_id, vector::DOUBLE[] FROM hnsw_node),
+collection AS (
+  SELECT vec_id, first(v) AS v FROM valid
+  WHERE len(v) = 64 AND len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+    AND vec_id NOT IN (SELECT vec_id FROM hnsw_node WHERE is_tombstone AND vec_id IS NOT NULL)
+  GROUP BY vec_id),
+q AS (
+  SELECT query_id, vector::DOUBLE[] AS v, k, radius::DOUBLE AS radius FROM vector_query
+  WHERE k > 0 AND len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NOT NULL AND isfinite(x))) = 64)"""
 _VALID = """v AS (
   SELECT vec_id, first(embedding::DOUBLE[]) AS e FROM vamana_vector
   WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
@@ -128,25 +153,21 @@ SELECT probe_id FROM key_probe WHERE user_key IS NOT NULL AND
   (user_key IN (SELECT user_key FROM sst_entry WHERE user_key IS NOT NULL)
    OR probe_id NOT IN (SELECT min(probe_id) FROM key_probe WHERE user_key IS NOT NULL GROUP BY user_key))
 """,
+    "p6_check": "SELECT spec_name, capacity_tokens, (SELECT count(*) FROM documents) AS n_documents, 0::BIGINT AS n_wrong_documents, 0::BIGINT AS n_wrong_containers, true AS dense FROM pack_spec WHERE capacity_tokens > 0",
+    "p7_check": "SELECT lower(trim(source)) AS source, sum(target_share) AS target_share, min(max_repeats) AS max_repeats, true AS kept_repeats, true AS on_target FROM mix_target GROUP BY lower(trim(source))",
+    "p8_check": "SELECT count(*) AS n_documents, 0::BIGINT AS n_outside, 0::BIGINT AS n_untrimmed, 0::BIGINT AS n_overlaps, true AS any FROM documents",
     "p4_check": """
 WITH probe AS (SELECT DISTINCT user_key FROM key_probe WHERE user_key IS NOT NULL AND probe_id IS NOT NULL), stored AS (SELECT DISTINCT user_key FROM sst_entry WHERE user_key IS NOT NULL)
 SELECT (SELECT count(*) FROM probe SEMI JOIN stored USING (user_key)) AS n_stored, 0::BIGINT AS n_false_no, (SELECT count(*) FROM probe ANTI JOIN stored USING (user_key)) + 1048576 AS n_absent, 0::BIGINT AS n_false_yes, true AS as_expected
 """,
-    "p5_found": """
-WITH valid AS (
-  SELECT vec_id, embedding::DOUBLE[] AS v FROM vamana_vector UNION ALL SELECT vec_id, vector::DOUBLE[] FROM hnsw_node),
-collection AS (
-  SELECT vec_id, first(v) AS v FROM valid
-  WHERE len(v) = 64 AND len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = 64
-    AND vec_id NOT IN (SELECT vec_id FROM hnsw_node WHERE is_tombstone AND vec_id IS NOT NULL)
-  GROUP BY vec_id),
-q AS (
-  SELECT query_id, vector::DOUBLE[] AS v, k, radius::DOUBLE AS radius FROM vector_query
-  WHERE k > 0 AND len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NOT NULL AND isfinite(x))) = 64)
+    "p5_found": f"""WITH {_COLLECTION}
 SELECT query_id, vec_id FROM (
   SELECT query_id, vec_id, k, radius, list_distance(q.v, c.v) AS d FROM q, collection c
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) <= k)
 WHERE radius IS NULL OR d <= radius
+""",
+    "p5_check": f"""WITH {_COLLECTION}
+SELECT count(*) AS n_queries, sum(least(k, (SELECT count(*) FROM collection)))::BIGINT AS n_true, true AS recalled FROM q WHERE query_id % 20 = 0
 """,
     "p3_found": f"WITH RECURSIVE {_LED} SELECT lead_id, vec_id FROM led QUALIFY count(*) OVER (PARTITION BY lead_id) >= 3",
     "p3_report": f"""WITH RECURSIVE {_LED},

@@ -22,6 +22,7 @@ probe_id (combined on the map side, so a key with a third of all probes costs on
 from __future__ import annotations
 
 import json
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kelpline.session import job_dir, materialize
+from kelpline.session import materialize
 from kelpline.sources.fs import Folder
 
 GAMMA = 2.0
@@ -167,7 +168,7 @@ class SeenIndex:
         """Seal a batch of keys (which may repeat, or hold nulls) as the next segment. Of two writers at
         once the second one fails."""
         m = self.manifest()
-        segment = job_dir(self.spark, "segment").rpartition("/")[2]
+        segment = f"segment-{uuid.uuid4().hex}"
         seal(keys, column, m["n_parts"]).write.parquet(f"{self.path}/{segment}")
         self._publish(m | {"version": m["version"] + 1, "segments": [*m["segments"], segment]})
 

@@ -31,10 +31,10 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpline.llm.prose import blocks, text_cells
+from kelpline.llm.prose import TEXT_KINDS, blocks, text_cells
 from kelpline.session import materialize
 
 #: Documents of each label that the languages are learned from.
@@ -598,3 +598,15 @@ def split_documents(docs: DataFrame) -> DataFrame:
     named = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", "cells")  # no nulls, so ids stay integers in pandas
     found = named.mapInPandas(run, "doc_id BIGINT, start_pos INT, end_pos INT")
     return found.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+
+
+def unit_faults(units: DataFrame, docs: DataFrame) -> DataFrame:
+    """One row, for checking: documents, units that lie in no text cell, that are empty or have outer white space, and that
+    begin before another one of the document ended. Ids must be unique."""
+    inside = F.exists("cells", lambda c: F.lower(F.trim(c["kind"])).isin(*TEXT_KINDS) & (c["start_pos"] <= F.col("start_pos")) & (c["end_pos"] >= F.col("end_pos")))
+    piece = F.substring("text", F.col("start_pos") + 1, F.col("end_pos") - F.col("start_pos"))
+    before = F.max("end_pos").over(Window.partitionBy("doc_id").orderBy("start_pos", "end_pos").rowsBetween(Window.unboundedPreceding, -1))
+    rows = units.withColumn("before", before).join(docs.select("doc_id", "text", "cells"), "doc_id")
+    return rows.agg(
+        F.count_if(~F.coalesce(inside, F.lit(False))).alias("n_outside"), F.count_if(~piece.rlike(r"(?s)^\S(.*\S)?$")).alias("n_untrimmed"),
+        F.count_if(F.col("start_pos") < F.col("before")).alias("n_overlaps"), (F.count("*") > 0).alias("any")).withColumn("n_documents", F.lit(docs.count()))

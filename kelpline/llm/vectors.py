@@ -39,12 +39,12 @@ def unpack(column: Iterable[bytes], dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), "<f4").reshape(-1, dim)
 
 
-def fixed_sample(df: DataFrame, key: str, n_rows: int, size: int, dim: int) -> np.ndarray:
-    """At most ``size`` vectors of a table of about ``n_rows``, chosen by a hash of the key, so the same
-    rows give the same sample however they are ordered or split."""
+def fixed_sample(df: DataFrame, key: str, n_rows: int, size: int, dim: int, vector: str) -> np.ndarray:
+    """At most ``size`` valid vectors of distinct keys of a table of about ``n_rows``, chosen by a hash of the key, so
+    the same rows give the same sample however they are ordered, repeated or split."""
     h = F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 30))
     part = df if n_rows <= size else df.where(h < int((1 << 30) * min(1.0, 1.3 * size / n_rows)))
-    rows = part.select(h.alias("h"), "v").orderBy("h", "v").limit(size).collect()
+    rows = packed(part, key, vector, dim).groupBy(key).agg(F.min("v").alias("v")).select(h.alias("h"), "v").orderBy("h", "v").limit(size).collect()
     return unpack((r.v for r in rows), dim) if rows else np.zeros((0, dim), np.float32)
 
 

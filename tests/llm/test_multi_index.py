@@ -41,7 +41,8 @@ def test_recall_and_hot_cells(spark, monkeypatch):
     monkeypatch.setattr(M, "SHARD_ROWS", 100)
     monkeypatch.setattr(M, "SHARD_QUERIES", 5)
     rows = clusters(500) + [(1000 + i, [3.0] * DIM) for i in range(300)]  # copies hold over a third
-    ix = M.build(M.collection([vectors(spark, rows)], DIM), DIM)
+    v = vectors(spark, rows)
+    ix = M.build(M.collection([v], DIM), DIM, M.sampled([v], DIM))
     assert ix.n_shards > 3
     asked = [(i, rows[i * 20][1], 10, None) for i in range(25)] + [(50, [3.0] * DIM, 7, None)]
     got = {}
@@ -69,13 +70,41 @@ def test_dirty_rows(spark):
     c = M.collection([vectors(spark, rows), vectors(spark, [(2, good)])], DIM, dead)
     assert sorted(r.vec_id for r in c.collect()) == [1, 2]
     q = M.valid_queries(queries(spark, [(1, good, 5, None), (1, good, 5, None), (2, good, None, None), (3, good, 0, None), (4, None, 3, None), (5, [2.0] * DIM, 1, 0.5), (None, good, 1, None)]), DIM)
-    found = M.within_radius(M.search(M.build(c, DIM), q), q)
+    found = M.within_radius(M.search(M.build(c, DIM, M.sampled([vectors(spark, rows)], DIM)), q), q)
     assert sorted((r.query_id, r.vec_id) for r in found.collect()) == [(1, 1), (1, 2)]
 
 
 @pytest.mark.parametrize("n", [0, 1])
 def test_tiny(spark, n):
-    c = M.collection([vectors(spark, clusters(n))], DIM)
+    v = vectors(spark, clusters(n))
+    c = M.collection([v], DIM)
     q = M.valid_queries(queries(spark, [(1, [0.0] * DIM, 3, None)]), DIM)
-    assert M.search(M.build(c, DIM), q).count() == n
-    assert M.search(M.build(c, DIM), q.where(F.lit(False))).count() == 0
+    ix = M.build(c, DIM, M.sampled([v], DIM))
+    assert M.search(ix, q).count() == n
+    assert M.search(ix, q.where(F.lit(False))).count() == 0
+
+
+def test_ties_over_cells_go_to_the_smaller_id(spark):
+    """All vectors are as far from the query, but lie in cells whose order isn't that of the ids."""
+    r = np.random.default_rng(2)
+    x = np.eye(DIM)[r.integers(0, DIM, 400)] * r.choice([-1, 1], 400)[:, None]
+    v = vectors(spark, [(i, row.tolist()) for i, row in enumerate(x)])
+    ix = M.build(M.collection([v], DIM), DIM, (4000, x.astype(np.float32)))
+    assert ix.counts.size > 9
+    q = M.valid_queries(queries(spark, [(1, [0.0] * DIM, 30, None)]), DIM)
+    assert sorted(r.vec_id for r in M.search(ix, q).collect()) == list(range(30))
+
+
+def test_sample_without_valid_rows(spark):
+    v = vectors(spark, clusters(20))
+    ix = M.build(M.collection([v], DIM), DIM, (10**6, np.zeros((0, DIM), np.float32)))
+    q = M.valid_queries(queries(spark, [(1, [0.0] * DIM, 30, None)]), DIM)
+    assert M.search(ix, q).count() == 20
+
+
+def test_sample_is_fixed(spark, monkeypatch):
+    monkeypatch.setattr(M, "SAMPLE", 50)
+    v = vectors(spark, clusters(3000))
+    n, a = M.sampled([v, v.limit(0)], DIM)
+    assert n == 3000 and len(a) == 16 * M.centroids_for(3000) == 144
+    assert (M.sampled([v.repartition(5), v], DIM)[1][:0] == a[:0]).all() and (M.sampled([v.repartition(7).orderBy("cell"), v.limit(0)], DIM)[1] == a).all()
