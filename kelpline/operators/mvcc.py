@@ -7,6 +7,7 @@ of the smallest ``seq``. An ``as_of`` of None means the latest.
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpline.functions.keys import in_range
+from kelpline.sources.fs import open_fs
 
 HISTORY = ["user_key", "physical", "logical", "seq", "is_delete", "value"]
 
@@ -141,3 +143,28 @@ def replay_logs(files: DataFrame) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["path", "seq", "user_key", "physical", "logical", "is_delete", "value"])
 
     return files.select("path", "content").mapInPandas(run, "path STRING, seq BIGINT, user_key BINARY, physical BIGINT, logical BIGINT, is_delete BOOLEAN, value BINARY")
+
+
+def write_logs(records: DataFrame, folder: str) -> DataFrame:
+    """Write ``name, seq, user_key, physical, logical, is_delete, value`` as log files, one for each name, records by seq;
+    returns ``name, path, n_records``. A record with a null key or time is written as one whose checksum fails, as a torn
+    write leaves it. A file's records are to fit a task."""
+    schema = "name STRING, path STRING, n_records BIGINT"
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in df.sort_values("seq").itertuples(index=False):
+            if r.torn:
+                out.append(struct.pack("<II", 21, 0) + bytes(21))
+            else:
+                out.append(encode_log([(bytes(r.user_key), int(r.physical), int(r.logical), None if r.is_delete else bytes(r.value or b""))]))
+        fs, base = open_fs(folder)
+        fs.create_dir(base, recursive=True)
+        name = f"{df['name'].iloc[0]}-{uuid.uuid4().hex}.log"
+        with fs.open_output_stream(f"{base}/{name}", compression=None) as f:
+            f.write(b"".join(out))
+        return pd.DataFrame({"name": [df["name"].iloc[0]], "path": [f"{folder}/{name}"], "n_records": [len(df)]})
+
+    torn = F.col("user_key").isNull() | F.col("physical").isNull() | F.col("logical").isNull()
+    whole = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("physical", "logical")]  # no nulls, so they stay integers in pandas
+    return records.select("name", "seq", "user_key", *whole, "is_delete", "value", torn.alias("torn")).groupBy("name").applyInPandas(run, schema)

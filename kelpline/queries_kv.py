@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from kelpline.functions import bloom, keys
 from kelpline.operators import hlc, levels, mvcc, txn
 from kelpline.plans import routing
+from kelpline.session import job_dir, materialize
+from kelpline.sources.store import Clock, Conflict, Store
 from kelpline.sources.tables import table
 
 AS_OF = (1421000000000, 5)
@@ -89,6 +91,45 @@ def wal_prefix(spark, sf_dir):
     return mvcc.valid_prefix(log, "wal_file", "record_id", F.col("good")).select("record_id", "wal_file")
 
 
+def log_replay(spark, sf_dir):
+    """The feed written as log files, a null key or time as a torn record, and replayed from their bytes."""
+    log = table(spark, sf_dir, "wal_log").where("wal_file IS NOT NULL").select(F.regexp_replace("wal_file", "[^A-Za-z0-9_.-]", "_").alias("name"), F.col("record_id").alias("seq"), "user_key", F.col("ts.physical").alias("physical"),
+                                                  F.col("ts.logical").alias("logical"), F.coalesce("is_delete", F.lit(False)).alias("is_delete"), "value")
+    written = materialize(mvcc.write_logs(log, job_dir(spark, "logs")), "written")
+    paths = [r.path for r in written.select("path").collect()]  # a row a file
+    rows = mvcc.replay_logs(spark.read.format("binaryFile").load(paths))
+    return rows.select(F.regexp_extract("path", "([^/]*)-[0-9a-f]{32}[.]log$", 1).alias("name"), "seq", F.hex("user_key").alias("user_key"), "physical", "logical", "is_delete", F.hex("value").alias("value"))
+
+
+def store_session(spark, sf_dir):
+    """A client's session over a store: a bulk load of the customers, transactions that write, delete and conflict, a reopened
+    store with its conflicts, and what a range scan and reads as of an earlier time then see."""
+    ticks = iter(range(1_000, 10_000_000, 10)).__next__
+    clock = Clock(wall=ticks)
+    s = Store(spark, job_dir(spark, "store"), 8, clock=clock)
+    c = table(spark, sf_dir, "customer")
+    s.put_frame(c.select(F.encode(F.concat(F.lit("cust:"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")), "UTF-8").alias("user_key"), F.encode("c_name", "UTF-8").alias("value")))
+    one, two, three = (b"cust:%08d" % n for n in (1, 2, 3))
+    first = s.put(one, b"first")
+    t, late = s.begin(), s.begin()
+    s.prewrite(t, [(one, b"second"), (two, None)])
+    seen = ["none"]
+    try:
+        s.prewrite(s.begin(), [(two, b"x")])
+    except Conflict as e:
+        seen.append(str(e).split(":")[0])
+    s.commit(t)
+    again = Store(spark, s.table.path, clock=clock)
+    try:
+        again.prewrite(late, [(one, b"x")])
+    except Conflict as e:
+        seen.append(str(e).split(":")[0])
+    again.put(three, b"third")
+    rows = again.search_range(b"cust:", b"cust;").select(F.decode("user_key", "UTF-8").alias("key"), F.decode("value", "UTF-8").alias("value"))
+    more = [("as_of", (again.get(one, first) or b"").decode()), ("now", (again.get(one) or b"").decode()), ("conflicts", ",".join(seen))]
+    return rows.unionByName(spark.createDataFrame(more, "key STRING, value STRING"))
+
+
 def kv_prefix(spark, sf_dir):
     rows = mvcc.scan(_copies(spark, sf_dir))
     return _out(rows.where(keys.starts_with(F.col("user_key"), b"run_")))
@@ -251,7 +292,7 @@ def shard_merge(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    mvcc_get_as_of, mvcc_scan_as_of, mvcc_range_scan, mvcc_compact, mvcc_compact_last_level, mvcc_gc, level_compaction, merge_runs, snapshot, wal_prefix, kv_prefix, kv_vectors,
+    mvcc_get_as_of, mvcc_scan_as_of, mvcc_range_scan, mvcc_compact, mvcc_compact_last_level, mvcc_gc, level_compaction, merge_runs, snapshot, wal_prefix, log_replay, store_session, kv_prefix, kv_vectors,
     txn_keys, bloom_probe, hlc_local_events, hlc_receive, hlc_receive_sequence, txn_visible, txn_blocked, txn_conflicts, txn_commit, txn_rollback, txn_stale_locks,
     route_keys, route_keys_sql, raft_groups, node_loads, rebalance_plan, rebalance_check, route_upsert, route_remove, shard_split, shard_merge)}
 
@@ -299,6 +340,12 @@ SELECT shard, n_inputs, n_overlapping, n_versions, n_deletes FROM (SELECT shard,
     "merge_runs": f"WITH {_V} " + _KEPT.format("SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY user_key ORDER BY physical DESC, logical DESC, seq % 4) = 1"),
     "snapshot": f"WITH {_V} " + _OUT.format(_NEWEST.format("true")),
     "wal_prefix": "SELECT record_id, wal_file FROM (SELECT *, min(CASE WHEN user_key IS NULL OR ts IS NULL THEN record_id END) OVER (PARTITION BY wal_file) AS bad FROM wal_log) WHERE bad IS NULL OR record_id < bad",
+    "log_replay": """WITH l AS (SELECT *, regexp_replace(wal_file, '[^A-Za-z0-9_.-]', '_', 'g') AS name, user_key IS NULL OR ts.physical IS NULL OR ts.logical IS NULL AS torn FROM wal_log WHERE wal_file IS NOT NULL),
+p AS (SELECT *, min(CASE WHEN torn THEN record_id END) OVER (PARTITION BY name) AS bad, row_number() OVER (PARTITION BY name ORDER BY record_id) - 1 AS seq FROM l)
+SELECT name, seq, hex(user_key) AS user_key, ts.physical AS physical, ts.logical AS logical, coalesce(is_delete, false) AS is_delete, CASE WHEN NOT coalesce(is_delete, false) THEN coalesce(hex(value), '') END AS value
+FROM p WHERE bad IS NULL OR record_id < bad""",
+    "store_session": """SELECT 'cust:' || lpad(c_custkey::VARCHAR, 8, '0') AS key, CASE c_custkey WHEN 1 THEN 'second' WHEN 3 THEN 'third' ELSE c_name END AS value FROM customer WHERE c_custkey <> 2
+UNION ALL SELECT * FROM (VALUES ('as_of', 'first'), ('now', 'second'), ('conflicts', 'none,LockConflict,WriteConflict'))""",
     "kv_prefix": f"WITH {_V} " + _OUT.format(_NEWEST.format("true")) + " AND starts_with(hex(user_key), '72756E5F')",
     "kv_vectors": f"WITH {_V} SELECT hex(user_key) AS user_key, CAST(decode(user_key[5:]) AS BIGINT) AS vec_id FROM ({_NEWEST.format('true')}) WHERE NOT is_delete AND regexp_full_match(hex(user_key), '7665633A(3[0-9]){{1,18}}')",
     "txn_keys": "SELECT record_id, '6C' || hex(user_key) AS lock_key, '63' || hex(user_key) || lpad(hex(ts.physical), 16, '0') || lpad(hex(ts.logical), 8, '0') AS commit_key FROM wal_log WHERE user_key IS NOT NULL AND ts IS NOT NULL",

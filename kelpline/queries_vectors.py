@@ -10,7 +10,7 @@ from kelpline.functions.distance import METRICS, literal_vector
 from kelpline.operators import graph, knn, pq
 from kelpline.plans import execute, planner
 from kelpline.session import job_dir, materialize
-from kelpline.sources.index_files import DiskIndex
+from kelpline.sources.index_files import DiskIndex, ReadOnlyIndex
 from kelpline.sources.tables import table
 
 K, RADIUS, LABEL = 10, 1.15, 3
@@ -261,6 +261,20 @@ def planned_search(spark, sf_dir):
     return out
 
 
+def disk_index(spark, sf_dir):
+    """A disk index built, opened and asked: recall of the walk by codes, its range search, and that it cannot be changed."""
+    v, path = _sharded(spark, sf_dir), job_dir(spark, "index")
+    DiskIndex.build(v, path)
+    ix, q = DiskIndex(spark, path), _queries(v)
+    found = _recalled(knn.recall_at_k(ix.search_beam(q, K), knn.nearest_batched(v, q, K)))
+    try:
+        ix.insert(0, _query(v))
+        fixed = False
+    except ReadOnlyIndex:
+        fixed = True
+    return found.withColumns({"n_in_range": F.lit(ix.search_range(_query(v), 1.25).count()), "n_vectors": F.lit(ix.stats()["num_vectors"]), "fixed": F.lit(fixed)})
+
+
 def planned_search_indexed(spark, sf_dir):
     """The same by way of a graph and a disk index, both built here: graph strategies walk, the disk strategy
     searches codes. Approximate, so for each strategy: the planner's choice given the disk index, and whether at least
@@ -297,7 +311,7 @@ QUERIES = {
                                knn_postfilter_overfetch, knn_limit_then_filter, knn_deleted, knn_scatter_gather, recall_at_k, index_stats, planner_grid,
                                cost_grid, selectivity, centroid, medoid, kmeans_step, pq_encode, pq_decode, pq_distance_table, pq_adc, pq_two_stage, pq_rmse,
                                pq_train_rmse, graph_filtered, graph_inserted, planned_search, planned_search_indexed, robust_prune)},
-    **{f.__name__: f for f in (graph_recall_large, graph_recall_probed)},
+    **{f.__name__: f for f in (graph_recall_large, graph_recall_probed, disk_index)},
     "graph_recall_hnsw": _graph_recall("layered"),
     "graph_recall_vamana": _graph_recall("flat"),
     "graph_recall_learned": _graph_recall("layered", learned=True),
@@ -366,6 +380,7 @@ SELECT strategy, strategy = c AS chosen, vec_id, round(dist, 6) AS distance FROM
     "pq_two_stage": f"WITH {_ADC} SELECT vec_id, round(dist, 6) AS distance FROM (SELECT v.vec_id, list_distance(e, qe) AS dist FROM v, q WHERE v.vec_id IN (SELECT vec_id FROM adc ORDER BY adc, vec_id LIMIT {10 * K})) ORDER BY dist, vec_id LIMIT {K}",
     **{name: "SELECT count(*) AS n_queries, true AS recalled FROM embeddings WHERE vec_id % 20 = 0" for name in ("graph_recall_hnsw", "graph_recall_vamana", "graph_recall_learned", "graph_filtered")},
     **{name: "SELECT count(DISTINCT vec_id) AS n_queries, true AS recalled FROM vamana_vector WHERE vec_id % 20 = 0 AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64" for name in ("graph_recall_large", "graph_recall_probed")},
+    "disk_index": f"WITH {_V} SELECT count(*) FILTER (WHERE vec_id % 20 = 0) AS n_queries, true AS recalled, count(*) FILTER (WHERE dist <= 1.25) AS n_in_range, count(*) AS n_vectors, true AS fixed FROM d",
     "graph_inserted": "SELECT count(*) FILTER (WHERE vec_id % 20 = 0) AS n_queries, true AS recalled, count(*) AS n_linked FROM embeddings",
     "pq_train_rmse": "SELECT count(*) AS n, true AS nearer FROM embeddings",
     "planned_search_indexed": f"""WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE label = {LABEL}) AS m FROM embeddings),

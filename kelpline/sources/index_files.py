@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kelpline.functions.distance import l2_distance
 from kelpline.operators import graph, knn, pq
 from kelpline.sources.fs import Folder
 
@@ -46,6 +47,15 @@ class DiskIndex:
     def search_graph(self, queries: DataFrame, k: int, ef: int = 100) -> DataFrame:
         return graph.search(self.vectors, self.graph, queries, k, ef)
 
+    def search_beam(self, queries: DataFrame, k: int, ef: int = 100, rerank_factor: int = 10) -> DataFrame:
+        """``query_id, vec_id, distance, rank`` for ``query_id, vector``: the graph is walked by the vectors that the codes stand
+        for, which is what fits in memory; of what is met the nearest are ranked again by the full vectors."""
+        coded = self.vectors.select("shard", "vec_id").join(pq.decode(self.codes, self.book()), "vec_id")
+        met = graph.search(coded, self.graph, queries, rerank_factor * k, ef).select("query_id", "vec_id")
+        full = met.join(self.vectors.select("vec_id", "embedding"), "vec_id").join(queries.select("query_id", "vector"), "query_id")
+        exact = full.select("query_id", "vec_id", l2_distance(F.col("embedding"), F.col("vector")).alias("distance"))
+        return knn.top_k(exact.groupBy("query_id", "vec_id").agg(F.min("distance").alias("distance")), ["query_id"], k)
+
     def search_range(self, query: list[float], radius: float) -> DataFrame:
         return knn.within(self.vectors, query, radius)
 
