@@ -42,7 +42,7 @@ LOCAL_STEPS = 4
 TYPICAL = 4
 MAX_LEVELS = 64
 #: Lowest nodes of the upper tree, which the driver and every task hold; with more, an error is raised.
-MAX_NODES = 262_144
+MAX_NODES = 131_072
 TILE = 2048
 #: Centres that one task of the links compares its block with, and rows that it compares a leaf with.
 SENT_ROWS = 65_536

@@ -154,16 +154,17 @@ def packing_report(packed: DataFrame) -> DataFrame:
     })
 
 
-def packing_faults(packed: DataFrame, docs: DataFrame, densest: float = 0.02) -> DataFrame:
+def packing_faults(packed: DataFrame, docs: DataFrame, spare: float = 0.05) -> DataFrame:
     """Per spec, for checking: ``n_documents``, documents whose tokens aren't each in one container, or that are divided
     without need (``n_wrong_documents``), containers that hold more than their capacity or not what they say
-    (``n_wrong_containers``), and whether at most ``densest`` of the space is unused or one container is left over (``dense``). Ids must be unique."""
+    (``n_wrong_containers``), and whether the containers are at most the fewest possible, ``spare`` of these and one more
+    (``dense``). Ids must be unique."""
     keys, size = ["spec_name", "capacity_tokens"], F.col("tok_end") - F.col("tok_start")
     per = packed.groupBy(*keys, "doc_id").agg(F.sum(size).alias("n"), F.max("tok_end").alias("end"), F.min("tok_start").alias("start"), F.count("*").alias("pieces"))
     wrong = (F.col("n") != F.col("end")) | (F.col("start") != 0) | ((F.col("end") <= F.col("capacity_tokens")) & (F.col("pieces") > 1))
     of_docs = docs.select("doc_id").join(per, "doc_id", "full").groupBy(*keys).agg(F.count("*").alias("n_documents"), F.count_if(F.coalesce(wrong, F.lit(True))).alias("n_wrong_documents"))
     boxes = packed.groupBy(*keys, "container_id").agg(F.sum(size).alias("n"), F.max("fill").alias("fill"))
     bad = (F.col("n") > F.col("capacity_tokens")) | (F.col("n") != F.col("fill"))
-    space = F.count("*") * F.first("capacity_tokens") - F.sum("n")
-    of_boxes = boxes.groupBy(*keys).agg(F.count_if(bad).alias("n_wrong_containers"), ((space <= densest * F.count("*") * F.first("capacity_tokens")) | (space < F.first("capacity_tokens"))).alias("dense"))
+    fewest = F.ceil(F.sum("n") / F.first("capacity_tokens"))
+    of_boxes = boxes.groupBy(*keys).agg(F.count_if(bad).alias("n_wrong_containers"), (F.count("*") <= (1 + spare) * fewest + 1).alias("dense"))
     return of_docs.join(of_boxes, keys)

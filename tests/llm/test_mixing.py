@@ -92,3 +92,13 @@ def test_empty(spark):
     assert got.count() == 0 and shares.first().actual_share == 0
     got, shares = X.mix(docs(spark, [(1, "x", "a")]), none)
     assert got.count() == 0 and shares.count() == 0
+
+
+def test_faults_are_found(spark):
+    drawn = spark.createDataFrame([(1, "a", 10, 2, 20), (2, "b", 10, 1, 10)], "doc_id BIGINT, source STRING, n_tokens BIGINT, n_uses BIGINT, tokens_used BIGINT")
+    of = "source STRING, target_share DOUBLE, max_repeats INT, tokens_available BIGINT, limited BOOLEAN, tokens_used BIGINT, n_documents BIGINT, actual_share DOUBLE"
+    rows = [("a", 0.5, 1, 20, True, 20, 1, 2 / 3), ("b", 0.3, 1, 10, False, 10, 1, 1 / 3), ("c", 0.2, 1, 0, True, 0, 0, 0.0)]
+    got = {r.source: (r.kept_repeats, r.on_target) for r in X.mixing_faults(drawn, spark.createDataFrame(rows, of)).collect()}
+    assert got == {"a": (False, True), "b": (True, True), "c": (True, True)}
+    worse = [("a", 0.5, 2, 20, True, 20, 1, 0.5), ("b", 0.3, 1, 10, False, 10, 1, 0.3), ("c", 0.2, 1, 0, False, 0, 0, 0.2)]
+    assert [r.on_target for r in X.mixing_faults(drawn, spark.createDataFrame(worse, of)).collect()] == [False, True, True]

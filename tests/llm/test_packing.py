@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 
 from kelpline.llm import packing as P
@@ -89,3 +90,14 @@ def test_copies_are_spread(spark, monkeypatch):
     out = P.pack_documents(docs(spark, rows), specs(spark, 8), docs_per_partition=10).collect()
     assert len(out) == 109 and sum(r.doc_id == 3 for r in out) == 50
     assert len({r.container_id.split(".")[1] for r in out}) > 1 and all(r.fill <= 8 for r in out)
+
+
+def test_faults_are_found(spark):
+    d = docs(spark, [(i, "tide gauge " * (3 + i % 9)) for i in range(60)] + [(99, None)])
+    out = P.pack_documents(d, specs(spark, 32))
+    good = P.packing_faults(out, d).first()
+    assert (good.n_documents, good.n_wrong_documents, good.n_wrong_containers) == (61, 0, 0)
+    rows = out.toPandas().sort_values("tok_end", ascending=False)
+    for spoil, want in ((lambda r: r.iloc[1:], (0, 1)), (lambda r: pd.concat([r, r.iloc[:1]]), (1, 1)), (lambda r: r.assign(container_id="one"), (0, 1))):
+        bad = P.packing_faults(spark.createDataFrame(spoil(rows), out.schema), d).first()
+        assert bad.n_wrong_documents >= want[0] and bad.n_wrong_containers >= want[1] and bad.n_wrong_documents + bad.n_wrong_containers > 0

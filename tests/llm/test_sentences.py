@@ -139,3 +139,10 @@ def test_languages_are_learned_from_whole_prose(spark):
     rows = [(d, late, "en", [("md", 1, 0, len(late))], "x") for d in range(4)] + [(9, "Das Rauschen steigt.", "de", [("md", 1, 0, 20)], "x")] * 4
     known = S.fit_languages(S.sample_rows(spark.createDataFrame(rows, DOC)))
     assert "obligately" in known.weights["latn"] and known.of("latn", ["obligately"]) == "en"
+
+
+def test_faults_are_found(spark):
+    d = spark.createDataFrame([(1, "code\nOne. Two.", "en", [("code", 1, 0, 4), ("MD", None, 5, 14)], "x")], DOC).drop("start_pos")
+    faults = lambda *spans: tuple(S.unit_faults(spark.createDataFrame([(1, a, b) for a, b in spans], "doc_id BIGINT, start_pos INT, end_pos INT"), d).first())
+    assert faults((5, 9), (10, 14)) == (0, 0, 0, True, 1)
+    assert faults((0, 4), (5, 10), (8, 14)) == (1, 1, 1, True, 1)
