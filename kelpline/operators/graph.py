@@ -210,9 +210,9 @@ class Graph:
             open_[rows] = np.take_along_axis(np.concatenate([open_[rows], ok], 1), pick, 1)
         return ids
 
-    def search(self, q: np.ndarray, k: int, ef: int = 100, allowed: np.ndarray | None = None, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, row, distance) of the k nearest rows found for each query. ``start``: rows to begin at (as a learned
-        entry gives them), -1 for the top layer's entry. Rows that aren't ``allowed`` are walked through, so the
+    def search(self, q: np.ndarray, k: int, ef: int = 100, allowed: np.ndarray | None = None, start: np.ndarray | None = None, start_layer: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, distance) of the k nearest rows found for each query. ``start``: rows to begin at in ``start_layer``
+        (as a learned entry gives them), -1 or a row that isn't in that layer for the top layer's entry. Rows that aren't ``allowed`` are walked through, so the
         walk is widened by their share."""
         none = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
         if self.entry is None or not len(q) or (allowed is not None and not allowed.any()):
@@ -222,11 +222,12 @@ class Graph:
         step = max(1, min(1024, SEEN_MARKS // len(self.x), PAIR_VALUES // (ef + self.links[0].shape[1])))
         for s in range(0, len(q), step):
             part = q[s : s + step].astype(np.float32)
-            at = np.full(len(part), self.entry)
-            for layer in range(len(self.links) - 1, 0, -1):
-                at = self.beam(part, at, 1, layer)[:, 0]
-            if start is not None:
-                at = np.where(start[s : s + step] >= 0, start[s : s + step], at)
+            at, own = np.full(len(part), self.entry), None if start is None else start[s : s + step]
+            for layer in range(len(self.links) - 1, -1, -1):
+                if own is not None and layer == start_layer:
+                    at = np.where((own >= 0) & (self.level[own] >= layer), own, at)
+                if layer:
+                    at = self.beam(part, at, 1, layer)[:, 0]
             ids = self.beam(part, at, ef, 0)
             who, row = np.nonzero(ids >= 0)[0], ids[ids >= 0]
             if allowed is not None:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kelpline.functions import bloom
 from kelpline.operators import mvcc
 
 LAST_LEVEL = 6
@@ -51,3 +52,26 @@ def write_level(versions: DataFrame, path: str, target_bytes: int = TARGET_BYTES
     placed.sortWithinPartitions("shard", "user_key", F.desc("physical"), F.desc("logical")).write.parquet(path)
     written = versions.sparkSession.read.schema(versions.schema).parquet(path)
     return written.groupBy(F.input_file_name().alias("path"), "shard").agg(F.count("*").alias("n_entries"), F.min("user_key").alias("min_key"), F.max("user_key").alias("max_key"))
+
+
+def sound_filters(listing: DataFrame, entries: DataFrame) -> DataFrame:
+    """``file_id, bits, k``: each file's longest filter, if it denies none of the file's own keys. Damaged filters, which would
+    hide keys, and missing ones are left out."""
+    longest = listing.groupBy("file_id").agg(F.max(F.struct(F.octet_length("bits").alias("n"), "k", "bits")).alias("f")).where("f.n > 0 AND f.k > 0")
+    own = bloom.probe(entries.where("user_key IS NOT NULL").select("file_id", "user_key"), listing)
+    damaged = own.where(~F.col("may_contain")).select("file_id").distinct()
+    return longest.join(damaged, "file_id", "left_anti").select("file_id", "f.bits", "f.k")
+
+
+def get_many(keys: DataFrame, entries: DataFrame, filters: DataFrame, as_of: tuple[int, int] | None = None) -> DataFrame:
+    """The visible version of each of the distinct keys ``shard, user_key``, from the files of its shard: ``shard, user_key,
+    physical, logical, seq, value``. Of a file only those entries are looked for whose key lies in its range and passes its
+    filter; a file without a filter takes all in its range."""
+    ranges = entries.where("user_key IS NOT NULL").groupBy("shard", "file_id").agg(F.min("user_key").alias("low"), F.max("user_key").alias("high"))
+    asked = keys.join(ranges.withColumnRenamed("shard", "its_shard"), (F.col("shard") == F.col("its_shard")) & F.col("user_key").between(F.col("low"), F.col("high"))).select("shard", "file_id", "user_key")
+    asked = asked.join(filters, "file_id", "left").where(bloom.may_contain(F.col("user_key"), F.col("bits"), F.col("k"))).select(*(F.col(c).alias(f"asked_{c}") for c in ("shard", "file_id", "user_key")))
+    same = (F.col("file_id") == F.col("asked_file_id")) & (F.col("user_key") == F.col("asked_user_key")) & (F.col("shard") == F.col("asked_shard"))
+    rows = mvcc.history(entries.join(asked, same, "left_semi"), "entry_id", ["shard", "user_key"]).where(mvcc.up_to(as_of))
+    newest = F.max(F.struct("physical", "logical", F.bitwise_not("seq").alias("inv"), "is_delete", "value")).alias("m")
+    best = rows.groupBy("shard", "user_key").agg(newest)
+    return best.where("NOT m.is_delete").select("shard", "user_key", "m.physical", "m.logical", F.bitwise_not("m.inv").alias("seq"), "m.value")

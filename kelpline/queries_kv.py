@@ -75,6 +75,15 @@ def level_compaction(spark, sf_dir):
     return per.join(kept.groupBy("shard").agg(F.count("*").alias("n_versions"), F.count_if("is_delete").alias("n_deletes")), "shard", "left")
 
 
+def files_get(spark, sf_dir):
+    """The probes' keys looked up in the files of their shard, past those that ranges and filters rule out."""
+    entries = table(spark, sf_dir, "sst_entry")
+    asked = table(spark, sf_dir, "key_probe").where("user_key IS NOT NULL AND shard IS NOT NULL").select("shard", "user_key").distinct()
+    filters = materialize(levels.sound_filters(table(spark, sf_dir, "sst_file"), entries), "filters")
+    rows = levels.get_many(asked, entries, filters, AS_OF)
+    return rows.select("shard", F.hex("user_key").alias("user_key"), "physical", "logical", F.hex("value").alias("value"))
+
+
 def merge_runs(spark, sf_dir):
     """Four runs, each the records of one class of record_id, merged."""
     v = _versions(spark, sf_dir)
@@ -292,7 +301,7 @@ def shard_merge(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    mvcc_get_as_of, mvcc_scan_as_of, mvcc_range_scan, mvcc_compact, mvcc_compact_last_level, mvcc_gc, level_compaction, merge_runs, snapshot, wal_prefix, log_replay, store_session, kv_prefix, kv_vectors,
+    mvcc_get_as_of, mvcc_scan_as_of, mvcc_range_scan, mvcc_compact, mvcc_compact_last_level, mvcc_gc, level_compaction, files_get, merge_runs, snapshot, wal_prefix, log_replay, store_session, kv_prefix, kv_vectors,
     txn_keys, bloom_probe, hlc_local_events, hlc_receive, hlc_receive_sequence, txn_visible, txn_blocked, txn_conflicts, txn_commit, txn_rollback, txn_stale_locks,
     route_keys, route_keys_sql, raft_groups, node_loads, rebalance_plan, rebalance_check, route_upsert, route_remove, shard_split, shard_merge)}
 
@@ -337,6 +346,11 @@ w AS (SELECT *, (physical, logical) >= ({AS_OF[0]}, {AS_OF[1]}) AS above, bool_o
   row_number() OVER (PARTITION BY shard, user_key, (physical, logical) >= ({AS_OF[0]}, {AS_OF[1]}) ORDER BY physical DESC, logical DESC) AS rn FROM v),
 k AS (SELECT shard, count(*) AS n_versions, count(*) FILTER (WHERE dead) AS n_deletes FROM w WHERE above OR (rn = 1 AND NOT has_eq) GROUP BY shard)
 SELECT shard, n_inputs, n_overlapping, n_versions, n_deletes FROM (SELECT shard, count(*) FILTER (WHERE level = 0) AS n_inputs, count(*) FILTER (WHERE level = 1) AS n_overlapping FROM picked GROUP BY shard) LEFT JOIN k USING (shard)""",
+    "files_get": f"""WITH v AS (SELECT shard, user_key, ts.physical AS physical, ts.logical AS logical, arg_min(coalesce(is_delete, false), entry_id) AS is_delete, first(value ORDER BY entry_id) AS value
+FROM sst_entry WHERE user_key IS NOT NULL AND ts.physical IS NOT NULL AND ts.logical IS NOT NULL AND (shard, user_key) IN (SELECT (shard, user_key) FROM key_probe WHERE user_key IS NOT NULL AND shard IS NOT NULL)
+GROUP BY shard, user_key, ts.physical, ts.logical),
+n AS (SELECT * FROM v WHERE {_UP} QUALIFY row_number() OVER (PARTITION BY shard, user_key ORDER BY physical DESC, logical DESC) = 1)
+SELECT shard, hex(user_key) AS user_key, physical, logical, hex(value) AS value FROM n WHERE NOT is_delete""",
     "merge_runs": f"WITH {_V} " + _KEPT.format("SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY user_key ORDER BY physical DESC, logical DESC, seq % 4) = 1"),
     "snapshot": f"WITH {_V} " + _OUT.format(_NEWEST.format("true")),
     "wal_prefix": "SELECT record_id, wal_file FROM (SELECT *, min(CASE WHEN user_key IS NULL OR ts IS NULL THEN record_id END) OVER (PARTITION BY wal_file) AS bad FROM wal_log) WHERE bad IS NULL OR record_id < bad",

@@ -291,6 +291,18 @@ def planned_search_indexed(spark, sf_dir):
     return spark.createDataFrame(rows, "strategy STRING, chosen BOOLEAN, recalled BOOLEAN")
 
 
+def planned_search_learned(spark, sf_dir):
+    """The learned strategy: with a radius, which comes after the limit, and with a filter, where it is the plain walk."""
+    v = _sharded(spark, sf_dir)
+    links, entries, stats = materialize(graph.build(v, "layered"), "graph"), materialize(graph.trained_entries(v), "entries"), planner.refreshed(v, 64)
+    some = v.where(F.col("label") == LABEL).select("vec_id")
+    run = lambda strategy, q, g=None: {r.vec_id for r in execute.run(strategy, v, q, stats, g, learned=entries).collect()}  # noqa: E731 (at most K rows)
+    late, within = execute.Query(_query(v), K, 1.25), execute.Query(_query(v), K, None, some)
+    exact, found = run(planner.LEARNED, late), run(planner.LEARNED, late, links)
+    same = run(planner.LEARNED, within, links) == run(planner.GRAPH, within, links)
+    return spark.createDataFrame([(len(exact), len(exact & found) >= 0.8 * len(exact) and found <= run(planner.LEARNED, execute.Query(_query(v), 10 * K, 1.25)), same)], "n_exact BIGINT, recalled BOOLEAN, plain_if_filtered BOOLEAN")
+
+
 def graph_inserted(spark, sf_dir):
     """Recall after half of the vectors were inserted into graphs of the other half; and the vectors that are linked."""
     v = _sharded(spark, sf_dir)
@@ -310,7 +322,7 @@ QUERIES = {
     **{f.__name__: f for f in (knn_exact, knn_radius, knn_filtered, knn_filtered_radius, knn_batched, range_search, knn_prefilter_radius_late,
                                knn_postfilter_overfetch, knn_limit_then_filter, knn_deleted, knn_scatter_gather, recall_at_k, index_stats, planner_grid,
                                cost_grid, selectivity, centroid, medoid, kmeans_step, pq_encode, pq_decode, pq_distance_table, pq_adc, pq_two_stage, pq_rmse,
-                               pq_train_rmse, graph_filtered, graph_inserted, planned_search, planned_search_indexed, robust_prune)},
+                               pq_train_rmse, graph_filtered, graph_inserted, planned_search, planned_search_indexed, planned_search_learned, robust_prune)},
     **{f.__name__: f for f in (graph_recall_large, graph_recall_probed, disk_index)},
     "graph_recall_hnsw": _graph_recall("layered"),
     "graph_recall_vamana": _graph_recall("flat"),
@@ -386,6 +398,7 @@ SELECT strategy, strategy = c AS chosen, vec_id, round(dist, 6) AS distance FROM
     "planned_search_indexed": f"""WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE label = {LABEL}) AS m FROM embeddings),
 c AS (SELECT CASE WHEN n <= 500 THEN 'BruteForceScan' WHEN n * (4 * 64 + 16) > 10485760 THEN 'OutofCoreVamana' WHEN m / n < 0.25 THEN 'PrefilterGraph' ELSE 'PostfilterGraph' END AS c FROM n)
 SELECT s AS strategy, s = c AS chosen, true AS recalled FROM c, (SELECT unnest(['BruteForceScan', 'PrefilterGraph', 'PostfilterGraph', 'OutofCoreVamana']) AS s)""",
+    "planned_search_learned": f"WITH {_V} SELECT count(*) FILTER (WHERE dist <= 1.25) AS n_exact, true AS recalled, true AS plain_if_filtered FROM (SELECT * FROM d ORDER BY dist, vec_id LIMIT {K})",
     "robust_prune": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 near AS (SELECT a.vec_id, b.vec_id AS c, b.e, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY d, b.vec_id) <= 32),
 met AS (SELECT vec_id, list([{'c': c, 'e': e, 'd': d}] ORDER BY d, c) AS met FROM near GROUP BY vec_id),

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from kelpline.functions import bloom
 from kelpline.operators import hlc, levels, mvcc, txn
 from kelpline.operators.change_feed import KeyedTable
 from kelpline.plans import routing
@@ -63,6 +64,20 @@ def test_level_compaction(spark):
         levels.compact_level(files, e, levels.LAST_LEVEL, (0, 0))
 
 
+def test_files_are_ruled_out(spark):
+    bits, k = bloom.build([b"b", b"c"], 0.001)
+    bad = bytes(len(bits))
+    files = spark.createDataFrame([(1, bytearray(bits), k), (1, None, None), (2, bytearray(bad), k), (3, None, None)], "file_id BIGINT, bits BINARY, k INT")
+    rows = [(1, 1, b"b", 10, b"x"), (2, 1, b"c", 5, b"y"), (3, 2, b"b", 20, b"z"), (4, 3, b"b", 30, None), (5, 3, b"d", 1, b"w")]
+    e = spark.createDataFrame([(i, f, 1, bytearray(key), (t, 0), v is None, v and bytearray(v)) for i, f, key, t, v in rows],
+                              "entry_id BIGINT, file_id BIGINT, shard INT, user_key BINARY, ts STRUCT<physical: BIGINT, logical: BIGINT>, is_delete BOOLEAN, value BINARY")
+    sound = levels.sound_filters(files, e)
+    assert [r.file_id for r in sound.collect()] == [1]
+    asked = spark.createDataFrame([(1, bytearray(x)) for x in (b"b", b"c", b"d", b"bb")] + [(2, bytearray(b"b"))], "shard INT, user_key BINARY")
+    assert values(levels.get_many(asked, e, sound)) == {b"c": b"y", b"d": b"w"}
+    assert values(levels.get_many(asked, e, sound, (25, 0))) == {b"b": b"z", b"c": b"y", b"d": b"w"}
+
+
 def test_range_and_internal_keys(spark):
     h = history(spark, [(b"__meta", 1, 0, b"x"), (b"a", 1, 0, b"1"), (b"b", 1, 0, b"2"), (b"b", 2, 0, None), (b"\x80", 1, 0, b"3")])
     assert values(mvcc.search_range(h, None, None)) == {b"a": b"1", b"\x80": b"3"}

@@ -126,6 +126,15 @@ def test_graphs_of_few_and_equal_rows():
             assert all(((z >= -1) & (z < len(x))).all() for z in g.links)
 
 
+def test_entry_in_a_layer(cloud):
+    g = graph.build_layered(cloud.astype(np.float32), m=4)
+    top = int(np.flatnonzero(g.level >= 1)[0])
+    plain = g.search(cloud[:20].astype(float), 5)
+    for layer, start in ((0, 17), (1, top), (1, int(np.flatnonzero(g.level == 0)[0])), (9, 3)):
+        who, row, d = g.search(cloud[:20].astype(float), 5, start=np.full(20, start), start_layer=layer)
+        assert len(row) == len(plain[1]) and (np.diff(d[who == 0]) >= 0).all() and (row == plain[1]).mean() > 0.8
+
+
 def test_probed_shards(spark, cloud):
     v = graph.sharded(frame(spark, cloud).drop("shard"), 4).cache()
     assert v.count() == 300 and v.select("shard").distinct().count() == 4
