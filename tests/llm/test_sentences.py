@@ -111,7 +111,7 @@ def test_rare_next_words_count(spark):
 
 
 def test_ratio(spark):
-    assert S.ratio(5, 10, 50, 1000) > 20 > S.ratio(1, 10, 50, 1000) and abs(S.ratio(1, 10, 100, 1000)) < 1e-9
+    assert S.ratio(5, 10, 50, 1000) > 10 > S.ratio(1, 10, 50, 1000) and abs(S.ratio(1, 10, 100, 1000)) < 1e-9
     assert S.ratio(0, 5, 0, 9) == 0 and S.ratio(3, 3, 7, 7) == 0
     got = [r[0] for r in spark.createDataFrame([(4, 4.0), (40, 4.0), (1, 4.0)], "n BIGINT, m DOUBLE").select(S.excess_column(F.col("n"), F.col("m"))).collect()]
     assert got[0] == 0 and got[1] > 100 and 2 < got[2] < 4
