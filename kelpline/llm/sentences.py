@@ -1,6 +1,7 @@
 """Sentence units of prose in many languages, after statistics learned from the documents themselves.
 
-For each language two passes are made. The first counts, over all documents, how often each word type
+Texts are read once. That pass notes every place where a unit may end, with its surroundings, in a table of its own,
+and counts for each language, over all documents, how often each word type
 comes with and without a following period, what follows it then, and which words open sentences (they
 follow an unmistakable end mark, or begin a paragraph). From these counts:
 
@@ -12,7 +13,7 @@ follow an unmistakable end mark, or begin a paragraph). From these counts:
   length, inner periods and occurrences without it, and that go on within a sentence often enough; or those
   that by the ratio go on more often than the language's other types, and mostly do.
 
-The second pass classifies each period: after an abbreviation, an initial or a number the sentence
+The noted places are then classified, without the texts: after an abbreviation, an initial or a number the sentence
 ends only if the next word is a starter and the pair is no collocation; after any other word it ends
 unless the next word is lower-case and no starter. What stands in quotes or brackets is never divided;
 after a closing mark the same statistics tell whether the sentence goes on.
@@ -24,11 +25,14 @@ white space parts sentences unless a number or a Latin word stands beside it.
 from __future__ import annotations
 
 import math
+import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -286,21 +290,48 @@ def candidates(text: str, script: str, greek: bool) -> list[Candidate]:
     return out
 
 
-def ends(text: str, c: Candidate, script: str, model: Model) -> bool:
-    """Whether a unit ends at the candidate."""
-    rest = SPACE.match(text, c.end).end()
-    if rest >= len(text):
+class Place(NamedTuple):
+    """All that is asked of a candidate and its surroundings."""
+
+    end: int
+    rest: int  # of the next character that isn't white space; -1 at the end
+    kind: str
+    before: str
+    spaced: bool
+    mark: str
+    ch: str  # at rest
+    word: str  # the next word
+    dashed: str  # that after a dash at rest
+    date: bool  # a number within a date
+
+
+def places(text: str, script: str) -> list[Place]:
+    out = []
+    for c in candidates(text, script, script == "grek"):
+        rest = SPACE.match(text, c.end).end()
+        if rest >= len(text):
+            out.append(Place(c.end, -1, c.kind, c.before, c.spaced, "", "", "", "", False))
+            continue
+        ch = text[rest]
+        dashed = next_word(text, rest + 1, script) if ch in "—–-" and c.spaced else ""
+        date = c.kind == "period" and c.before == NUM and bool(DATE.search(text, max(0, c.mark - 3), c.mark) and AFTER_DATE.match(text, rest))
+        out.append(Place(c.end, rest, c.kind, c.before, c.spaced, text[c.mark], ch, next_word(text, rest, script), dashed, date))
+    return out
+
+
+def ends(c: Place, script: str, model: Model) -> bool:
+    """Whether a unit ends at the place."""
+    if c.rest < 0:
         return True
-    ch = text[rest]
+    ch, word = c.ch, c.word
     if ch in ",:，：、،؛)]}" or (ch == ";" and script != "grek") or ch in ONLY_CLOSERS:
         return False
     if c.kind == "close" and ch in ".!?…。！？":
         return False
     if ch in "—–-" and not c.spaced:
         return False
-    if ch in "—–-" and (after := next_word(text, rest + 1, script)):
-        return not after[:1].islower() and c.kind != "close"
-    word = next_word(text, rest, script)
+    if c.dashed:
+        return not c.dashed[:1].islower() and c.kind != "close"
     lower = word[:1].islower() and script != "cjk"
     caseless = script in ("cjk", "deva", "arab", "hang") and not word[:1].isascii()
     if script == "cjk":
@@ -311,8 +342,8 @@ def ends(text: str, c: Candidate, script: str, model: Model) -> bool:
         return True
     if c.kind == "hard":
         if not c.spaced and not caseless and not word[:1].isupper():
-            return text[c.mark] in "।؟" + CJK_ENDS
-        return not lower or word in model.starts or text[c.mark] in "।؟"
+            return c.mark in "।؟" + CJK_ENDS
+        return not lower or word in model.starts or c.mark in "।؟"
     if c.kind == "dots":
         return (not lower and not caseless and word != "`") or word in model.starts
     if c.kind == "close":
@@ -321,7 +352,7 @@ def ends(text: str, c: Candidate, script: str, model: Model) -> bool:
     if not c.spaced:
         known = len(before) >= 3 and "." not in before or model.totals.get(before, 0) >= 5
         return known and before not in model.abbreviations and before != NUM and word[:1].isupper() and model.fits_start(before, word)
-    if before == NUM and DATE.search(text, max(0, c.mark - 3), c.mark) and AFTER_DATE.match(text, rest):
+    if c.date:
         return False
     if not before:
         return not lower or word in model.starts
@@ -353,31 +384,58 @@ def thai_cuts(text: str) -> list[int]:
     return out
 
 
+class Scanned(NamedTuple):
+    """A block: where its text begins in the cell, the text's first and last characters that aren't white space, and the
+    places where units may end; or, in Thai, where they do."""
+
+    at: int
+    start: int
+    stop: int
+    places: list[Place]
+    cuts: list[tuple[int, int]]  # end of a unit, start of the next
+
+
+def body_of(cell: str, spans: list[tuple[int, int]]) -> str:
+    """The text of a block; markers at line starts become white space, so that offsets stay."""
+    if len(spans) == 1:
+        return cell[spans[0][0] : spans[0][1]]
+    parts, at = [], spans[0][0]
+    for a, b in spans:
+        parts.append(NOT_BREAK.sub(" ", cell[at:a]))
+        parts.append(cell[a:b])
+        at = b
+    return "".join(parts)
+
+
+def scan(body: str, at: int, kind: str, script: str) -> Scanned:
+    start, stop = len(body) - len(body.lstrip()), len(body.rstrip())
+    if kind == "h":
+        return Scanned(at, start, stop, [], [])
+    if script == "thai":
+        return Scanned(at, start, stop, [], [(cut, SPACE.match(body, cut).end()) for cut in thai_cuts(body)])
+    return Scanned(at, start, stop, places(body, script), [])
+
+
+def divided(block: Scanned, script: str, model: Model) -> Iterator[tuple[int, int]]:
+    """(start, end) of the units of a block, offsets within the cell. A unit ends where a mark stands, so it has no
+    white space at its end, and the next one begins at the next character that is none."""
+    at = block.start
+    for p in block.places:
+        if ends(p, script, model):
+            if p.end > at:
+                yield block.at + at, block.at + p.end
+            at = p.rest if p.rest >= 0 else block.stop
+    for cut, after in block.cuts:
+        if cut > at:
+            yield block.at + at, block.at + cut
+        at = after
+    if block.stop > at:
+        yield block.at + at, block.at + block.stop
+
+
 def units(text: str, spans: list[tuple[int, int]], kind: str, script: str, model: Model) -> list[tuple[int, int]]:
     """(start, end) of the units of one block, offsets as those of ``spans``; ``text`` is the cell."""
-    lo, hi = spans[0][0], spans[-1][1]
-    body = text[lo:hi]
-    if len(spans) > 1:  # markers at line starts become white space, so that offsets stay
-        parts, at = [], lo
-        for a, b in spans:
-            parts.append(NOT_BREAK.sub(" ", text[at:a]))
-            parts.append(text[a:b])
-            at = b
-        body = "".join(parts)
-    if kind == "h":
-        cuts = []
-    elif script == "thai":
-        cuts = thai_cuts(body)
-    else:
-        cuts = [c.end for c in candidates(body, script, script == "grek") if ends(body, c, script, model)]
-    out, at = [], 0
-    for cut in [*cuts, len(body)]:
-        piece = body[at:cut]
-        a, b = at + len(piece) - len(piece.lstrip()), at + len(piece.rstrip())
-        if b > a:
-            out.append((lo + a, lo + b))
-        at = cut
-    return out
+    return list(divided(scan(body_of(text, spans), spans[0][0], kind, script), script, model))
 
 
 def _cells(text: str | None, cells) -> Iterator[tuple[int, str]]:
@@ -399,7 +457,7 @@ def _language(script: str, prose: str, languages: Languages) -> str:
     return languages.of(script, WORD.findall(prose.lower()))
 
 
-def counted(text: str, kind: str, script: str, counts: Counter, words: Counter) -> None:
+def counted(text: str, kind: str, script: str, found: list[Place], counts: Counter, words: Counter) -> None:
     """Adds one block's statistics to ``counts``, (what, a, b), and its words without a period to ``words``: as
     ``next_word`` would give them."""
     if script == "cjk":
@@ -410,47 +468,60 @@ def counted(text: str, kind: str, script: str, counts: Counter, words: Counter)
         words["`"] += text.count("`") // 2
     if kind == "p" and (w := next_word(text, 0, script)):
         counts["s", w, ""] += 1
-    for c in candidates(text, script, script == "grek"):
+    for c in found:
         if c.kind == "dots" or c.kind == "period" and not (c.before and c.spaced):
             continue
-        word = next_word(text, c.end, script)
         if c.kind == "period":
-            counts["p", c.before, word] += 1
+            counts["p", c.before, c.word] += 1
         elif c.kind == "close":
-            if word and SPACE.match(text, c.end).end() < len(text) and text[SPACE.match(text, c.end).end()] not in ",:，：、—–.":
-                counts["p", QUOTED, word] += 1
-        elif c.kind == "hard" and word and (c.spaced or script == "cjk") and not (c.end and text[c.end - 1] in CLOSERS):
-            counts["s", word, ""] += 1
+            if c.word and c.rest >= 0 and c.ch not in ",:，：、—–.":
+                counts["p", QUOTED, c.word] += 1
+        elif c.kind == "hard" and c.word and (c.spaced or script == "cjk") and not (c.end and text[c.end - 1] in CLOSERS):
+            counts["s", c.word, ""] += 1
 
 
 STATS = "lang STRING, what STRING, a STRING, b STRING, n BIGINT"
 
 
-def statistics(docs: DataFrame, languages: Languages) -> DataFrame:
-    """Counts over all documents, ``lang, what, a, b, n``; each task sends sums."""
+def scanned(docs: DataFrame, languages: Languages) -> DataFrame:
+    """One pass over the texts: partial counts ``lang, what, a, b, n``, and for each document (what = 'd') its blocks with all that
+    deciding on them asks, as ``blob``: (offset of the cell, language, script, blocks)."""
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, tuple[Counter, Counter]] = {}
         for df in it:
-            for text, cells in zip(df["text"], df["cells"]):
-                for _, cell in _cells(text, cells):
+            ids, blobs = [], []
+            for doc, text, cells in zip(df["doc_id"], df["text"], df["cells"]):
+                met = []
+                for at, cell in _cells(text, cells):
                     found, prose = _prose(cell)
+                    if not found:
+                        continue
                     script = script_of(prose)
-                    counts = total.setdefault(_language(script, prose, languages), (Counter(), Counter())) if found else ()
+                    lang, done = _language(script, prose, languages), []
+                    counts = total.setdefault(lang, (Counter(), Counter()))
                     for b in found:
+                        body = body_of(cell, b.spans)
+                        done.append(scan(body, b.start, b.kind, script))
                         if b.kind != "h":
-                            counted(cell[b.start : b.end], b.kind, script, *counts)
+                            counted(body, b.kind, script, done[-1].places, *counts)
+                    met.append((at, lang, script, [(*d[:3], [tuple(p) for p in d.places], d.cuts) for d in done]))
+                if met:
+                    ids.append(doc)
+                    blobs.append(zlib.compress(pickle.dumps(met, 5), 1))
+            yield pd.DataFrame({"lang": None, "what": "d", "a": None, "b": None, "n": 0, "doc_id": ids, "blob": blobs})
             if sum(len(c) + len(w) for c, w in total.values()) > 200_000:
                 yield _stat_rows(total)
                 total = {}
         yield _stat_rows(total)
 
-    return docs.select("text", "cells").mapInPandas(run, STATS).groupBy("lang", "what", "a", "b").agg(F.sum("n").alias("n"))
+    named = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", "cells")  # no nulls, so ids stay integers in pandas
+    return named.mapInPandas(run, f"{STATS}, doc_id BIGINT, blob BINARY")
 
 
 def _stat_rows(total: dict[str, tuple[Counter, Counter]]) -> pd.DataFrame:
     rows = [(lang, *k, n) for lang, (c, _) in total.items() for k, n in c.items()]
     rows += [(lang, "w", w, "", n) for lang, (_, c) in total.items() for w, n in c.items()]
-    return pd.DataFrame(rows, columns=["lang", "what", "a", "b", "n"])
+    return pd.DataFrame(rows, columns=["lang", "what", "a", "b", "n"]).assign(doc_id=NO_ID, blob=None)
 
 
 def _likelihood(n_period: int, n_all: int, periods: int, words: int) -> float:
@@ -577,26 +648,25 @@ def split_documents(docs: DataFrame) -> DataFrame:
     each time. Offsets are code points of ``text``.
     """
     languages = fit_languages(sample_rows(docs))
-    learned = learn(statistics(docs, languages))
+    passed = materialize(scanned(docs, languages), "scanned")
+    learned = learn(passed.where("what <> 'd'").groupBy("lang", "what", "a", "b").agg(F.sum("n").alias("n")))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         none = Model()
         for df in it:
             ids, starts, stops = [], [], []
-            for doc, text, cells in zip(df["doc_id"], df["text"], df["cells"]):
-                for at, cell in _cells(text, cells):
-                    found, prose = _prose(cell)
-                    script = script_of(prose)
-                    model = learned.get(_language(script, prose, languages), none) if found else none
-                    for b in found:
-                        for s, e in units(cell, b.spans, b.kind, script, model):
+            for doc, blob in zip(df["doc_id"], df["blob"]):
+                for at, lang, script, met in pickle.loads(zlib.decompress(blob)):
+                    model = learned.get(lang, none)
+                    for block in met:
+                        block = Scanned(*block[:3], [Place(*p) for p in block[3]], block[4])
+                        for s, e in divided(block, script, model):
                             ids.append(doc)
                             starts.append(at + s)
                             stops.append(at + e)
             yield pd.DataFrame({"doc_id": ids, "start_pos": starts, "end_pos": stops})
 
-    named = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", "cells")  # no nulls, so ids stay integers in pandas
-    found = named.mapInPandas(run, "doc_id BIGINT, start_pos INT, end_pos INT")
+    found = passed.where("what = 'd'").select("doc_id", "blob").mapInPandas(run, "doc_id BIGINT, start_pos INT, end_pos INT")
     return found.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
