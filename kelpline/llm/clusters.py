@@ -479,9 +479,25 @@ def merged(edges: DataFrame) -> DataFrame:
             return roots
 
 
+def once_a_task(vectors: DataFrame, held: int = 100_000) -> DataFrame:
+    """``vec_id, v`` without most of the repeated rows: a task passes over those equal to the last row of their id, of the
+    ``held`` ids that it met last. So an id that holds a third of all rows sends a few rows a task, without a shuffle."""
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: dict[int, bytes] = {}
+        for df in it:
+            df = df.drop_duplicates(["vec_id", "v"])
+            keep = [last.get(i) != v for i, v in zip(df["vec_id"], df["v"])]
+            if len(last) > held:
+                last = {}
+            last.update(zip(df["vec_id"], df["v"]))
+            yield df[keep]
+
+    return vectors.mapInPandas(run, "vec_id BIGINT, v BINARY")
+
+
 def groups(vectors: DataFrame, dim: int, link: float = LINK) -> tuple[DataFrame, DataFrame]:
     """(``vec_id, lead_id, size``; one row per leaf with its ``lead_id``). lead_id is the group's smallest id."""
-    vectors = materialize(vectors, "vectors")
+    vectors = materialize(once_a_task(vectors), "vectors")
     tree, leaf_rows = leaves(vectors, dim, link)
     roots = merged(links(tree, leaf_rows, vectors, dim, link))
     led = leaf_rows.join(roots.withColumnRenamed("node", "leaf"), "leaf", "left").withColumn("lead_id", F.coalesce("root", "leaf")).drop("root")
@@ -541,7 +557,7 @@ def missed(vectors: DataFrame, members: DataFrame, dim: int, link: float = LINK,
             x, lead, ids = unpack(df["v"], dim).astype(np.float64), df["lead_id"].to_numpy(), df["vec_id"].to_numpy()
             for f in files if len(df) else ():
                 with fs.open_input_file(f) as h:
-                    for b in pq.ParquetFile(h).iter_batches(TILE):
+                    for b in pq.ParquetFile(h).iter_batches(TILE // 4):
                         q = b.to_pandas()
                         y, qi, ql = unpack(q["v"], dim).astype(np.float64), q["vec_id"].to_numpy(), q["lead_id"].to_numpy()
                         i, j = np.nonzero(_apart(y, x) <= link)
@@ -555,6 +571,6 @@ def missed(vectors: DataFrame, members: DataFrame, dim: int, link: float = LINK,
 
 
 def valid_vectors(df: DataFrame, dim: int) -> DataFrame:
-    """``vec_id, v`` of the valid vectors of ``vec_id, embedding``. Repeated rows fall into one block,
-    where they are made one; an id with several different vectors is a member with each of them."""
+    """``vec_id, v`` of the valid vectors of ``vec_id, embedding``. Repeated rows are thinned out in each task, and those
+    left fall into one block, where they are made one; an id with several different vectors is a member with each of them."""
     return packed(df, "vec_id", "embedding", dim)

@@ -144,6 +144,15 @@ def test_dirty_and_empty(spark):
     assert found(spark, [])[0] == {}
 
 
+def test_hot_copies(spark):
+    v, w = [1.0] * DIM, [1.5] + [1.0] * (DIM - 1)
+    rows = [(7, v)] * 3000 + [(8, w), (7, v), (7, w), (9, [9.0] * DIM)]
+    valid = C.valid_vectors(frame(spark, rows), DIM).repartition(3)
+    thin = C.once_a_task(valid, 1)
+    assert thin.count() < 20 and thin.distinct().count() == 4
+    assert found(spark, rows)[0] == {7: (7, 3), 8: (7, 3), 9: (9, 1)}
+
+
 def test_merging_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 101), (101, 102)], "a BIGINT, b BIGINT")
     got = {r.node: r.root for r in C.merged(edges).collect()}
