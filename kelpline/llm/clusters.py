@@ -23,10 +23,11 @@ Leaves report centre, size, radius and the members nearest to the centre.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
@@ -482,17 +483,18 @@ def merged(edges: DataFrame) -> DataFrame:
 def once_a_task(vectors: DataFrame, held: int = 100_000) -> DataFrame:
     """``vec_id, v`` without most of the repeated rows: a task passes over those equal to the last row of their id, of the
     ``held`` ids that it met last. So an id that holds a third of all rows sends a few rows a task, without a shuffle."""
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[int, bytes] = {}
-        for df in it:
-            df = df.drop_duplicates(["vec_id", "v"])
-            keep = [last.get(i) != v for i, v in zip(df["vec_id"], df["v"])]
+        for b in batches:
+            keep = []
+            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                keep.append(last.get(i) != v)
+                last[i] = v
+            yield b.filter(pa.array(keep, pa.bool_()))
             if len(last) > held:
                 last = {}
-            last.update(zip(df["vec_id"], df["v"]))
-            yield df[keep]
 
-    return vectors.mapInPandas(run, "vec_id BIGINT, v BINARY")
+    return vectors.select("vec_id", "v").mapInArrow(run, "vec_id BIGINT, v BINARY")
 
 
 def groups(vectors: DataFrame, dim: int, link: float = LINK) -> tuple[DataFrame, DataFrame]:
