@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: most hash functions of a filter.
 MAX_HASHES = 30
+#: What each seed, 8 bytes after the key, changes in the CRC-32 of a key followed by 8 zero bytes.
+SEEDS = [zlib.crc32(seed.to_bytes(8, "little")) ^ zlib.crc32(bytes(8)) for seed in range(256)]
 
 
 def size_for(n_keys: int, rate: float) -> tuple[int, int]:
@@ -32,16 +34,17 @@ def build(keys: list[bytes], rate: float = 0.01) -> tuple[bytes, int]:
 
 def may_contain(key: Column, bits: Column, k: Column) -> Column:
     """Whether the filter may hold the key, in SQL expressions alone. A filter that is null, empty, or
-    without hashes says nothing, so the answer is true."""
+    without hashes (or with more than SEEDS has) says nothing, so the answer is true."""
     n_bits = F.octet_length(bits) * 8
+    unseeded = F.crc32(F.concat(key, F.lit(bytes(8))))  # the key is hashed once: a CRC's seed only adds its own bits
 
     def one(seed: Column) -> Column:
-        at = F.crc32(F.concat(key, F.unhex(F.concat(F.lpad(F.hex(seed), 2, "0"), F.lit("00" * 7))))) % n_bits
-        byte = F.conv(F.hex(F.substring(bits, (at / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+        at = F.pmod(unseeded.bitwiseXOR(seed), n_bits)
+        byte = F.conv(F.hex(F.substring(bits, F.shiftright(at, 3).cast("int") + 1, 1)), 16, 10).cast("int")
         return F.getbit(byte, (at % 8).cast("int")) == 1
 
-    usable = bits.isNotNull() & (F.octet_length(bits) > 0) & (F.coalesce(k, F.lit(0)) > 0)
-    return F.when(usable, F.forall(F.sequence(F.lit(0), F.greatest(k, F.lit(1)) - 1), one)).otherwise(True)
+    usable = bits.isNotNull() & (F.octet_length(bits) > 0) & (F.coalesce(k, F.lit(0)) > 0) & (k <= len(SEEDS))
+    return F.when(usable, F.forall(F.slice(F.array(*map(F.lit, SEEDS)), 1, F.greatest(k, F.lit(1))), one)).otherwise(True)
 
 
 def probe(keys: DataFrame, files: DataFrame) -> DataFrame:

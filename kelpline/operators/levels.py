@@ -6,11 +6,12 @@ be wrong. Shards are compacted side by side, each by its own ranges.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpline.functions import bloom
 from kelpline.operators import mvcc
+from kelpline.session import materialize
 
 LAST_LEVEL = 6
 TARGET_BYTES = 64 << 20
@@ -63,15 +64,33 @@ def sound_filters(listing: DataFrame, entries: DataFrame) -> DataFrame:
     return longest.join(damaged, "file_id", "left_anti").select("file_id", "f.bits", "f.k")
 
 
+def met_ranks(keys: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``shard, user_key, rank`` of the distinct ``keys``, ranked within their shard; ``files`` with the ranks ``first`` to ``last``
+    of the keys in their range). Keys and bounds are sorted together, a shard in one task, which may spill: a file isn't compared with each key."""
+    bound = lambda key, kind: F.struct(F.col(key).alias("at"), F.lit(kind).alias("kind"))
+    bounds = files.select("shard", F.explode(F.array(bound("low", 0), bound("high", 2))).alias("b"), "file_id", "n").select("shard", "b.at", "b.kind", "file_id", "n")
+    points = bounds.unionByName(keys.select("shard", F.col("user_key").alias("at"), F.lit(1).alias("kind")), allowMissingColumns=True)
+    so_far = Window.partitionBy("shard").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    points = materialize(points.withColumn("rank", F.count_if(F.col("kind") == 1).over(so_far)), "ranks")
+    rank = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("rank")))
+    met = points.where("kind <> 1").groupBy("shard", "file_id", "n").agg((rank(0) + 1).alias("first"), rank(2).alias("last"))
+    return points.where("kind = 1").select("shard", F.col("at").alias("user_key"), "rank"), met
+
+
 def get_many(keys: DataFrame, entries: DataFrame, filters: DataFrame, as_of: tuple[int, int] | None = None) -> DataFrame:
     """The visible version of each of the distinct keys ``shard, user_key``, from the files of its shard: ``shard, user_key,
-    physical, logical, seq, value``. Of a file only those entries are looked for whose key lies in its range and passes its
-    filter; a file without a filter takes all in its range."""
-    ranges = entries.where("user_key IS NOT NULL").groupBy("shard", "file_id").agg(F.min("user_key").alias("low"), F.max("user_key").alias("high"))
-    asked = keys.join(ranges.withColumnRenamed("shard", "its_shard"), (F.col("shard") == F.col("its_shard")) & F.col("user_key").between(F.col("low"), F.col("high"))).select("shard", "file_id", "user_key")
-    asked = asked.join(filters, "file_id", "left").where(bloom.may_contain(F.col("user_key"), F.col("bits"), F.col("k"))).select(*(F.col(c).alias(f"asked_{c}") for c in ("shard", "file_id", "user_key")))
-    same = (F.col("file_id") == F.col("asked_file_id")) & (F.col("user_key") == F.col("asked_user_key")) & (F.col("shard") == F.col("asked_shard"))
-    rows = mvcc.history(entries.join(asked, same, "left_semi"), "entry_id", ["shard", "user_key"]).where(mvcc.up_to(as_of))
+    physical, logical, seq, value``. A file without a key in its range is passed over. If the keys in its range are no more than its
+    entries, its filter is asked about each, and only those that pass are looked for; otherwise, and without a filter, its entries
+    are looked through. So the cost grows with keys and entries, not with their product."""
+    stored = entries.where("user_key IS NOT NULL AND file_id IS NOT NULL")
+    files = stored.groupBy("shard", "file_id").agg(F.min("user_key").alias("low"), F.max("user_key").alias("high"), F.count("*").alias("n"))
+    ranked, met = met_ranks(keys.where("user_key IS NOT NULL AND shard IS NOT NULL"), files)
+    met = met.where("last >= first").join(filters, "file_id", "left").withColumn("ask", F.col("bits").isNotNull() & (F.col("last") - F.col("first") < F.col("n")))
+    few = met.where("ask").select("shard", "file_id", "bits", "k", F.explode(F.sequence("first", "last")).alias("rank")).join(ranked, ["shard", "rank"])
+    passed = few.where(bloom.may_contain(F.col("user_key"), F.col("bits"), F.col("k"))).select("shard", "file_id", "user_key")
+    whole = stored.join(met.where("NOT ask").select("shard", "file_id"), ["shard", "file_id"], "left_semi").join(ranked.select("shard", "user_key"), ["shard", "user_key"], "left_semi")
+    found = whole.unionByName(stored.join(passed, ["shard", "file_id", "user_key"], "left_semi").select(*whole.columns))
+    rows = mvcc.history(found, "entry_id", ["shard", "user_key"]).where(mvcc.up_to(as_of))
     newest = F.max(F.struct("physical", "logical", F.bitwise_not("seq").alias("inv"), "is_delete", "value")).alias("m")
     best = rows.groupBy("shard", "user_key").agg(newest)
     return best.where("NOT m.is_delete").select("shard", "user_key", "m.physical", "m.logical", F.bitwise_not("m.inv").alias("seq"), "m.value")

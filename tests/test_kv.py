@@ -1,4 +1,6 @@
 import random
+import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,6 +80,38 @@ def test_files_are_ruled_out(spark):
     assert values(levels.get_many(asked, e, sound, (25, 0))) == {b"b": b"z", b"c": b"y", b"d": b"w"}
 
 
+def test_lookup_cost_follows_entries(spark):
+    """Files that all span the keys' range: right values, and no join of keys with files by range, whose rows are their product."""
+    rng, rows = random.Random(5), []
+    for n in range(60):
+        for key in {b"a", b"z", *(b"k%04d" % rng.randrange(1500) for _ in range(4 if n % 2 else 40))}:
+            rows.append((len(rows), n, n % 2, bytearray(key), (rng.randrange(9), 0), rng.random() < 0.2, bytearray(b"%d" % len(rows))))
+    e = spark.createDataFrame(rows, "entry_id BIGINT, file_id BIGINT, shard INT, user_key BINARY, ts STRUCT<physical: BIGINT, logical: BIGINT>, is_delete BOOLEAN, value BINARY")
+    by_file = {n: [bytes(r[3]) for r in rows if r[1] == n] for n in range(60)}
+    filters = spark.createDataFrame([(n, *bloom.build(keys)) for n, keys in by_file.items() if n % 3], "file_id BIGINT, bits BINARY, k INT")
+    for asked in ({b"k%04d" % i for i in range(0, 1500, 7)}, {bytes(rng.choice(rows)[3]) for _ in range(6)}, {b"0", b"zz"}):  # more than a file's entries, fewer, out of range
+        keys = spark.createDataFrame([(s, bytearray(k)) for s in (0, 1) for k in asked], "shard INT, user_key BINARY")
+        want = {}
+        for r in rows:
+            at, key = (r[4], -r[0]), (r[2], bytes(r[3]))
+            if key[1] in asked and r[4] <= (6, 0) and (key not in want or at > want[key][0]):
+                want[key] = at, r[5], bytes(r[6])
+        got = levels.get_many(keys, e, filters, (6, 0))
+        assert {(r.shard, bytes(r.user_key)): bytes(r.value) for r in got.collect()} == {k: v for k, (_, dead, v) in want.items() if not dead}
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Join" in line and re.search("user_key#[0-9]+ [<>]=", line)]
+
+
+def test_filter_bits_by_seed(spark):
+    """A filter denies exactly what hashing key and seed denies, for every number of hashes."""
+    rng = random.Random(6)
+    made = [(i, bytearray(rng.randbytes(rng.randrange(12))), bytearray(rng.randbytes(1 + i % 7)), i % 31) for i in range(200)]
+    one = lambda key, bits, at: bits[at >> 3] >> (at & 7) & 1
+    want = {i: all(one(key, bits, zlib.crc32(key + s.to_bytes(8, "little")) % (8 * len(bits))) for s in range(k)) for i, key, bits, k in made}
+    rows = spark.createDataFrame(made, "i INT, key BINARY, bits BINARY, k INT").select("i", bloom.may_contain(F.col("key"), F.col("bits"), F.col("k")).alias("m"))
+    assert dict(rows.collect()) == want
+
+
 def test_range_and_internal_keys(spark):
     h = history(spark, [(b"__meta", 1, 0, b"x"), (b"a", 1, 0, b"1"), (b"b", 1, 0, b"2"), (b"b", 2, 0, None), (b"\x80", 1, 0, b"3")])
     assert values(mvcc.search_range(h, None, None)) == {b"a": b"1", b"\x80": b"3"}
