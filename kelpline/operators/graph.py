@@ -1,7 +1,7 @@
 """Proximity graphs: layered small-world graphs and pruned flat graphs, built and searched by shard.
 
-A shard's graph is built by one task from its vectors, so shards are to be sized for a task (some 10^5
-vectors). Graphs are tables ``shard, layer, vec_id, neighbours``; searches fan out to the shards, or to those
+A shard's graph is built by one task from its vectors, so shards are to be sized for a task (``sharded`` deals them so).
+Graphs are tables ``shard, layer, vec_id, neighbours``; searches fan out to the shards, or to those
 whose centres are nearest to the query, and merge. ``entry`` marks the row that searches begin at. Results
 are approximate: they are measured by recall against the exact answer.
 
@@ -24,8 +24,12 @@ from kelpline.operators.knn import nearest_batched, top_k
 
 GRAPH = "shard INT, layer INT, vec_id BIGINT, neighbours ARRAY<BIGINT>, entry BOOLEAN"
 MAX_SHARDS = 100_000
+#: Rows of a shard that ``sharded`` makes, about: linking them is one task, whose cost grows with their square.
+SHARD_ROWS = 20_000
 #: Rows linked at a time, values of a block of pairwise distances, and marks of visited rows held at a time.
 BLOCK_ROWS, PAIR_VALUES, SEEN_MARKS = 512, 1 << 25, 1 << 27
+#: Rows whose candidates are compared at a time.
+APART_ROWS = 16
 #: Training rows of a shard's learned entries.
 TRAINED = 1024
 
@@ -77,9 +81,16 @@ def prune_nearest(vectors: DataFrame, k: int = 32, alpha: float = 1.2, r: int =
 
 def _apart(x: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Squared distances between the rows ``ids`` (B x C) names, B x C x C."""
-    y = x[np.maximum(ids, 0)]
-    sq = (y * y).sum(2)
-    return np.maximum(sq[:, :, None] + sq[:, None, :] - 2 * y @ y.transpose(0, 2, 1), 0)
+    out = np.empty((*ids.shape, ids.shape[1]), x.dtype)
+    for s in range(0, len(ids), APART_ROWS):  # few at a time, so that they stay in the cache
+        y, d = x[np.maximum(ids[s : s + APART_ROWS], 0)], out[s : s + APART_ROWS]
+        sq = np.einsum("bcd,bcd->bc", y, y)
+        np.matmul(y, y.transpose(0, 2, 1), out=d)
+        d *= -2
+        d += sq[:, :, None]
+        d += sq[:, None, :]
+        np.maximum(d, 0, out=d)
+    return out
 
 
 def diverse(x: np.ndarray, ids: np.ndarray, d: np.ndarray, most: int) -> np.ndarray:
@@ -121,7 +132,11 @@ def _sorted(x: np.ndarray, base: np.ndarray, ids: np.ndarray, most: int) -> tupl
     ids = np.sort(ids, axis=1)
     ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = -1
     ids[ids == base[:, None]] = -1
-    d = ((x[np.maximum(ids, 0)] - x[base][:, None]) ** 2).sum(2)
+    d = np.empty(ids.shape, x.dtype)
+    for s in range(0, len(ids), APART_ROWS):
+        y = x[np.maximum(ids[s : s + APART_ROWS], 0)]
+        y -= x[base[s : s + APART_ROWS]][:, None]
+        np.einsum("bcd,bcd->bc", y, y, out=d[s : s + APART_ROWS])
     d[ids < 0] = np.inf
     order = np.argsort(d, axis=1, kind="stable")[:, :most]
     return np.take_along_axis(ids, order, 1), np.take_along_axis(d, order, 1)
@@ -317,7 +332,8 @@ def build(vectors: DataFrame, kind: str = "layered", **options) -> DataFrame:
         df = df.sort_values("vec_id")
         return _rows(df["shard"].iloc[0], df["vec_id"].to_numpy(), maker(np.stack(df["embedding"].to_list()), **options))
 
-    return vectors.select("shard", "vec_id", "embedding").groupBy("shard").applyInPandas(run, GRAPH)
+    rows = _spread(vectors.select("shard").distinct().count(), vectors.select("shard", "vec_id", "embedding"))[0]
+    return rows.groupBy("shard").applyInPandas(run, GRAPH)
 
 
 def insert(vectors: DataFrame, graph: DataFrame, added: DataFrame, **options) -> DataFrame:
@@ -408,48 +424,70 @@ def trained_entries(vectors: DataFrame, per_shard: int = TRAINED) -> DataFrame:
     return vectors.select("shard", "vec_id").join(n, "shard").where(h * F.col("n") < F.lit(per_shard << 30)).select("shard", "vec_id")
 
 
-def sharded(vectors: DataFrame, n_shards: int) -> DataFrame:
-    """``vec_id, embedding`` with the ``shard`` of the nearest of ``n_shards`` centres, so that a query needs few shards."""
-    book = pq.train_kmeans(vectors, n_shards)
-    return vectors.join(pq.encode(vectors, book).select("vec_id", F.element_at("codes", 1).alias("shard")), "vec_id")
+def sharded(vectors: DataFrame, n_regions: int, most: int = SHARD_ROWS) -> DataFrame:
+    """``vec_id, embedding`` with the ``region`` of the nearest of ``n_regions`` centres, so that a query needs few regions, and
+    with its ``shard``: a region's rows are dealt evenly to as many shards as hold about ``most`` rows each."""
+    book = pq.train_kmeans(vectors, n_regions)
+    coded = vectors.join(pq.encode(vectors, book).select("vec_id", F.element_at("codes", 1).alias("region")), "vec_id")
+    sizes, dealt, first = coded.groupBy("region").count().orderBy("region").collect(), [], 0  # a row a region
+    for r in sizes:
+        n = -(-r["count"] // most)
+        dealt.append((r.region, first, n))
+        first += n
+    dealt = vectors.sparkSession.createDataFrame(dealt, "region INT, first INT, n INT")
+    shard = F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("n")).cast("int")
+    return coded.join(F.broadcast(dealt), "region").select(*vectors.columns, "region", shard.alias("shard"))
 
 
 def shard_centres(vectors: DataFrame) -> DataFrame:
-    """``shard, centre``: the mean of each shard's vectors, to be kept beside the graph."""
-    mean = vectors.select("shard", F.posexplode("embedding").alias("pos", "x")).groupBy("shard", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return mean.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda z: z["x"]).alias("centre"))
+    """``shard, region, centre``: each shard with the mean of its region's vectors (without regions, of its own), to be
+    kept beside the graph."""
+    vectors = vectors if "region" in vectors.columns else vectors.withColumn("region", F.col("shard"))
+    mean = vectors.select("region", F.posexplode("embedding").alias("pos", "x")).groupBy("region", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    centres = mean.groupBy("region").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda z: z["x"]).alias("centre"))
+    return vectors.select("shard", "region").distinct().join(centres, "region").select("shard", "region", "centre")
 
 
 def _routed(queries: DataFrame, shards: DataFrame, centres: DataFrame | None, probe: int | None) -> DataFrame:
-    """``query_id, vector, shard`` for every shard, or for the ``probe`` shards with the nearest centres."""
+    """``query_id, vector, shard`` for every shard, or for all shards of the ``probe`` regions with the nearest centres."""
     if probe is None or centres is None:
         names = [r.shard for r in shards.orderBy("shard").limit(MAX_SHARDS + 1).collect()]
     else:
-        rows = centres.orderBy("shard").limit(MAX_SHARDS + 1).collect()
-        names, c = [r.shard for r in rows], np.array([r.centre for r in rows], np.float64)
+        rows = centres.orderBy("region", "shard").limit(MAX_SHARDS + 1).collect()
+        names, at = np.array([r.shard for r in rows], np.int32), np.array([r.region for r in rows])
+        _, start, many = np.unique(at, return_index=True, return_counts=True)
+        c = np.array([rows[i].centre for i in start], np.float64)
     if len(names) > MAX_SHARDS:
         raise ValueError(f"more than {MAX_SHARDS} shards")
     asked = queries.select("query_id", "vector")
-    if probe is None or centres is None or probe >= len(names):
-        return asked.withColumn("shard", F.explode(F.array(*[F.lit(s) for s in names]).cast("array<int>")))
+    if probe is None or centres is None or probe >= len(c):
+        return asked.withColumn("shard", F.explode(F.array(*[F.lit(int(s)) for s in names]).cast("array<int>")))
 
     def run(it):
         for df in it:
             if len(df):
                 q = np.stack(df["vector"].to_list()).astype(np.float64)
                 near = np.argpartition((c * c).sum(1)[None] - 2 * q @ c.T, probe - 1, axis=1)[:, :probe]
-                yield df.loc[df.index.repeat(probe)].assign(shard=np.array(names, np.int32)[near].ravel())
+                n = many[near]
+                flat = n.ravel()  # the shards of a region follow each other in names
+                place = np.arange(flat.sum()) - np.repeat(np.cumsum(flat) - flat, flat) + np.repeat(start[near].ravel(), flat)
+                yield df.loc[df.index.repeat(n.sum(1))].assign(shard=names[place])
 
     return asked.mapInPandas(run, "query_id BIGINT, vector ARRAY<FLOAT>, shard INT")
 
 
+def _spread(n_shards: int, *rows: DataFrame) -> list[DataFrame]:
+    """Rows by shard in so many partitions that few hold more than one shard, as a shard is much work."""
+    return [r.repartition(max(n_shards, min(8 * n_shards, 2048)), "shard") for r in rows]
+
+
 def search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, k: int, ef: int = 100, allowed: DataFrame | None = None, learned: DataFrame | None = None,
            centres: DataFrame | None = None, probe: int | None = None) -> DataFrame:
     """``query_id, vec_id, distance, rank`` for ``query_id, vector`` over the shards' graphs.
 
     ``allowed``: ids that may be returned (others, as deleted ones, are still walked through). ``learned``: the
-    ``trained_entries``; walks then begin at a predicted entry. ``centres`` and ``probe``: only the shards
-    with the nearest centres are asked.
+    ``trained_entries``; walks then begin at a predicted entry. ``centres`` and ``probe``: only shards
+    of the ``probe`` regions with the nearest centres are asked.
     """
     asked = _routed(queries, vectors.select("shard").distinct(), centres, probe)
     links = graph.groupBy("shard", "vec_id").agg(F.collect_list(F.struct("layer", "neighbours", "entry")).alias("links"))  # a row's layers
@@ -471,5 +509,6 @@ def search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, k: int, ef:
             out = df["query_id"].to_numpy()[who], ids[row], d
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "distance"), out)))
 
+    asked, index = _spread(vectors.select("shard").distinct().count(), asked, index)
     found = asked.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(run, "query_id BIGINT, vec_id BIGINT, distance DOUBLE")
     return top_k(found.groupBy("query_id", "vec_id").agg(F.min("distance").alias("distance")), ["query_id"], k)

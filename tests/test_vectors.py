@@ -146,6 +146,22 @@ def test_probed_shards(spark, cloud):
     assert knn.recall_by_distance(graph.search(v, g, q, 5, centres=c, probe=4), knn.nearest_batched(v, q, 5)).agg(F.avg("recall")).first()[0] >= 0.9
 
 
+def test_regions_are_dealt_to_shards(spark):
+    """A region too large for a task becomes several even shards; a query asks all of them, for as many regions as it may."""
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.normal(c, 0.1, (n, 8)) for c, n in ((0, 700), (5, 90), (10, 30))]).astype(np.float32)
+    v = graph.sharded(frame(spark, x).drop("shard"), 3, most=100).cache()
+    sizes = {(z.region, z.shard): z["count"] for z in v.groupBy("region", "shard").count().collect()}
+    assert sum(sizes.values()) == len(x) and len(sizes) == len({s for _, s in sizes}) == 9 and max(sizes.values()) < 150
+    g, c, q = graph.build(v, "flat").cache(), graph.shard_centres(v), v.where("vec_id % 9 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    assert {(z.region, z.shard) for z in c.collect()} == set(sizes) and len({tuple(z.centre) for z in c.collect()}) == 3
+    own = graph._routed(q, v.select("shard").distinct(), c, 1).groupBy("query_id").agg(F.collect_set("shard").alias("s"))
+    where = {z.vec_id: z.region for z in v.select("vec_id", "region").collect()}
+    assert all(set(z.s) == {s for n, s in sizes if n == where[z.query_id]} for z in own.collect())
+    recall = knn.recall_by_distance(graph.search(v, g, q, 5, centres=c, probe=1), knn.nearest_batched(v, q, 5))
+    assert recall.agg(F.avg("recall")).first()[0] > 0.97
+
+
 def test_insert_links_new_rows(spark, cloud):
     v = frame(spark, cloud)
     old, q = v.where("vec_id < 200"), v.where("vec_id >= 290").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
